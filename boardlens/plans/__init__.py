@@ -1,0 +1,16 @@
+"""The registered queries and their SQL oracles."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+#: Modules with QUERIES and, where SQL can express the query, ORACLE.
+MODULES = ()
+
+
+def queries() -> dict:
+    return {k: f for m in MODULES for k, f in import_module(f"{__name__}.{m}").QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for m in MODULES for k, s in getattr(import_module(f"{__name__}.{m}"), "ORACLE", {}).items()}
