@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,15 @@ def key_filter(keys: DataFrame, column: str) -> KeyFilter:
     bits = np.zeros(size // 64, np.uint64)
     bits[got["w"].to_numpy()] = got["b"].to_numpy().view(np.uint64)
     return KeyFilter(bits)
+
+
+def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs whose id may be in ids, the other docs): only texts of the first need go on to meet their rows in ids."""
+    key = F.xxhash64("id")
+    admit = docs.sparkSession.sparkContext.broadcast(key_filter(ids.select(key.alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def may(h: pd.Series) -> pd.Series:
+        return pd.Series(admit.value.admits(h.to_numpy().view(np.uint64)))
+
+    return docs.where(may(key)), docs.where(~may(key))

@@ -19,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardlens.llm import hashing
-from boardlens.llm.filters import key_filter
+from boardlens.llm.filters import key_filter, split_by_ids
 from boardlens.llm.store import saved
 
 WIDTH = 50
@@ -142,31 +142,15 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_removed, kept): kept has the words that stay, joined by one space. One row for each row of docs."""
-    spark = docs.sparkSession
     hits = repeated_windows(docs, width, id_col, text_col)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = "id long, n_words long, n_removed long, kept string"
-    touched, untouched = split_by_ids(spark, own, hits)
+    touched, untouched = split_by_ids(own, hits)
     whole = touched.join(hits, "id", "left").select("id", "text", "starts").mapInArrow(_cut(width), out)
     rest = untouched.select("id", "text", F.lit(None).cast("array<int>").alias("starts")).mapInArrow(_cut(width), out)
     return whole.unionByName(rest).withColumnRenamed("id", id_col)
 
 
-def split_by_ids(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs that may be in ids, docs that are not): only texts of the first need a shuffle to meet their rows in ids."""
-    key = F.xxhash64("id")
-    admit = spark.sparkContext.broadcast(key_filter(ids.select(key.alias("h")), "h"))
-
-    @F.pandas_udf("boolean")
-    def may(h: pd.Series) -> pd.Series:
-        return pd.Series(admit.value.admits(h.to_numpy().view(np.uint64)))
-
-    def chosen(yes: bool) -> Column:
-        return may(key) if yes else ~may(key)
-
-    return docs.where(chosen(True)), docs.where(chosen(False))
-
-
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
