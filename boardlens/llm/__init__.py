@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and, where SQL can express the query, ORACLE.
-MODULES = ("decontamination", "minhash_dedup", "substring_dedup")
+MODULES = ("bpe_codec", "decontamination", "minhash_dedup", "substring_dedup", "token_counts")
 
 
 def queries() -> dict:

@@ -35,42 +35,13 @@ SHARE = 20
 PIECE = 1024
 
 
-class Lookup:
-    """Exact map of 64-bit keys to numbers in numpy: open addressing at half load or less."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, int(4 * len(keys) - 1).bit_length()) if len(keys) else 16
-        self.shift = np.uint64(64 - (size.bit_length() - 1))
-        self.keys, self.values, self.full = np.zeros(size, np.uint64), np.full(size, -1, np.int64), np.zeros(size, bool)
-        self.most = 1
-        for k, v in zip(keys.tolist(), values.tolist(), strict=True):
-            at, tries = (k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> int(self.shift), 1
-            while self.full[at]:
-                at, tries = (at + 1) % size, tries + 1
-            self.keys[at], self.values[at], self.full[at] = k, v, True
-            self.most = max(self.most, tries)
-
-    def __call__(self, keys: np.ndarray, default: int = 0) -> np.ndarray:
-        at = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-        out = np.where((self.keys[at] == keys) & self.full[at], self.values[at], default)
-        open_ = np.flatnonzero((self.keys[at] != keys) & self.full[at])
-        for _ in range(self.most - 1):
-            if not len(open_):
-                break
-            at[open_] = (at[open_] + 1) % len(self.keys)
-            found = (self.keys[at[open_]] == keys[open_]) & self.full[at[open_]]
-            out[open_[found]] = self.values[at[open_[found]]]
-            open_ = open_[~found & self.full[at[open_]]]
-        return out
-
-
 class Patterns:
     """Word patterns as symbols, with shift tables and suffix buckets for each length."""
 
     def __init__(self, patterns: dict[tuple[bytes, ...], set[str]]):
         vocabulary = sorted({w for p in patterns for w in p})
         number = {w: i + 1 for i, w in enumerate(vocabulary)}
-        self.symbols = Lookup(hashing.hash_strings(vocabulary), np.arange(1, len(vocabulary) + 1))
+        self.symbols = hashing.Lookup(hashing.hash_strings(vocabulary), np.arange(1, len(vocabulary) + 1))
         self.groups = []
         by_length = defaultdict(list)
         for p, items in sorted(patterns.items()):
@@ -91,8 +62,8 @@ class Patterns:
                 {
                     "m": m,
                     "block": block,
-                    "shift": Lookup(keys, np.array([shifts[k] for k in keys.tolist()], np.int64)),
-                    "bucket": Lookup(heads, np.arange(len(heads))),
+                    "shift": hashing.Lookup(keys, np.array([shifts[k] for k in keys.tolist()], np.int64)),
+                    "bucket": hashing.Lookup(heads, np.arange(len(heads))),
                     "first": first,
                     "count": count,
                     "rows": rows[order],

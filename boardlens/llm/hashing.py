@@ -150,3 +150,46 @@ def hash_strings(values: list[bytes]) -> np.ndarray:
         b = np.frombuffer(v, np.uint8)
         out[k] = (BYTE_VALUE[b] * powers(BASE, len(b))).sum(dtype=np.uint64)
     return mix(out)
+
+
+class Lookup:
+    """Exact map of distinct 64-bit keys to numbers in numpy: open addressing at half load or less."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        keys, values = keys.astype(np.uint64, copy=False), np.asarray(values, np.int64)
+        size = 1 << max(4, int(2 * len(keys)).bit_length())
+        self.shift = _U(64 - (size.bit_length() - 1))
+        self.keys, self.values, self.full = np.zeros(size, np.uint64), np.full(size, -1, np.int64), np.zeros(size, bool)
+        at, rest, self.most = self._slots(keys), np.arange(len(keys)), 1
+        while True:
+            # Of the keys that meet in a free slot the first takes it; the others go on.
+            free = np.flatnonzero(~self.full[at])
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[at[won]], self.values[at[won]], self.full[at[won]] = keys[rest[won]], values[rest[won]], True
+            left = np.ones(len(rest), bool)
+            left[won] = False
+            rest, at = rest[left], (at[left] + 1) % size
+            if not len(rest):
+                break
+            self.most += 1
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray, default: int = 0) -> np.ndarray:
+        keys = keys.astype(np.uint64, copy=False)
+        at = self._slots(keys)
+        hit, full = self.keys[at] == keys, self.full[at]
+        out = np.where(hit & full, self.values[at], default)
+        open_ = np.flatnonzero(~hit & full)
+        for _ in range(self.most - 1):
+            if not len(open_):
+                break
+            at = (at if len(at) == len(open_) else at[open_]) + 1
+            at %= len(self.keys)
+            hit, full = self.keys[at] == keys[open_], self.full[at]
+            out[open_[hit & full]] = self.values[at[hit & full]]
+            more = ~hit & full
+            open_, at = open_[more], at[more]
+        return out
