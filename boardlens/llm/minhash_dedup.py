@@ -8,13 +8,17 @@ linked if their sets' Jaccard similarity is `percent` / 100 or more.
 2. One hash function orders all shingles; a sketch retains the k lowest of a set. An inverted list holds the classes in
    whose sketches two given values are neighbours. Where two sets have similarity 0.8, a value of their union is in both
    with probability 0.8, and the union's k lowest hold two shared neighbours except with probability 0.512**k, 1e-14
-   for k = 48; in sets of at most k shingles they always do. Neighbours rather than single values keep lists short: what
-   many documents share are single common shingles.
-3. Each list links its members to its smallest member. The k lowest values of two sketches' union estimate the similarity;
-   pairs far below the threshold go, and full sets decide on the others.
-4. Lists with members in more than one component then pair just the members of different components: those of the
-   list's largest component with the others, and the others among themselves. Lists in which that gives too many pairs are
-   cut again by a further neighbouring pair that members share, since similar documents share dozens.
+   for k = 48; in sets of at most k shingles they always do. Neighbours rather than single values keep lists short.
+3. Shingles of more than one in a thousand documents (common phrases, shared passages) are kept out of the lists of
+   documents that have enough others: documents of which 30 % or more are other shingles have a sketch of RARE_K of those,
+   documents of which less than 65 % are have one of all. Two sets of similarity 0.8 are both in one of the two kinds, and
+   in the first the others' similarity is 0.61 or more, which misses two shared neighbours with probability 5e-10.
+4. Each list pairs its members with its smallest member. The ESTIMATE_K lowest values of two sketches' union estimate the
+   similarity; pairs far below the threshold go, and full sets decide on the others. Candidates, linked or not, form families.
+5. In a family with several components, members outside the largest are compared with all of the other components, block by
+   block: a task multiplies the incidence matrices of two blocks of full sets and reports one link for two components.
+6. Lists with members of several families pair members of different families. All lists of such a pair are still
+   there, so pairs with full sketches that share too few of them go at once; estimates and full sets decide on the others.
 
 Cases: null text has no words; a null id counts as larger than all others and is never kept beside one that has an id;
 repeated rows are copies; other columns are not read.
@@ -31,15 +35,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardlens.llm import hashing
-from boardlens.llm.filters import split_by_ids
+from boardlens.llm.filters import key_filter, split_by_ids
 from boardlens.llm.graph import components
 from boardlens.llm.store import saved
 
 K = 48
-#: Estimates under this are dropped: a pair at 0.8 falls under it with probability 1e-10 (Chernoff, k = 48).
-LEAST_ESTIMATE = 0.35
-#: A list whose members in different components form more pairs than this many times its length is cut by further values first.
-PAIRS_PER_MEMBER = 64
+RARE_K = 64
+#: Values of the sketches that estimate similarities, and the estimate under which a pair is dropped: a pair at the
+#: threshold falls under it with probability 1e-9 (Chernoff).
+ESTIMATE_K, ESTIMATE_LESS = 128, 0.25
+#: Sets that a task compares with as many others.
+BLOCK = 128
+#: A class is named by its fingerprint.
+NAME = "xxhash64(f, g) AS c"
+#: Neighbours that two sketches share at least if both are full: of rare shingles, of all (missed at 1e-8 and 8e-11).
+LEAST_RARE, LEAST_ALL = 2, 4
+#: Shingles of more than one document in so many are common.
+COMMON_ONE_IN = 1000
 
 
 def shingle_sets(w: hashing.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,8 +89,36 @@ def ragged(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _sketch_rows(width: int, k: int):
-    """id, n, fingerprint and the k lowest values, for each row."""
+def _lowest(values: np.ndarray, bounds: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k lowest values of each (sorted) set, and their bounds."""
+    keep = np.minimum(np.diff(bounds), k)
+    at = np.concatenate([[0], np.cumsum(keep)])
+    return values[np.arange(at[-1]) - np.repeat(at[:-1] - bounds[:-1], keep)], at
+
+
+def _neighbours(low: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each two neighbouring values of a sketch, and the bounds of the keys."""
+    inside = np.ones(max(0, len(low) - 1), bool)
+    inside[at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(low))] - 1] = False
+    keys = hashing.mix(low[:-1] * np.uint64(0xA24BAED4963EE407) ^ low[1:])[inside]
+    return keys, np.concatenate([[0], np.cumsum(np.maximum(0, np.diff(at) - 1))])
+
+
+def _common_rows(width: int):
+    """Shingles that many of a batch's documents have, with their number."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [shingle_sets(w, width)[0] for w in hashing.words(batch.column(0), lower=True)]
+            values, counts = np.unique(np.concatenate(parts), return_counts=True)
+            often = counts >= max(2, batch.num_rows // (2 * COMMON_ONE_IN))
+            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["h", "n"])
+
+    return rows
+
+
+def _sketch_rows(width: int, k: int, common):
+    """id, n, fingerprint, the lowest values (upper halves), the keys of inverted lists and which kinds are full, for each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,11 +126,21 @@ def _sketch_rows(width: int, k: int):
                 values, bounds = shingle_sets(w, width)
                 n = np.diff(bounds)
                 f, g = fingerprints(values, bounds)
-                keep = np.minimum(n, k)
-                at = np.concatenate([[0], np.cumsum(keep)])
-                low = values[np.arange(at[-1]) - np.repeat(at[:-1] - bounds[:-1], keep)]
+                low, at = _lowest(values, bounds, ESTIMATE_K)
+                low = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((low >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                rare = ~common.value.admits(values)
+                rare_bounds = np.concatenate([[0], np.cumsum(rare)])[bounds]
+                n_rare = np.diff(rare_bounds)
+                few, many = 100 * n_rare < 65 * n, 100 * n_rare >= 30 * n
+                all_keys, all_at = _neighbours(*_lowest(values, bounds, np.where(few, k, 0)))
+                rare_keys, rare_at = _neighbours(*_lowest(values[rare], rare_bounds, np.where(many, RARE_K, 0)))
+                text = np.concatenate([np.repeat(np.arange(len(n)), np.diff(x)) for x in (all_at, rare_at)])
+                # The lowest bit tells the two kinds of lists apart.
+                keys = np.concatenate([all_keys & ~np.uint64(1), rare_keys | np.uint64(1)])[np.argsort(text, kind="stable")]
+                full = (np.diff(all_at) == k - 1) + 2 * (np.diff(rare_at) == RARE_K - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.first, w.n_texts), pa.array(n, pa.int64()), pa.array(f), pa.array(g), ragged(low, at)], names=["id", "n", "f", "g", "low"]
+                    [batch.column(0).slice(w.first, w.n_texts), pa.array(n, pa.int64()), pa.array(f), pa.array(g), low, ragged(keys, all_at + rare_at), pa.array(full.astype(np.int8))],
+                    names=["id", "n", "f", "g", "low", "keys", "full"],
                 )
 
     return rows
@@ -109,20 +159,46 @@ def _set_rows(width: int):
     return rows
 
 
-def _confirmed(percent: int):
-    """Pairs a, b whose full sets reach the similarity."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = batch.column(2), batch.column(3)
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                p, q = x[i].values.to_numpy(), y[i].values.to_numpy()
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(p) + len(q) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    return rows
+def intersections(left: list[np.ndarray], right: list[np.ndarray], columns: int = 1 << 13) -> np.ndarray:
+    """Sizes of the intersections of each set of left with each of right, as products of 0/1 matrices."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    values, rows = np.concatenate(left), np.repeat(np.arange(len(left)), [*map(len, left)])
+    others, other_rows = np.concatenate(right), np.repeat(np.arange(len(right)), [*map(len, right)])
+    shared = np.intersect1d(values, others)
+    at, other_at = np.searchsorted(shared, values), np.searchsorted(shared, others)
+    keep, other_keep = np.append(shared, 0)[at] == values, np.append(shared, 0)[other_at] == others
+    keep &= at < len(shared)
+    other_keep &= other_at < len(shared)
+    at, rows, other_at, other_rows = at[keep], rows[keep], other_at[other_keep], other_rows[other_keep]
+    for low in range(0, len(shared), columns):
+        x, y = (at >= low) & (at < low + columns), (other_at >= low) & (other_at < low + columns)
+        a, b = np.zeros((len(left), columns), np.float32), np.zeros((len(right), columns), np.float32)
+        a[rows[x], at[x] - low] = 1
+        b[other_rows[y], other_at[y] - low] = 1
+        out += a @ b.T
+    return out
+
+
+def _compare(percent: int):
+    """Links between the two sides of a group of sets; side 2 is on both. One link for two components is enough."""
+
+    def links(group: pa.Table) -> pa.Table:
+        c, side, comp = (group.column(k).to_numpy() for k in ("c", "side", "comp"))
+        sets = [x.values.to_numpy() for x in group.column("full").combine_chunks()]
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        a = b = np.zeros(0, np.int64)
+        if len(left) and len(right):
+            both = intersections([sets[i] for i in left], [sets[i] for i in right])
+            n = np.array([*map(len, sets)], np.float64)
+            near = 100 * both >= percent * (n[left][:, None] + n[right][None] - both)
+            i, j = np.nonzero(near & (comp[left][:, None] != comp[right][None]))
+            a, b = left[i], right[j]
+            pair = np.stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])], 1)
+            _, first = np.unique(pair, axis=0, return_index=True) if len(pair) else (None, np.zeros(0, np.int64))
+            a, b = c[a[first]], c[b[first]]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return links
 
 
 def _estimate(x: str, y: str, k: int) -> F.Column:
@@ -130,37 +206,74 @@ def _estimate(x: str, y: str, k: int) -> F.Column:
     return F.expr(f"size(array_intersect(slice(array_sort(array_union({x}, {y})), 1, {k}), array_intersect({x}, {y}))) / least({k}, size(array_union({x}, {y})))")
 
 
-NAME = "xxhash64(f, g) AS c"
 
 
 class _Verifier:
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, k: int, percent: int):
-        self.docs, self.classes, self.width, self.k, self.percent = docs, classes, width, k, percent
-        self.least = min(LEAST_ESTIMATE, percent / 100 - 0.45)
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
+        self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
+        self.least = percent / 100 - ESTIMATE_LESS
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes that full sets confirm."""
+    def candidates(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes whose estimate isn't far below the threshold."""
         low = self.classes.select("c", "low")
         near = pairs.join(low.withColumnsRenamed({"c": "a", "low": "x"}), "a").join(low.withColumnsRenamed({"c": "b", "low": "y"}), "b")
-        near = saved(near.where(_estimate("x", "y", self.k) >= self.least).select("a", "b"), "candidates")
-        # Only documents that are the first of their class and in a candidate pair are cut into shingles again.
-        needed = saved(near.select(F.col("a").alias("c")).union(near.select("b")).distinct().join(self.classes.select("c", "id"), "c"), "needed")
+        return saved(near.where(_estimate("x", "y", ESTIMATE_K) >= self.least).select("a", "b"), "candidates")
+
+    def links(self, groups: DataFrame) -> DataFrame:
+        """Links that full sets confirm. groups (g, c, side, comp): in each group the classes of side 0 or 2 meet those of side 1 or 2."""
+        groups = saved(groups, "groups")
+        # Only documents that are the first of their class and in a group are cut into shingles again.
+        needed = saved(groups.select("c").distinct().join(self.classes.select("c", "id"), "c"), "needed")
         firsts, _ = split_by_ids(self.docs, needed)
         sets = firsts.select("text").mapInArrow(_set_rows(self.width), "f long, g long, full array<long>").selectExpr(NAME, "full")
-        sets = saved(sets.join(needed.select("c"), "c", "left_semi").dropDuplicates(["c"]), "sets")
-        full = near.join(sets.withColumnsRenamed({"c": "a", "full": "x"}), "a").join(sets.withColumnsRenamed({"c": "b", "full": "y"}), "b")
-        return saved(full.select("a", "b", "x", "y").mapInArrow(_confirmed(self.percent), "a long, b long"), "confirmed")
+        # Rows that repeat a first document bring the same set again, which only finds the same links.
+        full = groups.join(sets, "c").select("g", "c", "side", "comp", "full")
+        return saved(full.groupBy("g").applyInArrow(_compare(self.percent), "a long, b long"), "confirmed")
+
+
+def _spread(side: str, blocks: int = BLOCK) -> F.Column:
+    """The block of a row among about size / BLOCK blocks, by hash."""
+    return F.pmod(F.xxhash64("c"), F.ceil(F.col(side) / blocks)).cast("int")
+
+
+def _star_groups(pairs: DataFrame) -> DataFrame:
+    """Groups of a head and at most about BLOCK of its partners."""
+    sized = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("size")), "a").withColumn("c", F.col("b"))
+    sized = sized.withColumn("g", F.xxhash64("a", _spread("size")))
+    heads = sized.select("g", F.col("a").alias("c")).distinct().select("g", "c", F.lit(0).alias("side"))
+    return heads.unionByName(sized.select("g", "c", F.lit(1).alias("side"))).withColumn("comp", F.col("c"))
+
+
+def _family_groups(members: DataFrame) -> DataFrame:
+    """members (c, family, comp). Groups in which those outside a family's largest component meet all other components."""
+    parts = members.groupBy("family", "comp").agg(F.count("*").alias("part"))
+    parts = parts.groupBy("family").agg(F.max(F.struct("part", "comp")).alias("most"), F.sum("part").alias("size")).select("family", F.col("most.comp").alias("main"), F.col("most.part").alias("n_main"), (F.col("size") - F.col("most.part")).alias("n_other")).where("n_other > 0")
+    own = members.join(parts, "family").withColumn("other", F.col("comp") != F.col("main"))
+    own = own.withColumn("block", F.when(F.col("other"), _spread("n_other")).otherwise(_spread("n_main")))
+    n_other, n_main = F.ceil(F.col("n_other") / BLOCK).cast("int"), F.ceil(F.col("n_main") / BLOCK).cast("int")
+    others, main = own.where("other"), own.where("not other")
+    # Each two blocks of others once, and each block of others with each block of the largest component.
+    with_other = others.withColumn("to", F.explode(F.sequence(F.lit(0), n_other - 1))).select(
+        F.xxhash64("family", F.lit("o"), F.least("block", "to"), F.greatest("block", "to")).alias("g"), "c", F.expr("case when block = to then 2 when block < to then 0 else 1 end").alias("side"), "comp"
+    )
+    with_main = others.withColumn("to", F.explode(F.sequence(F.lit(0), n_main - 1))).select(F.xxhash64("family", F.lit("m"), "block", "to").alias("g"), "c", F.lit(0).alias("side"), "comp")
+    of_main = main.withColumn("to", F.explode(F.sequence(F.lit(0), n_other - 1))).select(F.xxhash64("family", F.lit("m"), "to", "block").alias("g"), "c", F.lit(1).alias("side"), "comp")
+    return with_other.unionByName(with_main).unionByName(of_main)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept), one row for each row of docs. component_id is the smallest id reachable by links."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = saved(own.mapInArrow(_sketch_rows(width, k), "id long, n long, f long, g long, low array<long>"), "sketches")
+    common = own.select("text").mapInArrow(_common_rows(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    n_docs = own.count()
+    common = saved(common.where(F.col("n") * COMMON_ONE_IN > n_docs).select("h"), "common")
+    sent = docs.sparkSession.sparkContext.broadcast(key_filter(common, "h"))
+    rows = saved(own.mapInArrow(_sketch_rows(width, k, sent), "id long, n long, f long, g long, low array<int>, keys array<long>, full byte"), "sketches")
     filled = rows.where("n > 0")
     # A class is named by its fingerprint; c is short for both halves.
     name = F.expr(NAME)
-    classes = saved(filled.groupBy("f", "g").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("low").alias("low")).where("id is not null").select(name, "id", "n", "low"), "classes")
-    comp = _class_components(own, classes, width, percent, k)
+    classes = saved(filled.groupBy("f", "g").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("keys").alias("keys"), F.first("full").alias("full")).where("id is not null").select(name, "id", "n", "low", "keys", "full"), "classes")
+    comp = _class_components(own, classes, width, percent)
     # The smallest id of a component over all rows of its classes.
     of = rows.where("n > 0").select(name).distinct().join(comp.withColumnRenamed("id", "c"), "c", "left").select("c", F.coalesce("component", "c").alias("comp"))
     least = filled.groupBy(name).agg(F.min("id").alias("least")).join(of, "c")
@@ -170,45 +283,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     return linked.unionByName(alone).withColumn("kept", F.expr("id <=> component_id")).withColumnRenamed("id", id_col)
 
 
-def _lists(classes: DataFrame) -> DataFrame:
-    """(key, c, n): the class is in the inverted list of two neighbouring retained values."""
-    pairs = F.expr("transform(sequence(1, size(low) - 1), i -> xxhash64(element_at(low, i), element_at(low, i + 1)))")
-    return classes.where("size(low) > 1").select(F.explode(pairs).alias("key"), "c", "n")
-
-
-def _class_components(docs: DataFrame, classes: DataFrame, width: int, percent: int, k: int) -> DataFrame:
-    verify = _Verifier(docs, classes, width, k, percent)
-    lists = _lists(classes)
+def _class_components(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    verify = _Verifier(docs, classes, width, percent)
+    lists = classes.select(F.explode("keys").alias("key"), "c", "n", "full")
     shared = lists.groupBy("key").agg(F.min("c").alias("head"), F.max("c").alias("last"), F.count("*").alias("members")).where("head <> last").drop("last")
     lists = saved(lists.join(shared, "key"), "lists")
     sizes = classes.select(F.col("c").alias("head"), F.col("n").alias("m"))
     close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     stars = lists.where("c <> head").select("head", "c", "n").distinct().join(sizes, "head").where(close).select(F.col("head").alias("a"), F.col("c").alias("b"))
     stars = saved(stars, "stars")
-    links = verify.links(stars)
-    tried = stars
-    for depth in range(4):
-        named = lists.select("key", "c", "n").join(components(links).withColumnRenamed("id", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-        parts = named.groupBy("key", "component").agg(F.count("*").alias("part"))
-        parts = parts.groupBy("key").agg(F.sum("part").alias("size"), F.sum(F.col("part") * F.col("part")).alias("squares"), F.max(F.struct("part", "component")).alias("most")).where("size * size > squares")
-        parts = parts.select("key", F.col("most.component").alias("largest"), F.expr(f"(size * size - squares) / 2 > {PAIRS_PER_MEMBER} * size").alias("many"))
-        open_ = saved(named.join(parts, "key"), "open")
-        now = open_ if depth == 3 else open_.where("not many")
-        left = now.where("component <> largest").select("key", F.col("c").alias("a"), "n", F.col("component").alias("p"))
-        right = now.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("component").alias("q"), (F.col("component") == F.col("largest")).alias("main"))
-        pairs = left.join(right, "key").where(f"p <> q and (main or a < b) and {close}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = saved(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = links.unionByName(verify.links(pairs))
-        long_ = open_.where("many")
-        if depth == 3 or long_.isEmpty():
-            break
-        # Similar members of a long list share further keys: a list for each key that they have besides.
-        again = long_.select("key", "c", "n").join(_lists(classes).select("c", F.col("key").alias("more")), "c").where("key <> more")
-        again = again.select(F.xxhash64(F.least("key", "more"), F.greatest("key", "more")).alias("key"), "c", "n").distinct()
-        both = again.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-        lists = saved(again.join(both, "key"), "lists")
-        tried = saved(tried.unionByName(pairs), "tried")
-    return components(links)
+    near = verify.candidates(stars)
+    links = verify.links(_star_groups(near))
+    families, parts = saved(components(near), "families"), components(links)
+    members = families.select(F.col("id").alias("c"), F.col("component").alias("family")).join(parts.withColumnsRenamed({"id": "c", "component": "comp"}), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    links = links.unionByName(verify.links(_family_groups(members)))
+    named = lists.select("key", "c", "n", "full").join(families.withColumnsRenamed({"id": "c", "component": "family"}), "c", "left").withColumn("family", F.coalesce("family", "c"))
+    parts = named.groupBy("key", "family").agg(F.count("*").alias("part"))
+    parts = parts.groupBy("key").agg(F.min("family").alias("p"), F.max("family").alias("q"), F.max(F.struct("part", "family")).alias("most")).where("p <> q")
+    open_ = saved(named.join(parts.select("key", F.col("most.family").alias("largest")), "key"), "open")
+    left = open_.where("family <> largest").select("key", F.col("c").alias("a"), "n", F.col("full").alias("x"), F.col("family").alias("p"))
+    right = open_.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("full").alias("y"), F.col("family").alias("q"), (F.col("family") == F.col("largest")).alias("main"))
+    pairs = left.join(right, "key").where(f"p <> q and (main or a < b) and {close}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("key & 1").alias("rare"), F.expr("x & y").alias("full"))
+    pairs = pairs.groupBy("a", "b").agg(F.sum("rare").alias("rare"), F.sum(1 - F.col("rare")).alias("every"), F.first("full").alias("full"))
+    pairs = pairs.where(f"rare >= if(full & 2 = 2, {LEAST_RARE}, 1) or every >= if(full & 1 = 1, {LEAST_ALL}, 1)").select("a", "b")
+    across = verify.candidates(pairs.join(stars, ["a", "b"], "left_anti"))
+    return components(links.unionByName(verify.links(_star_groups(across))))
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
