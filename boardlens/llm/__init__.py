@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and, where SQL can express the query, ORACLE.
-MODULES = ("bpe_codec", "decontamination", "language_id", "minhash_dedup", "substring_dedup", "token_counts", "url_filter")
+MODULES = ("bpe_codec", "decontamination", "language_id", "minhash_dedup", "quality", "substring_dedup", "token_counts", "url_filter")
 
 
 def queries() -> dict:
