@@ -30,7 +30,8 @@ MOST_LANGUAGES = 64
 LEXICON_PER_LANGUAGE = 300
 SEGMENT_WORDS = (6, 50)
 BITS = {2: 16, 3: 17, 4: 18}
-TOGETHER = 1 << 23
+#: Characters of texts whose words advance in step, and of texts whose n-grams are looked up at a time.
+TOGETHER, LOOKED_UP = 1 << 22, 1 << 19
 #: The characters of hashing.ALNUM: digits, a to z and all beyond ASCII, of lower-cased text.
 WORD = regex.compile(r"[0-9a-z\x80-\U0010FFFF]+")
 _LETTER = regex.compile(r"\p{L}")
@@ -189,12 +190,16 @@ def _label_rows(model):
                     size += len(texts[able[n]])
                     n += 1
                 own, able = able[:n], able[n:]
-                # Line ends, and the mark at the end of the batch, separate words as any other blank does.
-                x = Encoded([texts[i].replace("\n", " ") for i in own])
-                post, _ = field.posteriors(field.emissions(x), x.bounds)
+                emit, counts = [], []
+                for i, j in hashing.chunks(np.cumsum([0, *(len(texts[k]) for k in own)]), LOOKED_UP):
+                    x = Encoded([texts[k] for k in own[i:j]])
+                    emit.append(field.emissions(x))
+                    counts.append(np.diff(x.bounds))
+                words = np.concatenate(counts)
+                bounds = np.concatenate([[0], np.cumsum(words)])
+                post, _ = field.posteriors(np.concatenate(emit), bounds)
                 total = np.concatenate([np.zeros((1, post.shape[1])), np.cumsum(post, 0, np.float64)])
-                words = np.diff(x.bounds)
-                mean = (total[x.bounds[1:]] - total[x.bounds[:-1]]) / np.maximum(words, 1)[:, None]
+                mean = (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(words, 1)[:, None]
                 best = mean.argmax(1)
                 for i, k, s, m in zip(own, best.tolist(), mean.max(1).tolist(), words.tolist(), strict=True):
                     if m:
