@@ -54,3 +54,10 @@ def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]
         return pd.Series(admit.value.admits(h.to_numpy().view(np.uint64)))
 
     return docs.where(may(key)), docs.where(~may(key))
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs whose id_col is not in the column `id` of ids. Only rows that the filter admits are shuffled."""
+    keyed = docs.withColumn("id", F.col(id_col)) if id_col != "id" else docs
+    may, sure = split_by_ids(keyed, ids.select("id").distinct())
+    return may.join(ids.select("id").distinct(), "id", "left_anti").select(docs.columns).unionByName(sure.select(docs.columns))

@@ -119,8 +119,8 @@ def _cut(width: int):
                     n_removed.append(0)
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
-                names=["id", "n_words", "n_removed", "kept"],
+                [batch.column(0), batch.column(3), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
+                names=["id", "row", "n_words", "n_removed", "kept"],
             )
 
     return rows
@@ -140,15 +140,21 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     return saved(hits.groupBy("id").agg(F.collect_set("start").alias("starts")), "repeats")
 
 
-def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_words, n_removed, kept): kept has the words that stay, joined by one space. One row for each row of docs."""
+def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, n_words, n_removed, kept, and the columns of docs named in carry), one row for each row of docs.
+
+    kept has the words that stay, joined by one space.
+    """
     hits = repeated_windows(docs, width, id_col, text_col)
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = "id long, n_words long, n_removed long, kept string"
+    # A struct of the carried columns goes through the tasks as it is; without any it holds a constant.
+    row = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(1).cast("byte").alias("none"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.alias("row"))
+    out = f"id long, row {own.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string"
     touched, untouched = split_by_ids(own, hits)
-    whole = touched.join(hits, "id", "left").select("id", "text", "starts").mapInArrow(_cut(width), out)
-    rest = untouched.select("id", "text", F.lit(None).cast("array<int>").alias("starts")).mapInArrow(_cut(width), out)
-    return whole.unionByName(rest).withColumnRenamed("id", id_col)
+    whole = touched.join(hits, "id", "left").select("id", "text", "starts", "row").mapInArrow(_cut(width), out)
+    rest = untouched.select("id", "text", F.lit(None).cast("array<int>").alias("starts"), "row").mapInArrow(_cut(width), out)
+    both = whole.unionByName(rest)
+    return both.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *(F.col(f"row.{c}").alias(c) for c in carry))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
