@@ -12,13 +12,14 @@ linked if their sets' Jaccard similarity is `percent` / 100 or more.
 3. Shingles of more than one in a thousand documents (common phrases, shared passages) are kept out of the lists of
    documents that have enough others: documents of which 30 % or more are other shingles have a sketch of RARE_K of those,
    documents of which less than 65 % are have one of all. Two sets of similarity 0.8 are both in one of the two kinds, and
-   in the first the others' similarity is 0.61 or more, which misses two shared neighbours with probability 5e-10.
+   in the first the others' similarity is 0.69 or more, which misses two shared neighbours with probability 4e-13.
 4. Each list pairs its members with its smallest member. The ESTIMATE_K lowest values of two sketches' union estimate the
    similarity; pairs far below the threshold go, and full sets decide on the others. Candidates, linked or not, form families.
 5. In a family with several components, members outside the largest are compared with all of the other components, block by
    block: a task multiplies the incidence matrices of two blocks of full sets and reports one link for two components.
-6. Lists with members of several families pair members of different families. All lists of such a pair are still
-   there, so pairs with full sketches that share too few of them go at once; estimates and full sets decide on the others.
+6. Lists with members of several families pair members of different families. Linked full sketches share several lists,
+   LEAST_RARE or LEAST_ALL, so each may leave one less of its longest lists and still shares another (prefix filtering): that
+   takes the lists of shared passages out. Estimates and full sets decide on the pairs that are left.
 
 Cases: null text has no words; a null id counts as larger than all others and is never kept beside one that has an id;
 repeated rows are copies; other columns are not read.
@@ -32,6 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boardlens.llm import hashing
@@ -48,8 +50,8 @@ ESTIMATE_K, ESTIMATE_LESS = 128, 0.25
 BLOCK = 128
 #: A class is named by its fingerprint.
 NAME = "xxhash64(f, g) AS c"
-#: Neighbours that two sketches share at least if both are full: of rare shingles, of all (missed at 1e-8 and 8e-11).
-LEAST_RARE, LEAST_ALL = 2, 4
+#: Neighbours that two linked sketches share at least if one is full: of rare shingles, of all (missed at 1e-8 and 4e-9).
+LEAST_RARE, LEAST_ALL = 5, 6
 #: Shingles of more than one document in so many are common.
 COMMON_ONE_IN = 1000
 
@@ -297,15 +299,16 @@ def _class_components(docs: DataFrame, classes: DataFrame, width: int, percent:
     families, parts = saved(components(near), "families"), components(links)
     members = families.select(F.col("id").alias("c"), F.col("component").alias("family")).join(parts.withColumnsRenamed({"id": "c", "component": "comp"}), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     links = links.unionByName(verify.links(_family_groups(members)))
-    named = lists.select("key", "c", "n", "full").join(families.withColumnsRenamed({"id": "c", "component": "family"}), "c", "left").withColumn("family", F.coalesce("family", "c"))
+    longest = F.row_number().over(W.partitionBy("c", F.col("key") % 2).orderBy(F.desc("members"), F.desc("key")))
+    leave = F.expr(f"case when key & 1 = 1 and full & 2 = 2 then {LEAST_RARE - 1} when key & 1 = 0 and full & 1 = 1 then {LEAST_ALL - 1} else 0 end")
+    shorter = lists.select("key", "c", "n", (longest > leave).alias("stays")).where("stays").drop("stays")
+    named = shorter.join(families.withColumnsRenamed({"id": "c", "component": "family"}), "c", "left").withColumn("family", F.coalesce("family", "c"))
     parts = named.groupBy("key", "family").agg(F.count("*").alias("part"))
     parts = parts.groupBy("key").agg(F.min("family").alias("p"), F.max("family").alias("q"), F.max(F.struct("part", "family")).alias("most")).where("p <> q")
     open_ = saved(named.join(parts.select("key", F.col("most.family").alias("largest")), "key"), "open")
-    left = open_.where("family <> largest").select("key", F.col("c").alias("a"), "n", F.col("full").alias("x"), F.col("family").alias("p"))
-    right = open_.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("full").alias("y"), F.col("family").alias("q"), (F.col("family") == F.col("largest")).alias("main"))
-    pairs = left.join(right, "key").where(f"p <> q and (main or a < b) and {close}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("key & 1").alias("rare"), F.expr("x & y").alias("full"))
-    pairs = pairs.groupBy("a", "b").agg(F.sum("rare").alias("rare"), F.sum(1 - F.col("rare")).alias("every"), F.first("full").alias("full"))
-    pairs = pairs.where(f"rare >= if(full & 2 = 2, {LEAST_RARE}, 1) or every >= if(full & 1 = 1, {LEAST_ALL}, 1)").select("a", "b")
+    left = open_.where("family <> largest").select("key", F.col("c").alias("a"), "n", F.col("family").alias("p"))
+    right = open_.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("family").alias("q"), (F.col("family") == F.col("largest")).alias("main"))
+    pairs = left.join(right, "key").where(f"p <> q and (main or a < b) and {close}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     across = verify.candidates(pairs.join(stars, ["a", "b"], "left_anti"))
     return components(links.unionByName(verify.links(_star_groups(across))))
 
