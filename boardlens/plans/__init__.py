@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and, where SQL can express the query, ORACLE.
-MODULES = ("code", "logs")
+MODULES = ("code", "logs", "retrieval")
 
 
 def queries() -> dict:
