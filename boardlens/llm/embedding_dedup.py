@@ -29,10 +29,11 @@ LEAST_COSINE = 0.9
 SAMPLE = 4096
 #: Classes that a part should hold, and the number of parts at most.
 PART, MOST_PARTS = 8192, 512
-#: Points of a node that are compared at once and not split further.
-LEAF = 256
-#: Slack of bounds for rounding; the cosine itself decides each pair that bounds leave.
-SLACK = 1e-7
+#: Points of a node that are compared at once and not split further; centers that a node tries before the points left,
+#: which then are nobody's neighbours at this radius, are kept in leaves as they come.
+LEAF, CENTERS = 512, 24
+#: Slack of bounds for rounding, and of cosines in single precision; in double precision the cosine decides each pair left.
+SLACK, SINGLE = 1e-7, 1e-4
 
 
 def unit(vectors: list, size: int) -> np.ndarray:
@@ -66,28 +67,26 @@ class CoverTree:
                 radius /= 2
             rest, dist, head = points, far, center
             loose: list[np.ndarray] = []
-            while len(rest):
-                # The points within the radius of a center are its child's; the farthest of the rest is the next center.
+            for _ in range(CENTERS):
+                # The points within the radius of a center are its child's; the first of the others is the next center.
                 near = dist <= radius
                 own = rest[near]
                 if len(own) <= LEAF // 8:
                     loose.append(own)
-                    if sum(map(len, loose)) >= LEAF:
-                        children.append(self._loose(np.concatenate(loose)))
-                        loose = []
                 else:
                     children.append(self._node(own, head, dist[near], radius))
                 rest = rest[~near]
-                if len(rest):
-                    head = int(rest[0])
-                    dist = self._distance(rest, head)
-            if loose:
-                children.append(self._loose(np.concatenate(loose)))
+                if not len(rest):
+                    break
+                head = int(rest[0])
+                dist = self._distance(rest, head)
+            rest = np.concatenate([*loose, rest])
+            children += [self._loose(rest[k : k + LEAF]) for k in range(0, len(rest), LEAF)]
         self.nodes[me] = (first, len(self.order), center, cover, children)
         return me
 
     def _loose(self, points: np.ndarray) -> int:
-        """Small children are kept in one leaf around the first of them."""
+        """Points of small children are kept in one leaf around the first of them."""
         center = int(points[0])
         self.nodes.append((len(self.order), len(self.order) + len(points), center, float(self._distance(points, center).max()), []))
         self.order += points.tolist()
@@ -123,37 +122,34 @@ def _links_of(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_
     tree = CoverTree(x)
     other = tree if y is None else CoverTree(y)
     n_x, n_y = np.zeros(len(x), np.int64), np.zeros(0 if y is None else len(y), np.int64)
-    total = len(x) + (0 if y is None else len(y))
-    parent = list(range(total))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    pairs = []
-    z = x if y is None else y
+    label = np.arange(len(x) + (0 if y is None else len(y)))
+    pairs: list[tuple[int, int]] = []
+    z, weight_z = (x, weight_x) if y is None else (y, weight_y)
+    x_single, z_single = x.astype(np.float32), z.astype(np.float32)
     for p, q in dual(tree, other, np.sqrt(2 - 2 * least)):
         same = y is None and p[0] == q[0] and len(p) == len(q) and bool((p == q).all())
-        i, j = np.nonzero(x[p] @ z[q].T >= least - SLACK)
+        i, j = np.nonzero(x_single[p] @ z_single[q].T >= least - SINGLE)
         if same:
             i, j = i[i < j], j[i < j]
         i, j = p[i], q[j]
         # Components one after the other in double precision decide, whatever order the product took them in.
         sure = np.einsum("ij,ij->i", x[i], z[j]) >= least
         i, j = i[sure], j[sure]
+        if not len(i):
+            continue
+        n_x += np.bincount(i, weight_z[j], len(x)).astype(np.int64)
         if y is None:
-            np.add.at(n_x, i, weight_x[j])
-            np.add.at(n_x, j, weight_x[i])
+            n_x += np.bincount(j, weight_x[i], len(x)).astype(np.int64)
         else:
-            np.add.at(n_x, i, weight_y[j])
-            np.add.at(n_y, j, weight_x[i])
+            n_y += np.bincount(j, weight_x[i], len(y)).astype(np.int64)
             j = j + len(x)
-        for k, m in zip(i.tolist(), j.tolist(), strict=True):
-            u, v = root(k), root(m)
-            if u != v:
-                parent[max(u, v)] = min(u, v)
+        # One link for two components that meet here.
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        _, first = np.unique(np.stack([label[i], label[j]], 1), axis=0, return_index=True) if len(i) else (None, [])
+        for k, m in zip(i[first].tolist(), j[first].tolist(), strict=True):
+            if label[k] != label[m]:
+                label[label == label[m]] = label[k]
                 pairs.append((k, m))
     return n_x, n_y, pairs
 
