@@ -30,7 +30,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -54,6 +53,8 @@ NAME = "xxhash64(f, g) AS c"
 LEAST_RARE, LEAST_ALL = 5, 6
 #: Shingles of more than one document in so many are common.
 COMMON_ONE_IN = 1000
+#: Slots by the upper bits of shingles in which a batch's shingles are counted first.
+SLOT_BITS = 22
 
 
 def shingle_sets(w: hashing.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,15 +107,24 @@ def _neighbours(low: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys, np.concatenate([[0], np.cumsum(np.maximum(0, np.diff(at) - 1))])
 
 
+def frequent(parts: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values that occur `least` times or more in all parts together, and how often. Values of slots with fewer are never sorted."""
+    slots, shift = np.zeros(1 << SLOT_BITS, np.int32), np.uint64(64 - SLOT_BITS)
+    for v in parts:
+        np.add.at(slots, (v >> shift).astype(np.int64), 1)
+    values = np.concatenate([np.zeros(0, np.uint64), *(v[slots[(v >> shift).astype(np.int64)] >= least] for v in parts)])
+    values, counts = np.unique(values, return_counts=True)
+    return values[counts >= least], counts[counts >= least]
+
+
 def _common_rows(width: int):
     """Shingles that many of a batch's documents have, with their number."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [shingle_sets(w, width)[0] for w in hashing.words(batch.column(0), lower=True)]
-            values, counts = np.unique(np.concatenate(parts), return_counts=True)
-            often = counts >= max(2, batch.num_rows // (2 * COMMON_ONE_IN))
-            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["h", "n"])
+            values, counts = frequent(parts, max(2, batch.num_rows // (2 * COMMON_ONE_IN)))
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["h", "n"])
 
     return rows
 
@@ -208,8 +218,6 @@ def _estimate(x: str, y: str, k: int) -> F.Column:
     return F.expr(f"size(array_intersect(slice(array_sort(array_union({x}, {y})), 1, {k}), array_intersect({x}, {y}))) / least({k}, size(array_union({x}, {y})))")
 
 
-
-
 class _Verifier:
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
         self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
