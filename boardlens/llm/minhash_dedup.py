@@ -19,7 +19,9 @@ linked if their sets' Jaccard similarity is `percent` / 100 or more.
    block: a task multiplies the incidence matrices of two blocks of full sets and reports one link for two components.
 6. Lists with members of several families pair members of different families. Linked full sketches share several lists,
    LEAST_RARE or LEAST_ALL, so each may leave one less of its longest lists and still shares another (prefix filtering): that
-   takes the lists of shared passages out. Estimates and full sets decide on the pairs that are left.
+   takes the lists of shared passages out. Pairs whose sketches differ in more values than the estimate allows don't leave the
+   join: parities of the retained values in ODD_BITS slots count the differences, never too many. Estimates and full sets
+   decide on the pairs that are left.
 
 Cases: null text has no words; a null id counts as larger than all others and is never kept beside one that has an id;
 repeated rows are copies; other columns are not read.
@@ -45,6 +47,8 @@ RARE_K = 64
 #: Values of the sketches that estimate similarities, and the estimate under which a pair is dropped: a pair at the
 #: threshold falls under it with probability 1e-9 (Chernoff).
 ESTIMATE_K, ESTIMATE_LESS = 128, 0.25
+#: Slots in which a signature has the parities of the ESTIMATE_K lowest values.
+ODD_BITS = 512
 #: Sets that a task compares with as many others.
 BLOCK = 128
 #: A class is named by its fingerprint.
@@ -117,6 +121,18 @@ def frequent(parts: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarra
     return values[counts >= least], counts[counts >= least]
 
 
+def parities(low: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each sketch ODD_BITS bits: whether an odd number of its values falls into a slot. Two signatures differ in at most as
+    many bits as the sketches have values that only one of them retains.
+    """
+    words = ODD_BITS // 64
+    slot = low & np.uint64(ODD_BITS - 1)
+    out = np.zeros((len(at) - 1) * words, np.uint64)
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    np.bitwise_xor.at(out, text * words + (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+    return out
+
+
 def _common_rows(width: int):
     """Shingles that many of a batch's documents have, with their number."""
 
@@ -130,7 +146,7 @@ def _common_rows(width: int):
 
 
 def _sketch_rows(width: int, k: int, common):
-    """id, n, fingerprint, the lowest values (upper halves), the keys of inverted lists and which kinds are full, for each row."""
+    """id, n, fingerprint, the lowest values (upper halves) and their parities, the keys of inverted lists and which kinds are full, for each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,6 +155,7 @@ def _sketch_rows(width: int, k: int, common):
                 n = np.diff(bounds)
                 f, g = fingerprints(values, bounds)
                 low, at = _lowest(values, bounds, ESTIMATE_K)
+                odd = ragged(parities(low, at), np.arange(len(at)) * (ODD_BITS // 64))
                 low = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((low >> np.uint64(32)).astype(np.uint32).view(np.int32)))
                 rare = ~common.value.admits(values)
                 rare_bounds = np.concatenate([[0], np.cumsum(rare)])[bounds]
@@ -151,8 +168,8 @@ def _sketch_rows(width: int, k: int, common):
                 keys = np.concatenate([all_keys & ~np.uint64(1), rare_keys | np.uint64(1)])[np.argsort(text, kind="stable")]
                 full = (np.diff(all_at) == k - 1) + 2 * (np.diff(rare_at) == RARE_K - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.first, w.n_texts), pa.array(n, pa.int64()), pa.array(f), pa.array(g), low, ragged(keys, all_at + rare_at), pa.array(full.astype(np.int8))],
-                    names=["id", "n", "f", "g", "low", "keys", "full"],
+                    [batch.column(0).slice(w.first, w.n_texts), pa.array(n, pa.int64()), pa.array(f), pa.array(g), low, odd, ragged(keys, all_at + rare_at), pa.array(full.astype(np.int8))],
+                    names=["id", "n", "f", "g", "low", "odd", "keys", "full"],
                 )
 
     return rows
@@ -218,6 +235,15 @@ def _estimate(x: str, y: str, k: int) -> F.Column:
     return F.expr(f"size(array_intersect(slice(array_sort(array_union({x}, {y})), 1, {k}), array_intersect({x}, {y}))) / least({k}, size(array_union({x}, {y})))")
 
 
+def _may_link(percent: int) -> str:
+    """For sets of n and m shingles with signatures x and y: they differ no more than sketches of linked sets do. If sketches hold
+    whole sets, the similarity bounds the differences; else the estimate does, with the chance of missing that it has.
+    """
+    differ = " + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(ODD_BITS // 64))
+    most = f"least(n, {ESTIMATE_K}) + least(m, {ESTIMATE_K}) - {2 * ESTIMATE_K * (percent / 100 - ESTIMATE_LESS):.3f}D"
+    return f"{differ} <= case when greatest(n, m) <= {ESTIMATE_K} then (n + m) * {100 - percent} / {100 + percent} else {most} end"
+
+
 class _Verifier:
     def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
         self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
@@ -278,11 +304,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     n_docs = own.count()
     common = saved(common.where(F.col("n") * COMMON_ONE_IN > n_docs).select("h"), "common")
     sent = docs.sparkSession.sparkContext.broadcast(key_filter(common, "h"))
-    rows = saved(own.mapInArrow(_sketch_rows(width, k, sent), "id long, n long, f long, g long, low array<int>, keys array<long>, full byte"), "sketches")
+    rows = saved(own.mapInArrow(_sketch_rows(width, k, sent), "id long, n long, f long, g long, low array<int>, odd array<long>, keys array<long>, full byte"), "sketches")
     filled = rows.where("n > 0")
     # A class is named by its fingerprint; c is short for both halves.
     name = F.expr(NAME)
-    classes = saved(filled.groupBy("f", "g").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("keys").alias("keys"), F.first("full").alias("full")).where("id is not null").select(name, "id", "n", "low", "keys", "full"), "classes")
+    classes = saved(filled.groupBy("f", "g").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("odd").alias("odd"), F.first("keys").alias("keys"), F.first("full").alias("full")).where("id is not null").select(name, "id", "n", "low", "odd", "keys", "full"), "classes")
     comp = _class_components(own, classes, width, percent)
     # The smallest id of a component over all rows of its classes.
     of = rows.where("n > 0").select(name).distinct().join(comp.withColumnRenamed("id", "c"), "c", "left").select("c", F.coalesce("component", "c").alias("comp"))
@@ -313,10 +339,10 @@ def _class_components(docs: DataFrame, classes: DataFrame, width: int, percent:
     named = shorter.join(families.withColumnsRenamed({"id": "c", "component": "family"}), "c", "left").withColumn("family", F.coalesce("family", "c"))
     parts = named.groupBy("key", "family").agg(F.count("*").alias("part"))
     parts = parts.groupBy("key").agg(F.min("family").alias("p"), F.max("family").alias("q"), F.max(F.struct("part", "family")).alias("most")).where("p <> q")
-    open_ = saved(named.join(parts.select("key", F.col("most.family").alias("largest")), "key"), "open")
-    left = open_.where("family <> largest").select("key", F.col("c").alias("a"), "n", F.col("family").alias("p"))
-    right = open_.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("family").alias("q"), (F.col("family") == F.col("largest")).alias("main"))
-    pairs = left.join(right, "key").where(f"p <> q and (main or a < b) and {close}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_ = saved(named.join(parts.select("key", F.col("most.family").alias("largest")), "key").join(classes.select("c", "odd"), "c"), "open")
+    left = open_.where("family <> largest").select("key", F.col("c").alias("a"), "n", F.col("family").alias("p"), F.col("odd").alias("x"))
+    right = open_.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("family").alias("q"), (F.col("family") == F.col("largest")).alias("main"), F.col("odd").alias("y"))
+    pairs = left.join(right, "key").where(f"p <> q and (main or a < b) and {close} and {_may_link(percent)}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     across = verify.candidates(pairs.join(stars, ["a", "b"], "left_anti"))
     return components(links.unionByName(verify.links(_star_groups(across))))
 
