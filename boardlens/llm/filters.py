@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +46,20 @@ def key_filter(keys: DataFrame, column: str) -> KeyFilter:
     return KeyFilter(bits)
 
 
+def id_filter(ids: DataFrame) -> Broadcast[KeyFilter]:
+    """The filter of xxhash64 of the column `id`, for the tasks."""
+    return ids.sparkSession.sparkContext.broadcast(key_filter(ids.select(F.xxhash64("id").alias("h")), "h"))
+
+
+def admitted(admit: Broadcast[KeyFilter], hashes: pa.Array) -> np.ndarray:
+    """Which xxhash64 values of ids the filter admits."""
+    return admit.value.admits(hashes.to_numpy().view(np.uint64))
+
+
 def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(docs whose id may be in ids, the other docs): only texts of the first need go on to meet their rows in ids."""
     key = F.xxhash64("id")
-    admit = docs.sparkSession.sparkContext.broadcast(key_filter(ids.select(key.alias("h")), "h"))
+    admit = id_filter(ids)
 
     @F.pandas_udf("boolean")
     def may(h: pd.Series) -> pd.Series:

@@ -38,7 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boardlens.llm import hashing
-from boardlens.llm.filters import key_filter, split_by_ids
+from boardlens.llm.filters import admitted, id_filter, key_filter
 from boardlens.llm.graph import components
 from boardlens.llm.store import saved
 
@@ -175,12 +175,13 @@ def _sketch_rows(width: int, k: int, common):
     return rows
 
 
-def _set_rows(width: int):
-    """Fingerprint and full set of each row."""
+def _set_rows(width: int, admit):
+    """Fingerprint and full set of each row whose id (hashed, in the first column) the filter admits."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in hashing.words(batch.column(0), lower=True):
+            texts = batch.column(1).filter(pa.array(admitted(admit, batch.column(0))))
+            for w in hashing.words(texts, lower=True):
                 values, bounds = shingle_sets(w, width)
                 f, g = fingerprints(values, bounds)
                 yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(g), ragged(values, bounds)], names=["f", "g", "full"])
@@ -260,8 +261,8 @@ class _Verifier:
         groups = saved(groups, "groups")
         # Only documents that are the first of their class and in a group are cut into shingles again.
         needed = saved(groups.select("c").distinct().join(self.classes.select("c", "id"), "c"), "needed")
-        firsts, _ = split_by_ids(self.docs, needed)
-        sets = firsts.select("text").mapInArrow(_set_rows(self.width), "f long, g long, full array<long>").selectExpr(NAME, "full")
+        # They are told apart in the same Python worker that cuts them; a second one in each task would need its own memory.
+        sets = self.docs.select(F.xxhash64("id").alias("h"), "text").mapInArrow(_set_rows(self.width, id_filter(needed)), "f long, g long, full array<long>").selectExpr(NAME, "full")
         # Rows that repeat a first document bring the same set again, which only finds the same links.
         full = groups.join(sets, "c").select("g", "c", "side", "comp", "full")
         return saved(full.groupBy("g").applyInArrow(_compare(self.percent), "a long, b long"), "confirmed")
