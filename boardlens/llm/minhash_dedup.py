@@ -145,6 +145,11 @@ def _common_rows(width: int):
     return rows
 
 
+def upper_halves(low: np.ndarray) -> np.ndarray:
+    """The upper halves of 64-bit values, with the top bit flipped: as int32 they have the order of the unsigned values."""
+    return ((low >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32)
+
+
 def _sketch_rows(width: int, k: int, common):
     """id, n, fingerprint, the lowest values (upper halves) and their parities, the keys of inverted lists and which kinds are full, for each row."""
 
@@ -156,7 +161,7 @@ def _sketch_rows(width: int, k: int, common):
                 f, g = fingerprints(values, bounds)
                 low, at = _lowest(values, bounds, ESTIMATE_K)
                 odd = ragged(parities(low, at), np.arange(len(at)) * (ODD_BITS // 64))
-                low = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((low >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                low = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(upper_halves(low)))
                 rare = ~common.value.admits(values)
                 rare_bounds = np.concatenate([[0], np.cumsum(rare)])[bounds]
                 n_rare = np.diff(rare_bounds)
