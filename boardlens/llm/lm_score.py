@@ -6,9 +6,9 @@ classes by their ending, and within such a class a word has its share of counts,
 share is for words never seen. The log-bilinear model gives each class its probability after the two classes before it:
 the context's two vectors are added, multiplied with the class's vector, and a bias joins.
 
-Training: each task starts from the same parameters and takes noise-contrastive steps in numpy over one in STRIDE blocks
-of its documents' tokens, with noise shared in a block, so a step is two matrix products; the tasks' parameters are
-averaged, weighted by tokens, in two grouped sums, and go round ROUNDS times. The normaliser of every context is one row of a
+Training: each task starts from the same parameters and takes noise-contrastive steps in numpy over all blocks of its
+documents' tokens, with noise shared in a block, so a step is two matrix products; the tasks' parameters are averaged,
+weighted by tokens, in two grouped sums, and go round ROUNDS times. The normaliser of every context is one row of a
 batched matrix product; so scores are proper log-probabilities.
 
 Counts of the most frequent HEAD words go to the tasks; the other words of each document meet the table of counts in a join.
@@ -32,7 +32,7 @@ from boardlens.llm.store import saved
 
 #: Words whose counts tasks hold, words with a class of their own, classes by ending, width of vectors.
 HEAD, OWN_CLASS, ENDINGS, WIDTH = 1 << 18, 1000, 64, 24
-ROUNDS, STRIDE, BLOCK, NOISE, NOISE_PER_TOKEN, RATE = 2, 4, 512, 64, 8.0, 0.1
+ROUNDS, BLOCK, NOISE, NOISE_PER_TOKEN, RATE = 2, 512, 64, 8.0, 0.1
 SLICES, SUMS = 16, 64
 
 
@@ -152,7 +152,7 @@ def _train_rows(vocabulary, sent, round_: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, squares, tokens = None, None, 0
         rng = np.random.default_rng(round_)
-        left, block = [np.zeros(0, np.int64)] * 3, 0
+        left = [np.zeros(0, np.int64)] * 3
         for batch in batches:
             if model is None:
                 model = LogBilinear(vocabulary.value.unigram)
@@ -163,10 +163,8 @@ def _train_rows(vocabulary, sent, round_: int):
                 left = [np.concatenate([x, y]) for x, y in zip(left, got, strict=True)]
                 at = 0
                 while len(left[0]) - at >= BLOCK:
-                    if block % STRIDE == round_ % STRIDE:
-                        model.train(*(x[at : at + BLOCK] for x in left), rng, squares)
-                        tokens += BLOCK
-                    at, block = at + BLOCK, block + 1
+                    model.train(*(x[at : at + BLOCK] for x in left), rng, squares)
+                    tokens, at = tokens + BLOCK, at + BLOCK
                 left = [x[at:] for x in left]
         if model is not None and len(left[0]):
             model.train(*left, rng, squares)
