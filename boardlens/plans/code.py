@@ -14,7 +14,7 @@ from boardlens.sources import fixtures as X
 
 
 def _sets(spark, sf_dir):
-    lines = X.log_lines(spark, sf_dir).where("line_number <= 100")
+    lines = X.log_lines(spark, sf_dir)
     return S.parse_sets(lines.select(F.col("file").alias("set_id"), F.col("line_number").alias("n"), F.col("raw").alias("line")))
 
 
