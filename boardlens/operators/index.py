@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from boardlens.functions import text as X
 from boardlens.functions import vocabulary as V
 
-#: Ranked files that the budget may walk through for each query.
-MOST_RANKED = 1000
-
 
 def wanted(path: Column) -> Column:
     """Whether a path of a code tree is indexed: a known extension, no skipped directory, no generated file."""
@@ -108,16 +105,17 @@ def scores(chunk_rows: DataFrame, posting_rows: DataFrame, words: DataFrame, que
 def retrieve(chunk_rows: DataFrame, scored: DataFrame, top_k: int = 10, budget: int = 8192) -> DataFrame:
     """The best chunk of each file by matched words, files by score, as many as fit the token budget, top_k at most.
 
-    A chunk that doesn't fit what is left is passed over. Chunks over the whole budget are left out first, and the walk sees
-    the MOST_RANKED best files of a query.
+    A chunk that doesn't fit what is left is passed over. Chunks over the whole budget are left out first. Of chunks with
+    equal tokens the walk sees the top_k best: if one of them isn't kept, no later one is, as what is left only shrinks.
     """
     best = scored.groupBy("query_id", "file_path").agg(F.max_by(F.struct("score", "matched"), F.struct("score", F.col("chunk_id"))).alias("s")).select("query_id", "file_path", "s.score", "s.matched")
     inside = best.join(chunk_rows, "file_path").withColumn("hits", F.size(F.filter("matched", lambda w: F.lower("content").contains(w))))
     first = inside.groupBy("query_id", "file_path", "score", "matched").agg(F.max_by(F.struct("chunk_id", "line_start", "line_end", "content", "function_name"), F.struct("hits", -F.col("line_start"))).alias("c"))
     first = first.select("query_id", "file_path", "score", "matched", "c.*").withColumn("tokens", X.estimate_by_runs(F.col("content"))).where(F.col("tokens") <= budget)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "file_path"))
-    ranked = first.withColumn("rank", rank).where(F.col("rank") <= MOST_RANKED)
-    walk = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "tokens"))).alias("w"))
+    ranked = first.withColumn("rank", rank)
+    alike = F.row_number().over(W.partitionBy("query_id", "tokens").orderBy("rank"))
+    walk = ranked.select("query_id", "rank", "tokens", alike.alias("alike")).where(F.col("alike") <= top_k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "tokens"))).alias("w"))
     kept = F.expr(
         f"aggregate(w, named_struct('used', 0L, 'kept', cast(array() as array<int>)), (a, x) -> if(size(a.kept) < {top_k} and a.used + x.tokens <= {budget}, named_struct('used', a.used + x.tokens, 'kept', array_append(a.kept, x.rank)), a), a -> a.kept)"
     )
