@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from boardlens.llm.automaton import Transducer
 from boardlens.llm.merging import RankMerger
-from boardlens.llm.store import saved
+from boardlens.llm.store import mapped, saved
 
 LEXICON_SIZE = 100_000
 #: Longer pre-tokens are not put into the lexicon.
@@ -108,7 +108,7 @@ def _word_counts(codec):
 
 def frequent_words(texts: DataFrame, codec, most: int) -> list[str]:
     """Words of a count that at most `most` words reach; counted over all texts. Only they come to the driver."""
-    counts = texts.mapInArrow(_word_counts(codec), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = mapped(texts, _word_counts(codec), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = saved(counts.where("n > 1"), "words")
     # The number of words of each power-of-two step of counts, highest first; the lowest step that fits.
     steps = counts.groupBy(F.floor(4 * F.log2("n")).alias("step")).count().orderBy(F.desc("step")).collect()
@@ -177,7 +177,7 @@ def encode(docs: DataFrame, path: str, lexicon_size: int = LEXICON_SIZE, id_col:
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     words = [w.encode() for w in frequent_words(own.select("text"), codec, lexicon_size)]
     lexicon = sc.broadcast(Transducer.build(words, bpe.merge(words)).to_bytes())
-    return own.mapInArrow(_code_rows(codec, lexicon), f"id {dict(own.dtypes)['id']}, ids binary, decoded string").withColumnRenamed("id", id_col)
+    return mapped(own, _code_rows(codec, lexicon), f"id {dict(own.dtypes)['id']}, ids binary, decoded string").withColumnRenamed("id", id_col)
 
 
 def model_path(name: str) -> str:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardlens.llm import hashing
+from boardlens.llm.store import mapped
 
 WIDTH = 13
 MOST_PATTERNS = 200_000
@@ -166,7 +167,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_
     """(id_col, n_words, n_hit, items, contaminated) for each row of docs; items: ids of occurring items, sorted as strings."""
     sc = docs.sparkSession.sparkContext
     tables = [sc.broadcast(Patterns(b)) for b in pattern_blocks(benchmark, width, item_col, item_text_col, most_patterns)]
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_search_rows(tables, width), f"id {dict(docs.dtypes)[id_col]}, n_words long, n_hit long, items array<string>")
+    out = mapped(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), _search_rows(tables, width), f"id {dict(docs.dtypes)[id_col]}, n_words long, n_hit long, items array<string>")
     return out.withColumn("contaminated", F.expr(f"n_hit > 0 and {SHARE} * n_hit >= n_words")).withColumnRenamed("id", id_col)
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -46,9 +45,9 @@ def key_filter(keys: DataFrame, column: str) -> KeyFilter:
     return KeyFilter(bits)
 
 
-def id_filter(ids: DataFrame) -> Broadcast[KeyFilter]:
-    """The filter of xxhash64 of the column `id`, for the tasks."""
-    return ids.sparkSession.sparkContext.broadcast(key_filter(ids.select(F.xxhash64("id").alias("h")), "h"))
+def docs_filter(ids: DataFrame, *columns: str) -> Broadcast[KeyFilter]:
+    """The filter of xxhash64 of the columns, for the tasks."""
+    return ids.sparkSession.sparkContext.broadcast(key_filter(ids.select(F.xxhash64(*columns).alias("h")), "h"))
 
 
 def admitted(admit: Broadcast[KeyFilter], hashes: pa.Array) -> np.ndarray:
@@ -56,16 +55,21 @@ def admitted(admit: Broadcast[KeyFilter], hashes: pa.Array) -> np.ndarray:
     return admit.value.admits(hashes.to_numpy().view(np.uint64))
 
 
-def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs whose id may be in ids, the other docs): only texts of the first need go on to meet their rows in ids."""
-    key = F.xxhash64("id")
-    admit = id_filter(ids)
+def may_be_in(ids: DataFrame, *columns: str) -> F.Column:
+    """Whether a row may be among the rows of ids by these columns; only hashes go to Python."""
+    admit = docs_filter(ids, *columns)
+
+    @F.arrow_udf("boolean")
+    def may(h: pa.Array) -> pa.Array:
+        return pa.array(admitted(admit, h))
 
-    @F.pandas_udf("boolean")
-    def may(h: pd.Series) -> pd.Series:
-        return pd.Series(admit.value.admits(h.to_numpy().view(np.uint64)))
+    return may(F.xxhash64(*columns))
 
-    return docs.where(may(key)), docs.where(~may(key))
+
+def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs whose id may be in ids, the other docs): only texts of the first need go on to meet their rows in ids."""
+    may = may_be_in(ids, "id")
+    return docs.where(may), docs.where(~may)
 
 
 def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

@@ -5,33 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boardlens.llm.store import saved
+from boardlens.llm.store import discard, saved
 
+#: Links of a node beyond which its rows are dealt out by SALTS remainders of their other end.
+HUB, SALTS = 1000, 64
 
-def _smallest(both: DataFrame) -> DataFrame:
-    return both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+
+def _with_smallest(both: DataFrame, hubs: bool) -> DataFrame:
+    """both (u, v) with m, the smallest of u and all v of its rows. With hubs no key holds more than a share of a node's rows."""
+    if not hubs:
+        return both.join(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u")
+    dealt = both.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    shares = dealt.groupBy("u", "s").agg(F.min("v").alias("least"))
+    smallest = shares.groupBy("u").agg(F.least(F.min("least"), F.first("u")).alias("m"))
+    return dealt.join(shares.select("u", "s").join(smallest, "u"), ["u", "s"]).drop("s")
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links (a, b): links of comparable ids. Returns (id, component) for each id in a link; component is the smallest id reachable.
 
     Each round hangs nodes on the smallest neighbour that they see; the number of rounds grows with the logarithm of
-    the size of a component. Minima combine before the shuffle and joins split hot ids, so a hub isn't gathered.
+    the size of a component. Minima combine before the shuffle, and the rows of nodes with more than HUB links are dealt
+    out by their other end, so that no task gathers a hub. A null end links nothing; an empty table gives no rows.
     """
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen = None
+    seen, hubs = None, True
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: the larger neighbours of u hang on the smallest of u and its neighbours.
-        large = both.join(_smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _with_smallest(both, hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: u and its smaller neighbours hang on the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = saved(small, "stars")
+        old, edges = edges, saved(small, "stars")
+        discard(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break
         seen = tuple(state)
+        # Nodes of a star's rim have one link; only centers, whose number of rows is that of v, can be hubs.
+        hubs = not edges.groupBy("v").count().where(F.col("count") > HUB).isEmpty()
     else:
         raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

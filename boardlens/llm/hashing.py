@@ -1,28 +1,28 @@
 """Words of whole texts as 64-bit hashes, many texts at a time in numpy.
 
-A word is a maximal run of bytes that a 256-entry table calls word bytes. Its hash is a polynomial over random
-byte values modulo 2^64, taken from one running sum over the batch and finished by a mixer, so no Python object
-is made for a word.
+A word is a maximal run of bytes that a 256-entry table calls word bytes. Its bytes go into the hash eight at a time, each
+time through a mixer that is no polynomial, so patterns of letters do not cancel; words of more than LONG bytes are hashed
+by BLAKE2b. Runs of words are hashed by joining halves with the same mixer. Where equality is decided by hashes, two
+hashes of different keys are taken together as 128 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 19
+#: Bytes of the longest word that is hashed in numpy.
+LONG = 64
 
 _U = np.uint64
-_RNG = np.random.default_rng(20240229)
-BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-#: The multiplier of hashes over sequences of words.
-WORD_BASE = 0xD1342543DE82EF95
-WORD_BASE_INVERSE = pow(WORD_BASE, -1, 1 << 64)
+#: Two keys for two hashes of the same words.
+KEYS = (0x9E3779B97F4A7C15, 0xA0761D6478BD642F)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,27 +37,42 @@ ALNUM[0x61:0x7B] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_tables: dict[int, np.ndarray] = {}
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every bit."""
+    h = h ^ (h >> _U(32))
+    h *= _U(0xD6E8FEB86659FD93)
+    h ^= h >> _U(29)
+    h *= _U(0xFF51AFD7ED558CCD)
+    h ^= h >> _U(32)
+    return h
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2^64; kept in the process, and longer ones replace shorter ones."""
-    have = _tables.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, base, np.uint64)]), dtype=np.uint64)
-        _tables[base] = have
-    return have[:n]
+def join(a: np.ndarray, b: np.ndarray, key: int = KEYS[0]) -> np.ndarray:
+    """A hash of two hashes in this order."""
+    x = mix(a + _U(key))
+    x ^= b
+    return mix(x)
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads every bit."""
-    h = h ^ (h >> _U(32))
-    h = h * _U(0xD6E8FEB86659FD93)
-    h = h ^ (h >> _U(29))
-    h = h * _U(0xFF51AFD7ED558CCD)
-    return h ^ (h >> _U(32))
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = KEYS[0]) -> np.ndarray:
+    """A 64-bit hash of the bytes low[start:end] of each word; words have a byte at least."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(low) + 1,), np.dtype("<u8"), padded, strides=(1,))
+    size = ends - starts
+    h = size.astype(np.uint64) * _U(key)
+    h ^= eight[starts] & _MASK[np.minimum(size, 8)]
+    h = mix(h)
+    more, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(more):
+        x = (h[more] + _U(key)) ^ (eight[starts[more] + at] & _MASK[np.minimum(size[more] - at, 8)])
+        h[more] = mix(x)
+        at += 8
+        more = more[size[more] > at]
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = int.from_bytes(blake2b(low[starts[k] : ends[k]].tobytes(), digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
+    return h
 
 
 @dataclass
@@ -73,6 +88,10 @@ class Words:
     hashes: np.ndarray
     bounds: np.ndarray
 
+    def second(self) -> np.ndarray:
+        """Hashes of the words by the other key."""
+        return word_hashes(self.low, self.starts, self.ends, KEYS[1])
+
     @property
     def n_texts(self) -> int:
         return len(self.bounds) - 1
@@ -117,20 +136,27 @@ def words(texts: pa.Array, is_word: np.ndarray = NOT_SPACE, lower: bool = False,
         after[text_at[1:][text_at[1:] > 0] - 1] = False
         starts = np.flatnonzero(inside & ~before)
         ends = np.flatnonzero(inside & ~after) + 1
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[low] * powers(BASE, n), out=total[1:])
-        hashes = mix((total[ends] - total[starts]) * powers(BASE_INVERSE, n + 1)[starts])
+        hashes = word_hashes(low, starts, ends)
         yield Words(i, raw, low, text_at, starts, ends, hashes, np.searchsorted(starts, text_at))
 
 
-def window_hashes(hashes: np.ndarray, width: int, base: int = WORD_BASE, inverse: int = WORD_BASE_INVERSE) -> np.ndarray:
-    """The hash of every run of width hashes; run i starts at i. Runs that cross texts are for the caller to drop."""
-    n = len(hashes)
-    if n < width:
+def window_hashes(hashes: np.ndarray, width: int, key: int = KEYS[0]) -> np.ndarray:
+    """The hash of every run of width hashes; run i starts at i. Runs that cross texts are for the caller to drop.
+
+    Runs of 1, 2, 4, ... hashes are joined from halves; those of the width's binary digits make up the whole.
+    """
+    n = len(hashes) - width + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * powers(base, n), out=total[1:])
-    return mix((total[width:] - total[: n - width + 1]) * powers(inverse, n)[: n - width + 1])
+    power, size, out, done = hashes, 1, None, 0
+    while True:
+        if width & size:
+            out = power[:n] if out is None else join(out, power[done : done + n], key)
+            done += size
+        if done == width:
+            return out.copy() if out is hashes or out.base is hashes else out
+        power = join(power[:-size], power[size:], key)
+        size *= 2
 
 
 def starts_inside(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,13 +169,8 @@ def starts_inside(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
 
 def hash_strings(values: list[bytes]) -> np.ndarray:
     """The hash that words() gives to each of these words."""
-    if not values:
-        return np.zeros(0, np.uint64)
-    out = np.empty(len(values), np.uint64)
-    for k, v in enumerate(values):
-        b = np.frombuffer(v, np.uint8)
-        out[k] = (BYTE_VALUE[b] * powers(BASE, len(b))).sum(dtype=np.uint64)
-    return mix(out)
+    ends = np.cumsum(np.fromiter(map(len, values), np.int64, len(values)))
+    return word_hashes(np.frombuffer(b"".join(values), np.uint8), ends - np.fromiter(map(len, values), np.int64, len(values)), ends)
 
 
 class Lookup:

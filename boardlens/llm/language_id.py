@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardlens.llm import hashing
+from boardlens.llm.store import mapped
 
 PER_LANGUAGE = 400
 MOST_CHARS = 4000
@@ -52,8 +53,7 @@ class Encoded:
         self.codes[3] = (third * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS[3])
         self.codes[4] = ((third | low[3:] << 24) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BITS[4])
         # Lexicon keys: the word hash of boardlens.llm.hashing.
-        total = np.concatenate([[np.uint64(0)], np.cumsum(hashing.BYTE_VALUE[raw] * hashing.powers(hashing.BASE, len(raw)), dtype=np.uint64)])
-        self.keys = hashing.mix((total[self.ends] - total[self.starts]) * hashing.powers(hashing.BASE_INVERSE, len(raw) + 1)[self.starts])
+        self.keys = hashing.word_hashes(raw, self.starts, self.ends)
         line = np.cumsum([0, *(len(t.lower().encode()) + 1 for t in texts)])
         self.bounds = np.searchsorted(self.starts, line + 1)
 
@@ -227,7 +227,7 @@ def identify(docs: DataFrame, model: Field | None, id_col: str = "doc_id", text_
     """(id_col, lang_pred, score) for each row of docs."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return own.mapInArrow(_label_rows(sent), f"id {dict(own.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return mapped(own, _label_rows(sent), f"id {dict(own.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = MOST_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Field | None:

@@ -13,18 +13,24 @@ linked if their sets' Jaccard similarity is `percent` / 100 or more.
    documents that have enough others: documents of which 30 % or more are other shingles have a sketch of RARE_K of those,
    documents of which less than 65 % are have one of all. Two sets of similarity 0.8 are both in one of the two kinds, and
    in the first the others' similarity is 0.69 or more, which misses two shared neighbours with probability 4e-13.
-4. Each list pairs its members with its smallest member. The ESTIMATE_K lowest values of two sketches' union estimate the
-   similarity; pairs far below the threshold go, and full sets decide on the others. Candidates, linked or not, form families.
-5. In a family with several components, members outside the largest are compared with all of the other components, block by
-   block: a task multiplies the incidence matrices of two blocks of full sets and reports one link for two components.
-6. Lists with members of several families pair members of different families. Linked full sketches share several lists,
-   LEAST_RARE or LEAST_ALL, so each may leave one less of its longest lists and still shares another (prefix filtering): that
-   takes the lists of shared passages out. Pairs whose sketches differ in more values than the estimate allows don't leave the
-   join: parities of the retained values in ODD_BITS slots count the differences, never too many. Estimates and full sets
-   decide on the pairs that are left.
-
-Cases: null text has no words; a null id counts as larger than all others and is never kept beside one that has an id;
-repeated rows are copies; other columns are not read.
+4. Each list pairs its members with its smallest and its largest member. The ESTIMATE_K lowest values of two sketches' union
+   estimate the similarity; pairs far below the threshold go. Pairs that stay, linked or not, form families.
+5. Lists with members of several families: linked full sketches share several lists, LEAST_RARE or LEAST_ALL, so each may
+   leave one less of its longest lists and still shares another (prefix filtering): that takes the lists of shared passages
+   out. In each list left, block by block, the members outside its largest family are compared with all of other families, inside
+   the task: parities of the retained values in ODD_BITS slots count differences, never too many, and the estimate decides.
+   A task returns one pair for two families, which then are one; pairs of a list never become rows.
+6. Full sets of pairs with heads of lists decide on links. In a family that then has several components, members outside the
+   largest are compared with all of the other components, block by block: a task multiplies the incidence matrices of two
+   blocks of full sets and reports one link for two components. So every pair that 2 to 5 leave is decided exactly.
+
+With `exact`, lists are those of single values, of which each sketch retains so many that linked sets always share one
+(more than a share of 1 - percent / 100 of its set), and estimates drop nothing: no pair is missed at any probability, at higher cost.
+
+Cases: null or empty text has no words; very long texts have large sets and sketches like all others; a null id counts as
+larger than all others and is never kept beside one that has an id; repeated rows are copies; rows with one id and different
+texts are judged each for itself; a similarity of exactly percent / 100 links; ids are of any type that Spark orders; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,9 +44,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boardlens.llm import hashing
-from boardlens.llm.filters import admitted, id_filter, key_filter
+from boardlens.llm.filters import admitted, docs_filter, key_filter
 from boardlens.llm.graph import components
-from boardlens.llm.store import saved
+from boardlens.llm.store import discard, mapped, saved
 
 K = 48
 RARE_K = 64
@@ -49,16 +55,16 @@ RARE_K = 64
 ESTIMATE_K, ESTIMATE_LESS = 128, 0.25
 #: Slots in which a signature has the parities of the ESTIMATE_K lowest values.
 ODD_BITS = 512
-#: Sets that a task compares with as many others.
-BLOCK = 128
-#: A class is named by its fingerprint.
-NAME = "xxhash64(f, g) AS c"
+#: Sets that a task compares with as many others; members of a list that it compares with as many others.
+BLOCK, LIST_BLOCK = 128, 512
+#: Rows of lists that a task takes together.
+TOGETHER = 8192
 #: Neighbours that two linked sketches share at least if one is full: of rare shingles, of all (missed at 1e-8 and 4e-9).
 LEAST_RARE, LEAST_ALL = 5, 6
 #: Shingles of more than one document in so many are common.
 COMMON_ONE_IN = 1000
-#: Slots by the upper bits of shingles in which a batch's shingles are counted first.
-SLOT_BITS = 22
+#: Slots by the upper bits of shingles in which shingles are counted first, and shingles that are counted together.
+SLOT_BITS, COUNTED = 20, 1 << 22
 
 
 def shingle_sets(w: hashing.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,8 +75,8 @@ def shingle_sets(w: hashing.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     for m in range(1, width):
         own = np.flatnonzero(n == m)
         if len(own):
-            short = hashing.window_hashes(w.hashes, m)[w.bounds[own]] if len(w.hashes) >= m else np.zeros(0, np.uint64)
-            values, text = np.concatenate([values, short ^ np.uint64(m)]), np.concatenate([text, own])
+            short = hashing.window_hashes(w.hashes, m, hashing.KEYS[1])[w.bounds[own]]
+            values, text = np.concatenate([values, short]), np.concatenate([text, own])
     order = np.lexsort((values, text))
     values, text = values[order], text[order]
     new = np.ones(len(values), bool)
@@ -113,34 +119,33 @@ def _neighbours(low: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def frequent(parts: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
     """Values that occur `least` times or more in all parts together, and how often. Values of slots with fewer are never sorted."""
-    slots, shift = np.zeros(1 << SLOT_BITS, np.int32), np.uint64(64 - SLOT_BITS)
+    slots, shift = np.zeros(1 << SLOT_BITS, np.int64), np.uint64(64 - SLOT_BITS)
     for v in parts:
-        np.add.at(slots, (v >> shift).astype(np.int64), 1)
+        slots += np.bincount((v >> shift).astype(np.int64), minlength=len(slots))
     values = np.concatenate([np.zeros(0, np.uint64), *(v[slots[(v >> shift).astype(np.int64)] >= least] for v in parts)])
     values, counts = np.unique(values, return_counts=True)
     return values[counts >= least], counts[counts >= least]
 
 
-def parities(low: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each sketch ODD_BITS bits: whether an odd number of its values falls into a slot. Two signatures differ in at most as
-    many bits as the sketches have values that only one of them retains.
-    """
-    words = ODD_BITS // 64
-    slot = low & np.uint64(ODD_BITS - 1)
-    out = np.zeros((len(at) - 1) * words, np.uint64)
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    np.bitwise_xor.at(out, text * words + (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
-    return out
-
-
 def _common_rows(width: int):
-    """Shingles that many of a batch's documents have, with their number."""
+    """Shingles that many of a task's documents have, with their number, for COUNTED shingles at a time."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        n_docs = n = 0
+
+        def counted() -> pa.RecordBatch:
+            values, counts = frequent(parts, max(2, n_docs // (2 * COMMON_ONE_IN)))
+            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["h", "n"])
+
         for batch in batches:
-            parts = [shingle_sets(w, width)[0] for w in hashing.words(batch.column(0), lower=True)]
-            values, counts = frequent(parts, max(2, batch.num_rows // (2 * COMMON_ONE_IN)))
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["h", "n"])
+            for w in hashing.words(batch.column(0), lower=True):
+                parts.append(shingle_sets(w, width)[0])
+                n_docs, n = n_docs + w.n_texts, n + len(parts[-1])
+                if n >= COUNTED:
+                    yield counted()
+                    parts, n_docs, n = [], 0, 0
+        yield counted()
 
     return rows
 
@@ -150,8 +155,14 @@ def upper_halves(low: np.ndarray) -> np.ndarray:
     return ((low >> np.uint64(32)).astype(np.uint32) ^ np.uint32(1 << 31)).view(np.int32)
 
 
-def _sketch_rows(width: int, k: int, common):
-    """id, n, fingerprint, the lowest values (upper halves) and their parities, the keys of inverted lists and which kinds are full, for each row."""
+def _prefix(values: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest values of each set, so many that of two linked sets one is shared, and their bounds."""
+    n = np.diff(bounds)
+    return _lowest(values, bounds, np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0))
+
+
+def _sketch_rows(width: int, k: int, common, exact: int | None):
+    """id, n, fingerprint, the lowest values (upper halves), the keys of inverted lists and which kinds are full, for each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,22 +170,25 @@ def _sketch_rows(width: int, k: int, common):
                 values, bounds = shingle_sets(w, width)
                 n = np.diff(bounds)
                 f, g = fingerprints(values, bounds)
-                low, at = _lowest(values, bounds, ESTIMATE_K)
-                odd = ragged(parities(low, at), np.arange(len(at)) * (ODD_BITS // 64))
+                low, at = _lowest(values, bounds, np.full(len(n), ESTIMATE_K))
                 low = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(upper_halves(low)))
-                rare = ~common.value.admits(values)
-                rare_bounds = np.concatenate([[0], np.cumsum(rare)])[bounds]
-                n_rare = np.diff(rare_bounds)
-                few, many = 100 * n_rare < 65 * n, 100 * n_rare >= 30 * n
-                all_keys, all_at = _neighbours(*_lowest(values, bounds, np.where(few, k, 0)))
-                rare_keys, rare_at = _neighbours(*_lowest(values[rare], rare_bounds, np.where(many, RARE_K, 0)))
-                text = np.concatenate([np.repeat(np.arange(len(n)), np.diff(x)) for x in (all_at, rare_at)])
-                # The lowest bit tells the two kinds of lists apart.
-                keys = np.concatenate([all_keys & ~np.uint64(1), rare_keys | np.uint64(1)])[np.argsort(text, kind="stable")]
-                full = (np.diff(all_at) == k - 1) + 2 * (np.diff(rare_at) == RARE_K - 1)
+                if exact:
+                    keys, keys_at = _prefix(values, bounds, exact)
+                    full = np.zeros(len(n))
+                else:
+                    rare = ~common.value.admits(values)
+                    rare_bounds = np.concatenate([[0], np.cumsum(rare)])[bounds]
+                    n_rare = np.diff(rare_bounds)
+                    few, many = 100 * n_rare < 65 * n, 100 * n_rare >= 30 * n
+                    all_keys, all_at = _neighbours(*_lowest(values, bounds, np.where(few, k, 0)))
+                    rare_keys, rare_at = _neighbours(*_lowest(values[rare], rare_bounds, np.where(many, RARE_K, 0)))
+                    text = np.concatenate([np.repeat(np.arange(len(n)), np.diff(x)) for x in (all_at, rare_at)])
+                    # The lowest bit tells the two kinds of lists apart.
+                    keys, keys_at = np.concatenate([all_keys & ~np.uint64(1), rare_keys | np.uint64(1)])[np.argsort(text, kind="stable")], all_at + rare_at
+                    full = (np.diff(all_at) == k - 1) + 2 * (np.diff(rare_at) == RARE_K - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.first, w.n_texts), pa.array(n, pa.int64()), pa.array(f), pa.array(g), low, odd, ragged(keys, all_at + rare_at), pa.array(full.astype(np.int8))],
-                    names=["id", "n", "f", "g", "low", "odd", "keys", "full"],
+                    [batch.column(0).slice(w.first, w.n_texts), pa.array(n, pa.int64()), pa.array(f), pa.array(g), low, ragged(keys, keys_at), pa.array(full.astype(np.int8))],
+                    names=["id", "n", "f", "g", "low", "keys", "full"],
                 )
 
     return rows
@@ -189,7 +203,7 @@ def _set_rows(width: int, admit):
             for w in hashing.words(texts, lower=True):
                 values, bounds = shingle_sets(w, width)
                 f, g = fingerprints(values, bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(g), ragged(values, bounds)], names=["f", "g", "full"])
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(g), ragged(values, bounds)], names=["f", "g_", "full"])
 
     return rows
 
@@ -241,19 +255,94 @@ def _estimate(x: str, y: str, k: int) -> F.Column:
     return F.expr(f"size(array_intersect(slice(array_sort(array_union({x}, {y})), 1, {k}), array_intersect({x}, {y}))) / least({k}, size(array_union({x}, {y})))")
 
 
-def _may_link(percent: int) -> str:
-    """For sets of n and m shingles with signatures x and y: they differ no more than sketches of linked sets do. If sketches hold
-    whole sets, the similarity bounds the differences; else the estimate does, with the chance of missing that it has.
+_NONE = 1 << 40
+
+
+def estimates(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    """The same for rows of padded sketches (_NONE where there is no value)."""
+    both = np.sort(np.concatenate([x, y], 1), 1)
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] < _NONE)
+    rank = np.cumsum(~again & (both < _NONE), 1)
+    return (again & (rank <= k)).sum(1) / np.maximum(np.minimum(k, rank[:, -1]), 1)
+
+
+def parities(low: np.ndarray) -> np.ndarray:
+    """For each padded sketch ODD_BITS bits: whether an odd number of its values falls into a slot. Two signatures differ in at
+    most as many bits as the sketches have values that only one of them retains.
+    """
+    row, at = np.nonzero(low < _NONE)
+    slot = low[row, at] & (ODD_BITS - 1)
+    odd = np.bincount(row * ODD_BITS + slot, minlength=len(low) * ODD_BITS).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(low), ODD_BITS), axis=1).view(np.uint64)
+
+
+def _near_in_lists(percent: int, least: float):
+    """Rows sorted by group g -> one pair of classes for each two families of which some members are near.
+
+    Side 1 rows only meet those of side 0 or 2, side 0 rows only those of side 1 or 2.
     """
-    differ = " + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(ODD_BITS // 64))
-    most = f"least(n, {ESTIMATE_K}) + least(m, {ESTIMATE_K}) - {2 * ESTIMATE_K * (percent / 100 - ESTIMATE_LESS):.3f}D"
-    return f"{differ} <= case when greatest(n, m) <= {ESTIMATE_K} then (n + m) * {100 - percent} / {100 + percent} else {most} end"
+
+    def near(g, c, n, family, side, low) -> list[tuple[int, int]]:
+        order = np.lexsort((n, g))
+        g, c, n, side, low = g[order], c[order], n[order], side[order], low[order]
+        label = np.unique(family[order], return_inverse=True)[1]
+        odd, out, d = parities(low), [], 0
+        i = np.arange(len(g))
+        while len(i):
+            d += 1
+            i = i[i + d < len(g)]
+            j = i + d
+            # In a group rows are sorted by size: what is too large now stays so.
+            i = i[(g[i] == g[j]) & (percent * n[j] <= 100 * n[i])]
+            j = i + d
+            some = (label[i] != label[j]) & ((side[i] != side[j]) | (side[i] == 2))
+            p, q = i[some], j[some]
+            small = np.maximum(n[p], n[q]) <= ESTIMATE_K
+            most = np.where(small, (n[p] + n[q]) * (100 - percent) / (100 + percent), np.minimum(n[p], ESTIMATE_K) + np.minimum(n[q], ESTIMATE_K) - 2 * ESTIMATE_K * least)
+            close = np.bitwise_count(odd[p] ^ odd[q]).sum(1) <= most
+            p, q = p[close], q[close]
+            for k in range(0, len(p), 2048):
+                x, y = p[k : k + 2048], q[k : k + 2048]
+                sure = estimates(low[x], low[y], ESTIMATE_K) >= least
+                for u, v in zip(x[sure].tolist(), y[sure].tolist(), strict=True):
+                    if label[u] != label[v]:
+                        out.append((int(c[u]), int(c[v])))
+                        label[label == label[v]] = label[u]
+        return out
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            lists = t.column("low").combine_chunks()
+            low = np.full((t.num_rows, ESTIMATE_K), _NONE, np.int64)
+            size = lists.value_lengths().to_numpy()
+            low[np.arange(ESTIMATE_K) < size[:, None]] = lists.flatten().to_numpy()
+            got = near(*(t.column(k).to_numpy() for k in ("g", "c", "n", "family", "side")), low)
+            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in got], pa.int64()), pa.array([max(p) for p in got], pa.int64())], names=["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < TOGETHER:
+                continue
+            t = pa.Table.from_batches(held)
+            g = t.column("g").to_numpy()
+            # The last group may go on in the next batch; blocks bound its size.
+            cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if (g != g[-1]).any() else 0
+            held = t.slice(cut).to_batches()
+            if cut:
+                yield pairs(t.slice(0, cut))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return rows
 
 
 class _Verifier:
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int, exact: bool):
         self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
-        self.least = percent / 100 - ESTIMATE_LESS
+        self.least = 0.0 if exact else percent / 100 - ESTIMATE_LESS
 
     def candidates(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes whose estimate isn't far below the threshold."""
@@ -265,12 +354,15 @@ class _Verifier:
         """Links that full sets confirm. groups (g, c, side, comp): in each group the classes of side 0 or 2 meet those of side 1 or 2."""
         groups = saved(groups, "groups")
         # Only documents that are the first of their class and in a group are cut into shingles again.
-        needed = saved(groups.select("c").distinct().join(self.classes.select("c", "id"), "c"), "needed")
+        needed = saved(groups.select("c").distinct().join(self.classes.select("c", "id", "f", "g"), "c").withColumnRenamed("g", "g_"), "needed")
         # They are told apart in the same Python worker that cuts them; a second one in each task would need its own memory.
-        sets = self.docs.select(F.xxhash64("id").alias("h"), "text").mapInArrow(_set_rows(self.width, id_filter(needed)), "f long, g long, full array<long>").selectExpr(NAME, "full")
-        # Rows that repeat a first document bring the same set again, which only finds the same links.
+        sets = mapped(self.docs.select(F.xxhash64("id").alias("h"), "text"), _set_rows(self.width, docs_filter(needed, "id")), "f long, g_ long, full array<long>")
+        # Rows that repeat a first document, or have its id, bring sets again or others.
+        sets = sets.join(needed.select("c", "f", "g_"), ["f", "g_"]).groupBy("c").agg(F.first("full").alias("full"))
         full = groups.join(sets, "c").select("g", "c", "side", "comp", "full")
-        return saved(full.groupBy("g").applyInArrow(_compare(self.percent), "a long, b long"), "confirmed")
+        out = saved(full.groupBy("g").applyInArrow(_compare(self.percent), "a long, b long"), "confirmed")
+        discard(groups, needed)
+        return out
 
 
 def _spread(side: str, blocks: int = BLOCK) -> F.Column:
@@ -303,54 +395,70 @@ def _family_groups(members: DataFrame) -> DataFrame:
     return with_other.unionByName(with_main).unionByName(of_main)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _list_groups(lists: DataFrame, families: DataFrame, classes: DataFrame) -> DataFrame:
+    """(g, c, n, family, side, low): lists with members of several families, in groups of at most about two blocks.
+
+    Members outside a list's largest family meet all others of the list; those of the largest one don't meet each other.
+    """
+    named = lists.join(families.withColumnsRenamed({"id": "c", "component": "family"}), "c", "left").withColumn("family", F.coalesce("family", "c"))
+    parts = named.groupBy("key", "family").agg(F.count("*").alias("part"))
+    parts = parts.groupBy("key").agg(F.count("*").alias("k"), F.sum("part").alias("size"), F.max(F.struct("part", "family")).alias("most")).where("k > 1")
+    blocks = parts.select("key", F.col("most.family").alias("largest"), F.ceil((F.col("size") - F.col("most.part")) / LIST_BLOCK).cast("int").alias("bo"), F.ceil(F.col("most.part") / LIST_BLOCK).cast("int").alias("bm"))
+    own = named.join(blocks, "key").withColumn("main", F.col("family") == F.col("largest"))
+    # Targets 0 .. bo - 1 are blocks of others, bo .. bo + bm - 1 those of the largest family. A small list is one group.
+    own = own.withColumn("block", F.when(F.col("main"), F.col("bo") + F.pmod(F.xxhash64("c"), F.col("bm"))).otherwise(F.pmod(F.xxhash64("c"), F.col("bo"))).cast("int"))
+    own = own.withColumn("to", F.explode(F.expr("case when bo + bm = 2 then array(0) when main then sequence(0, bo - 1) else sequence(0, bo + bm - 1) end")))
+    side = F.expr("case when bo + bm = 2 then if(main, 1, 2) when block = to then 2 when block < to then 0 else 1 end")
+    g = F.xxhash64("key", F.expr("if(bo + bm = 2, 0, least(block, to))"), F.expr("if(bo + bm = 2, 0, greatest(block, to))"))
+    return own.select(g.alias("g"), "c", "n", "family", side.cast("byte").alias("side")).join(classes.select("c", "low"), "c")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """(id_col, n_shingles, component_id, kept), one row for each row of docs. component_id is the smallest id reachable by links."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    common = own.select("text").mapInArrow(_common_rows(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    n_docs = own.count()
-    common = saved(common.where(F.col("n") * COMMON_ONE_IN > n_docs).select("h"), "common")
-    sent = docs.sparkSession.sparkContext.broadcast(key_filter(common, "h"))
-    rows = saved(own.mapInArrow(_sketch_rows(width, k, sent), "id long, n long, f long, g long, low array<int>, odd array<long>, keys array<long>, full byte"), "sketches")
-    filled = rows.where("n > 0")
-    # A class is named by its fingerprint; c is short for both halves.
-    name = F.expr(NAME)
-    classes = saved(filled.groupBy("f", "g").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("odd").alias("odd"), F.first("keys").alias("keys"), F.first("full").alias("full")).where("id is not null").select(name, "id", "n", "low", "odd", "keys", "full"), "classes")
-    comp = _class_components(own, classes, width, percent)
-    # The smallest id of a component over all rows of its classes.
-    of = rows.where("n > 0").select(name).distinct().join(comp.withColumnRenamed("id", "c"), "c", "left").select("c", F.coalesce("component", "c").alias("comp"))
-    least = filled.groupBy(name).agg(F.min("id").alias("least")).join(of, "c")
-    least = least.join(least.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("c", "component_id")
-    linked = filled.withColumn("c", name).join(least, "c").select("id", F.col("n").alias("n_shingles"), "component_id")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = own.schema["id"].dataType.simpleString()
+    sent = None
+    if not exact:
+        common = mapped(own.select("text"), _common_rows(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+        n_docs = own.count()
+        common = saved(common.where(F.col("n") * COMMON_ONE_IN > n_docs).select("h"), "common")
+        sent = docs.sparkSession.sparkContext.broadcast(key_filter(common, "h"))
+    sketches = saved(mapped(own, _sketch_rows(width, k, sent, percent if exact else None), f"id {kind}, n long, f long, g long, low array<int>, keys array<long>, full byte"), "sketches")
+    rows = saved(sketches.select("id", "n", "f", "g"), "rows")
+    first = sketches.where("n > 0").groupBy("f", "g").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("keys").alias("keys"), F.first("full").alias("full"))
+    # The table is written once, so the numbers stay.
+    classes = saved(first.withColumn("c", F.monotonically_increasing_id()), "classes")
+    discard(sketches)
+    comp = _class_components(own, classes, width, percent, exact)
+    # The smallest id of a component over all its classes.
+    of = classes.select("f", "g", "c", "id").join(comp.withColumnsRenamed({"id": "c", "component": "comp"}), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    of = of.join(of.groupBy("comp").agg(F.min("id").alias("component_id")), "comp").select("f", "g", "component_id")
+    linked = rows.where("n > 0").join(of, ["f", "g"]).select("id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0").select("id", F.lit(0).cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.expr("id <=> component_id")).withColumnRenamed("id", id_col)
 
 
-def _class_components(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    verify = _Verifier(docs, classes, width, percent)
+def _class_components(docs: DataFrame, classes: DataFrame, width: int, percent: int, exact: bool) -> DataFrame:
+    verify = _Verifier(docs, classes, width, percent, exact)
     lists = classes.select(F.explode("keys").alias("key"), "c", "n", "full")
-    shared = lists.groupBy("key").agg(F.min("c").alias("head"), F.max("c").alias("last"), F.count("*").alias("members")).where("head <> last").drop("last")
+    shared = lists.groupBy("key").agg(F.min("c").alias("head"), F.max("c").alias("last"), F.count("*").alias("members")).where("head <> last")
     lists = saved(lists.join(shared, "key"), "lists")
-    sizes = classes.select(F.col("c").alias("head"), F.col("n").alias("m"))
-    close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-    stars = lists.where("c <> head").select("head", "c", "n").distinct().join(sizes, "head").where(close).select(F.col("head").alias("a"), F.col("c").alias("b"))
-    stars = saved(stars, "stars")
+    ends = lists.where("c <> head").select(F.col("head").alias("a"), F.col("c").alias("b"), "n")
+    ends = ends.unionByName(lists.where("c <> last").select(F.col("last").alias("a"), F.col("c").alias("b"), "n")).distinct()
+    sizes = classes.select(F.col("c").alias("a"), F.col("n").alias("m"))
+    stars = ends.join(sizes, "a").where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = verify.candidates(stars)
-    links = verify.links(_star_groups(near))
-    families, parts = saved(components(near), "families"), components(links)
-    members = families.select(F.col("id").alias("c"), F.col("component").alias("family")).join(parts.withColumnsRenamed({"id": "c", "component": "comp"}), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    links = links.unionByName(verify.links(_family_groups(members)))
     longest = F.row_number().over(W.partitionBy("c", F.col("key") % 2).orderBy(F.desc("members"), F.desc("key")))
     leave = F.expr(f"case when key & 1 = 1 and full & 2 = 2 then {LEAST_RARE - 1} when key & 1 = 0 and full & 1 = 1 then {LEAST_ALL - 1} else 0 end")
     shorter = lists.select("key", "c", "n", (longest > leave).alias("stays")).where("stays").drop("stays")
-    named = shorter.join(families.withColumnsRenamed({"id": "c", "component": "family"}), "c", "left").withColumn("family", F.coalesce("family", "c"))
-    parts = named.groupBy("key", "family").agg(F.count("*").alias("part"))
-    parts = parts.groupBy("key").agg(F.min("family").alias("p"), F.max("family").alias("q"), F.max(F.struct("part", "family")).alias("most")).where("p <> q")
-    open_ = saved(named.join(parts.select("key", F.col("most.family").alias("largest")), "key").join(classes.select("c", "odd"), "c"), "open")
-    left = open_.where("family <> largest").select("key", F.col("c").alias("a"), "n", F.col("family").alias("p"), F.col("odd").alias("x"))
-    right = open_.select("key", F.col("c").alias("b"), F.col("n").alias("m"), F.col("family").alias("q"), (F.col("family") == F.col("largest")).alias("main"), F.col("odd").alias("y"))
-    pairs = left.join(right, "key").where(f"p <> q and (main or a < b) and {close} and {_may_link(percent)}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    across = verify.candidates(pairs.join(stars, ["a", "b"], "left_anti"))
-    return components(links.unionByName(verify.links(_star_groups(across))))
+    groups = _list_groups(shorter, components(near), classes).repartition("g").sortWithinPartitions("g")
+    across = saved(mapped(groups, _near_in_lists(percent, verify.least), "a long, b long"), "across")
+    discard(lists)
+    families = components(near.unionByName(across))
+    links = verify.links(_star_groups(near))
+    parts = components(links)
+    members = families.select(F.col("id").alias("c"), F.col("component").alias("family")).join(parts.withColumnsRenamed({"id": "c", "component": "comp"}), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    return components(links.unionByName(verify.links(_family_groups(members))))
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

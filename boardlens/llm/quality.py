@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardlens.llm import hashing
-from boardlens.llm.store import saved
+from boardlens.llm.store import mapped, saved
 
 MOST_LABELS = 8000
 MOST_CHARS = 50_000
@@ -196,7 +196,7 @@ def judge(docs: DataFrame, models: list[Linear], host: Column, path: Column, id_
     sent = docs.sparkSession.sparkContext.broadcast(models)
     own = docs.select(F.struct(F.col(id_col).alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path")).alias("row"), F.col(text_col).alias("text"))
     kind = own.schema["row"].dataType.simpleString()
-    evidence = own.mapInArrow(_evidence_rows(sent), f"row {kind}, low_quality double, toxic double").select("row.*", *KINDS)
+    evidence = mapped(own, _evidence_rows(sent), f"row {kind}, low_quality double, toxic double").select("row.*", *KINDS)
     evidence = saved(evidence, "evidence")
     out = evidence
     for k in KINDS:

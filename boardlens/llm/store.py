@@ -1,31 +1,83 @@
-"""Tables written to the folder that the cluster shares, to cut lineage so that lost executors cost little."""
+"""Tables in the folder that the cluster shares, to cut lineage so that lost executors cost little; Python stages of bounded memory."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes that an Arrow batch holds at most (one long text may go beyond the bytes).
+BATCH_ROWS, BATCH_BYTES = 2048, 16 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in local tests, a temporary folder that is set there."""
+    """The folder in spark.checkpoint.dir. Where it is unset, local sessions get a temporary folder and others are refused."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{os.path.join(tempfile.gettempdir(), 'boardlens-checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written as Parquet to the shared folder and read back. The files go when the driver's JVM ends."""
+    """df written as Parquet to the shared folder and read back. The files go when the driver's JVM ends, or with discard()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/boardlens-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+    # Shuffle files of the write are of no use once it has ended.
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    p, files = _path(spark, path)
+    files.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more."""
+    for t in tables:
+        p, files = _path(t.sparkSession, t.saved_at)
+        files.delete(p, True)
+
+
+def release() -> None:
+    """Gives memory that Arrow and the C library hold on to back, since a Python worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(rows, schema) on batches of bounded size, whose workers release memory at the end of a task."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def partitions(df: DataFrame) -> int:

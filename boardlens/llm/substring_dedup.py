@@ -5,11 +5,19 @@ lies in a window whose word sequence also starts in a document with a smaller id
 
 Anchors are shorter windows (width - period + 1 words) at positions whose remainder modulo the period is in a
 difference cover. Two equal windows, whatever their positions, share an anchor at the same offset, so windows
-around anchors that two documents share are all that can repeat. Those windows are hashed whole (96 bits) and
-grouped; the smallest id of each group decides. Nothing is paired: groups are minima, which combine before a shuffle.
+around anchors that two documents share are all that can repeat. Those windows are hashed whole (96 bits of two hashes
+with different keys, words included) and written once; the smallest id of each group of equal ones decides. Nothing is
+paired: groups are minima, which combine before a shuffle.
 
-Cases: null or empty text has no words; a text under `width` words keeps all; a null id neither removes nor loses words;
-rows with one id keep what they share, since neither id is smaller; other columns are not read.
+A row is named by its id and a hash of its text, so rows with one id and different texts keep their own windows.
+
+The filter of shared anchors is a bitmap of at most 32 MB: with about 10**8 shared anchors it admits a third of the
+others and beyond that nearly all, whose windows then are hashed for nothing; results are the same.
+
+Cases: null or empty text has no words; a text under `width` words keeps all; very long texts are cut into words in one piece;
+a null id neither removes nor loses words; rows with one id keep what they share, since neither id is smaller, and each
+loses what it shares with smaller ids; equal windows within one document remove nothing; an empty table gives no rows; ids
+are of any type that Spark orders; other columns are not read unless named in `carry`.
 """
 
 from __future__ import annotations
@@ -17,20 +25,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardlens.llm import hashing
-from boardlens.llm.filters import key_filter, split_by_ids
-from boardlens.llm.store import saved
+from boardlens.llm.filters import admitted, docs_filter, key_filter, may_be_in
+from boardlens.llm.store import discard, mapped, saved
 
 WIDTH = 50
 #: Perfect difference sets: each remainder modulo the period is a difference of two members. Fixed values.
 COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 31: (0, 1, 3, 8, 12, 18)}
-SECOND_BASE = 0xA0761D6478BD642F
-SECOND_INVERSE = pow(SECOND_BASE, -1, 1 << 64)
 
 
 def period_for(width: int) -> int:
@@ -50,11 +55,9 @@ def _anchors(w: hashing.Words, width: int, period: int) -> tuple[np.ndarray, np.
 def _anchor_rows(width: int, period: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for w in hashing.words(batch.column(1)):
                 _, text, h = _anchors(w, width, period)
-                pair = pd.DataFrame({"h": h.view(np.int64), "id": ids[w.first + text]}).drop_duplicates()
-                yield pa.RecordBatch.from_pandas(pair, preserve_index=False)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(pa.array(w.first + text))], names=["h", "id"])
 
     return rows
 
@@ -62,7 +65,6 @@ def _anchor_rows(width: int, period: int):
 def _window_rows(width: int, period: int, shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for w in hashing.words(batch.column(1)):
                 at, text, h = _anchors(w, width, period)
                 hit = shared.value.admits(h)
@@ -73,22 +75,24 @@ def _window_rows(width: int, period: int, shared):
                 first = np.maximum(at - period + 1, w.bounds[:-1][text])
                 last = np.minimum(at, w.bounds[1:][text] - width)
                 some = first <= last
-                edge = np.zeros(len(w.hashes) + 2, np.int64)
+                edge = np.zeros(len(w.hashes) + 2, np.int32)
                 np.add.at(edge, first[some], 1)
                 np.add.at(edge, last[some] + 1, -1)
                 starts = np.flatnonzero(np.cumsum(edge)[: len(w.hashes)])
                 if not len(starts):
                     continue
                 own = np.searchsorted(w.bounds, starts, "right") - 1
-                second = hashing.window_hashes(w.hashes, width, SECOND_BASE, SECOND_INVERSE)[starts]
+                row = pa.array(w.first + own)
+                second = hashing.window_hashes(w.second(), width, hashing.KEYS[1])[starts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(hashing.window_hashes(w.hashes, width)[starts].view(np.int64)),
                         pa.array((second >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        pa.array(ids[w.first + own]),
+                        batch.column(0).take(row),
+                        batch.column(2).take(row),
                         pa.array((starts - w.bounds[own]).astype(np.int32)),
                     ],
-                    names=["h", "g", "id", "start"],
+                    names=["h", "g", "id", "text_hash", "start"],
                 )
 
     return rows
@@ -102,21 +106,22 @@ def covered(n_words: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(edge)[:n_words] > 0
 
 
-def _cut(width: int):
+def _cut(width: int, leave=None):
+    """id, row, number of words, of removed ones, and the words that stay. leave: rows whose hash it admits are left out."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if leave:
+                batch = batch.filter(pa.array(~admitted(leave, batch.column(4))))
             n_words, n_removed, kept = [], [], []
             hits = batch.column(2)
             for k, text in enumerate(batch.column(1)):
                 words = (text.as_py() or "").encode().split()
+                n_words.append(len(words))
                 if hits[k].is_valid:
                     gone = covered(len(words), hits[k].values.to_numpy(), width)
-                    n_words.append(len(words))
-                    n_removed.append(int(gone.sum()))
                     words = [w for w, x in zip(words, gone, strict=True) if not x]
-                else:
-                    n_words.append(len(words))
-                    n_removed.append(0)
+                n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(3), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())],
@@ -127,17 +132,21 @@ def _cut(width: int):
 
 
 def repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, starts): the word positions in document id at which a window starts that also starts under a smaller id."""
+    """(id, text_hash, starts): the word positions in a row at which a window starts that also starts under a smaller id."""
     sc, period = docs.sparkSession.sparkContext, period_for(width)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    anchors = own.mapInArrow(_anchor_rows(width, period), "h long, id long")
+    kind = own.schema["id"].dataType.simpleString()
+    anchors = mapped(own, _anchor_rows(width, period), f"h long, id {kind}")
     shared = saved(anchors.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h"), "anchors")
     admit = sc.broadcast(key_filter(shared, "h"))
-    windows = own.mapInArrow(_window_rows(width, period, admit), "h long, g int, id long, start int")
-    # One scan feeds both the minima and the join.
+    # Written once: both the minima and the join read the table.
+    windows = mapped(own.withColumn("text_hash", F.xxhash64("text")), _window_rows(width, period, admit), f"h long, g int, id {kind}, text_hash long, start int")
+    windows = saved(windows, "windows")
     least = windows.groupBy("h", "g").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
     hits = windows.join(least, ["h", "g"]).where("id > least")
-    return saved(hits.groupBy("id").agg(F.collect_set("start").alias("starts")), "repeats")
+    out = saved(hits.groupBy("id", "text_hash").agg(F.collect_set("start").alias("starts")), "repeats")
+    discard(shared, windows)
+    return out
 
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -148,12 +157,12 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     hits = repeated_windows(docs, width, id_col, text_col)
     # A struct of the carried columns goes through the tasks as it is; without any it holds a constant.
     row = F.struct(*(F.col(c) for c in carry)) if carry else F.struct(F.lit(1).cast("byte").alias("none"))
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.alias("row"))
-    out = f"id long, row {own.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string"
-    touched, untouched = split_by_ids(own, hits)
-    whole = touched.join(hits, "id", "left").select("id", "text", "starts", "row").mapInArrow(_cut(width), out)
-    rest = untouched.select("id", "text", F.lit(None).cast("array<int>").alias("starts"), "row").mapInArrow(_cut(width), out)
-    both = whole.unionByName(rest)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row.alias("row")).withColumn("text_hash", F.xxhash64("text"))
+    out = f"id {own.schema['id'].dataType.simpleString()}, row {own.schema['row'].dataType.simpleString()}, n_words long, n_removed long, kept string"
+    key = ["id", "text_hash"]
+    touched = own.where(may_be_in(hits, *key)).join(hits, key, "left").select("id", "text", "starts", "row")
+    untouched = own.select("id", "text", F.lit(None).cast("array<int>").alias("starts"), "row", F.xxhash64(*key).alias("h"))
+    both = mapped(touched, _cut(width), out).unionByName(mapped(untouched, _cut(width, docs_filter(hits, *key)), out))
     return both.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept", *(F.col(f"row.{c}").alias(c) for c in carry))
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardlens.llm.merging import RankMerger
+from boardlens.llm.store import mapped
 
 LIMIT = 4096
 MOST_CACHED = 1_000_000
@@ -109,7 +110,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     # The number of bytes rides on the id, so that texts need not come back from Python.
     both = own.select(F.struct("id", n_bytes.alias("n_bytes")).alias("id"), "text")
-    got = both.mapInArrow(_count_rows(counter), f"id struct<id: {dict(own.dtypes)['id']}, n_bytes: long>, n_tokens long")
+    got = mapped(both, _count_rows(counter), f"id struct<id: {dict(own.dtypes)['id']}, n_bytes: long>, n_tokens long")
     return got.select(F.col("id.id").alias(id_col), "id.n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

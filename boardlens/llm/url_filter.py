@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boardlens.llm.store import mapped
+
 #: Fixed rules of the query: (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 STRICT = ("porn", "xxx", "hentai", "camgirl", "escorts", "warez", "torrents", "keygen", "phishing", "malware")
@@ -90,7 +92,7 @@ def url_filter(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_lim
     """(id_col, url, host, path, rule, strict_hits, soft_terms, soft_weight, verdict) for each row of pages."""
     own = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     kind = dict(own.dtypes)["id"]
-    hits = own.mapInArrow(_term_rows(strict, soft), f"id {kind}, url string, strict_hits int, soft_terms int, soft_weight int")
+    hits = mapped(own, _term_rows(strict, soft), f"id {kind}, url string, strict_hits int, soft_terms int, soft_weight int")
     out = hits.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     out = out.withColumn("fit", F.when(F.col("url").contains("://"), rule_of(F.col("host"), F.col("path"), rules)))
     by_terms = F.when((F.col("strict_hits") > 0) | (F.col("soft_weight") >= soft_limit), "block").otherwise("allow")
