@@ -40,7 +40,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         old, edges = edges, saved(small, "stars")
         discard(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
+        if tuple(state) == seen or not state[0]:
             break
         seen = tuple(state)
         # Nodes of a star's rim have one link; only centers, whose number of rows is that of v, can be hubs.
