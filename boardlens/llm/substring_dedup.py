@@ -142,10 +142,11 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id"
     # Written once: both the minima and the join read the table.
     windows = mapped(own.withColumn("text_hash", F.xxhash64("text")), _window_rows(width, period, admit), f"h long, g int, id {kind}, text_hash long, start int")
     windows = saved(windows, "windows")
-    least = windows.groupBy("h", "g").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+    # Minima are written too, so that the join can split hot windows and the shuffle of all windows is gone by then.
+    least = saved(windows.groupBy("h", "g").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most"), "least")
     hits = windows.join(least, ["h", "g"]).where("id > least")
     out = saved(hits.groupBy("id", "text_hash").agg(F.collect_set("start").alias("starts")), "repeats")
-    discard(shared, windows)
+    discard(shared, windows, least)
     return out
 
 
