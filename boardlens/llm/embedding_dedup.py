@@ -1,15 +1,22 @@
 """Exact near-duplicate vectors by cosine, with cover trees and dual traversal.
 
 Unit vectors at cosine c are at distance sqrt(2 - 2c), a metric. Equal unit vectors form one class. Classes are dealt to parts
-by the nearest of a few pivots; the pivots come from a bounded sample, and any pivots give the same links. A task
-builds a cover tree for each part: nested levels with halving radii, each node with the exact radius that covers its
-points. Two parts meet in one task, unless their pivots are farther apart than their radii and the link distance; there a
-dual traversal of the two trees drops pairs of nodes by the same bound and multiplies the points of the leaves that
-are left. All counts are sums of the classes' sizes, so copies are never paired.
+by the nearest of a few pivots; the pivots come from a bounded sample, and any pivots give the same links. Each part is at home
+in one task or, by blocks, in several. Two linked vectors of parts p < q lie on both sides of the plane between the
+pivots, so the first is no farther from it than the link distance: only vectors that near visit part q.
+
+A task builds cover trees: each level of a node's points has centers that are more than the level's radius apart and cover
+all points within it, a node's own center stays one on the levels below, radii halve, and each node has the exact radius that
+covers its points. The dual traversal drops pairs of nodes whose centers are farther apart than their radii and the
+link distance, and ends in pairs of points. All counts are sums of the classes' sizes, so copies are never paired.
+
+Vectors without structure (all far apart) leave a cover tree nothing to prune: then all pairs of centers are multiplied, and
+vectors near many planes visit many parts.
 
 Cases: null vectors, vectors with null or non-finite components, zero vectors and vectors of another length than
-the most common one link with nothing; a null id is kept apart from others' components' names (it counts as larger); rows
-with one id count as separate vectors; an empty table gives no rows.
+the most common one (of equally common ones the shortest) link with nothing; a cosine of exactly `least` links; a null id counts
+as larger than all others; rows with one id count as separate vectors; an empty table gives no rows; ids are of any type
+that Spark orders; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,19 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardlens.llm import hashing
 from boardlens.llm.graph import components
-from boardlens.llm.store import saved
+from boardlens.llm.store import discard, mapped, saved
 
 LEAST_COSINE = 0.9
 SAMPLE = 4096
 #: Classes that a part should hold, and the number of parts at most.
-PART, MOST_PARTS = 8192, 512
-#: Points of a node that are compared at once and not split further; centers that a node tries before the points left,
-#: which then are nobody's neighbours at this radius, are kept in leaves as they come.
-LEAF, CENTERS = 512, 24
-#: Slack of bounds for rounding, and of cosines in single precision; in double precision the cosine decides each pair left.
-SLACK, SINGLE = 1e-7, 1e-4
+PART, MOST_PARTS = 4096, 512
+#: Points of a node that isn't split further, and centers that are tried, and rows that are multiplied, at a time.
+LEAF, TRIED, ROWS = 16, 64, 512
+#: Slack of squared distances for rounding in single precision; the double-precision cosine decides each pair left.
+SLACK = 1e-4
 
 
 def unit(vectors: list, size: int) -> np.ndarray:
@@ -41,80 +46,110 @@ def unit(vectors: list, size: int) -> np.ndarray:
 
 
 class CoverTree:
-    """Points by node: centers of a level are at least its radius apart and cover their points within it; radii halve by level."""
+    """Nodes with a center, a covering radius and what is below: numbers of nodes, or ~point for single points."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x
-        self.order: list[int] = []
-        #: (first, last, center, covering radius, children) of each node; its points are order[first:last].
-        self.nodes: list[tuple[int, int, int, float, list[int]]] = []
+        self.x = x.astype(np.float32)
+        self.center: list[int] = []
+        self.radius: list[float] = []
+        self.below: list[np.ndarray] = []
+        self.points: list[np.ndarray] = []
         if len(x):
-            everything = np.arange(len(x))
-            self._node(everything, 0, self._distance(everything, 0), 2.0)
-
-    def _distance(self, points: np.ndarray, center: int) -> np.ndarray:
-        return np.sqrt(np.maximum(0, 2 - 2 * (self.x[points] @ self.x[center])))
-
-    def _node(self, points: np.ndarray, center: int, far: np.ndarray, radius: float) -> int:
-        me = len(self.nodes)
-        self.nodes.append((0, 0, center, 0.0, []))
-        first, children = len(self.order), []
-        cover = float(far.max())
-        if len(points) <= LEAF or cover <= 1e-6:
-            self.order += points.tolist()
-        else:
-            while radius >= cover:
-                radius /= 2
-            rest, dist, head = points, far, center
-            loose: list[np.ndarray] = []
-            for _ in range(CENTERS):
-                # The points within the radius of a center are its child's; the first of the others is the next center.
-                near = dist <= radius
-                own = rest[near]
-                if len(own) <= LEAF // 8:
-                    loose.append(own)
-                else:
-                    children.append(self._node(own, head, dist[near], radius))
-                rest = rest[~near]
-                if not len(rest):
-                    break
-                head = int(rest[0])
-                dist = self._distance(rest, head)
-            rest = np.concatenate([*loose, rest])
-            children += [self._loose(rest[k : k + LEAF]) for k in range(0, len(rest), LEAF)]
-        self.nodes[me] = (first, len(self.order), center, cover, children)
-        return me
-
-    def _loose(self, points: np.ndarray) -> int:
-        """Points of small children are kept in one leaf around the first of them."""
-        center = int(points[0])
-        self.nodes.append((len(self.order), len(self.order) + len(points), center, float(self._distance(points, center).max()), []))
-        self.order += points.tolist()
-        return len(self.nodes) - 1
-
-
-def dual(a: CoverTree, b: CoverTree, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of point sets (of a, of b) that hold all pairs within reach. For b is a, each two nodes once."""
-    if not a.nodes or not b.nodes:
+            points = np.arange(len(x))
+            self._add(points, 0, self._squares(points, points[:1])[:, 0])
+            stack = [(0, points)]
+            while stack:
+                me, points = stack.pop()
+                if len(points) <= LEAF or self.radius[me] <= 4e-3:
+                    self.below[me] = ~points
+                    continue
+                # Below the radius without its slack, so that some point is outside the first ball.
+                level = 2.0
+                while level * level >= self.radius[me] ** 2 - 2e-6:
+                    level /= 2
+                below = []
+                for own, head, squares in self._cover(points, self.center[me], level):
+                    if len(own) == 1:
+                        below.append(~own[0])
+                    else:
+                        below.append(self._add(own, head, squares))
+                        stack.append((below[-1], own))
+                self.below[me] = np.array(below)
+
+    def _squares(self, points: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return np.maximum(0, 2 - 2 * (self.x[points] @ self.x[others].T))
+
+    def _add(self, points: np.ndarray, center: int, squares: np.ndarray) -> int:
+        self.center.append(int(center))
+        # Rounding of single precision only makes a radius larger.
+        self.radius.append(float(np.sqrt(squares.max() + 1e-6)) if len(points) > 1 else 0.0)
+        self.below.append(np.zeros(0, np.int64))
+        self.points.append(points)
+        return len(self.center) - 1
+
+    def _cover(self, points: np.ndarray, head: int, level: float) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """(points, center, squared distances) of greedy balls of radius `level`; centers are farther apart, head is the first."""
+        rest = np.concatenate([[head], points[points != head]])
+        while len(rest):
+            tried = rest[:TRIED]
+            squares = self._squares(rest, tried)
+            near = squares <= level * level
+            free = np.ones(len(rest), bool)
+            for k in range(len(tried)):
+                if free[k]:
+                    own = near[:, k] & free
+                    own[k] = True
+                    free &= ~own
+                    yield rest[own], int(tried[k]), squares[own, k]
+            rest = rest[free]
+
+    def size(self, node: int) -> tuple[int, float]:
+        """Number of points and radius."""
+        return (len(self.points[node]), self.radius[node]) if node >= 0 else (1, 0.0)
+
+    def parts(self, node: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, centers, radii) of what is below a node, or of all its points; of a point, itself."""
+        below = np.array([node]) if node < 0 else ~self.points[node] if whole else self.below[node]
+        single = below < 0
+        if single.all():
+            return below, ~below, np.zeros(len(below), np.float32)
+        nodes = below.tolist()
+        return below, np.array([self.center[k] if k >= 0 else ~k for k in nodes]), np.array([self.radius[k] if k >= 0 else 0.0 for k in nodes], np.float32)
+
+
+def dual(a: CoverTree, b: CoverTree, reach: float, products: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Points of a and of b that may be within reach of each other, pair by pair. For b is a, each two points once.
+
+    products: the numbers of multiplied pairs are added to it.
+    """
+    if not a.center or not b.center:
         return
-    order_a, order_b = np.array(a.order), np.array(b.order)
     stack = [(0, 0)]
     while stack:
         i, j = stack.pop()
-        fa, la, ca, ra, below_a = a.nodes[i]
-        fb, lb, cb, rb, below_b = b.nodes[j]
-        if not (a is b and i == j):
-            apart = np.sqrt(max(0.0, 2 - 2 * float(a.x[ca] @ b.x[cb])))
-            if apart > ra + rb + reach + SLACK:
-                continue
-        if not below_a and not below_b:
-            yield order_a[fa:la], order_b[fb:lb]
-        elif a is b and i == j:
-            stack += [(p, q) for k, p in enumerate(below_a) for q in below_a[k:]]
-        elif below_a and (not below_b or ra >= rb):
-            stack += [(p, j) for p in below_a]
-        else:
-            stack += [(i, q) for q in below_b]
+        same = a is b and i == j
+        (n, r), (m, q) = a.size(i), b.size(j)
+        # Few pairs, or nodes so small that the levels below could hardly be told apart: their points are multiplied.
+        whole = n * m <= ROWS * LEAF or r + q <= reach
+        own, at, r = a.parts(i, whole)
+        others, other_at, q = (own, at, r) if same else b.parts(j, whole)
+        for low in range(0, len(own), ROWS):
+            # Of a node with itself, each two parts once, and each part that is a node with itself.
+            first = low if same else 0
+            squares = 2 - 2 * (a.x[at[low : low + ROWS]] @ b.x[other_at[first:]].T)
+            if products is not None:
+                products.append(squares.size)
+            most = (r[low : low + ROWS, None] + q[None, first:] + np.float32(reach)) ** 2 + np.float32(SLACK)
+            u, v = np.nonzero(squares <= most)
+            if same:
+                u, v = u[u <= v], v[u <= v]
+                loop = (u == v) & (own[low + u] < 0)
+                u, v = u[~loop], v[~loop]
+            u, v = own[low + u], others[first + v]
+            ends = (u < 0) & (v < 0)
+            if ends.any():
+                yield ~u[ends], ~v[ends]
+            stack += zip(u[~ends].tolist(), v[~ends].tolist(), strict=True)
 
 
 def _links_of(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -125,13 +160,7 @@ def _links_of(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_
     label = np.arange(len(x) + (0 if y is None else len(y)))
     pairs: list[tuple[int, int]] = []
     z, weight_z = (x, weight_x) if y is None else (y, weight_y)
-    x_single, z_single = x.astype(np.float32), z.astype(np.float32)
-    for p, q in dual(tree, other, np.sqrt(2 - 2 * least)):
-        same = y is None and p[0] == q[0] and len(p) == len(q) and bool((p == q).all())
-        i, j = np.nonzero(x_single[p] @ z_single[q].T >= least - SINGLE)
-        if same:
-            i, j = i[i < j], j[i < j]
-        i, j = p[i], q[j]
+    for i, j in dual(tree, other, np.sqrt(2 - 2 * least)):
         # Components one after the other in double precision decide, whatever order the product took them in.
         sure = np.einsum("ij,ij->i", x[i], z[j]) >= least
         i, j = i[sure], j[sure]
@@ -145,9 +174,7 @@ def _links_of(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_
             j = j + len(x)
         # One link for two components that meet here.
         apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-        _, first = np.unique(np.stack([label[i], label[j]], 1), axis=0, return_index=True) if len(i) else (None, [])
-        for k, m in zip(i[first].tolist(), j[first].tolist(), strict=True):
+        for k, m in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
             if label[k] != label[m]:
                 label[label == label[m]] = label[k]
                 pairs.append((k, m))
@@ -175,11 +202,11 @@ def _compare(size: int, least: float):
 
 
 def _unit_rows(size: int):
-    """Bytes of the unit vector of each row, or null, and a fingerprint."""
+    """Bytes of the unit vector of each row, or null."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, f = [None] * batch.num_rows, np.zeros(batch.num_rows, np.int64)
+            out = [None] * batch.num_rows
             for k, v in enumerate(batch.column(1)):
                 if not v.is_valid or len(v) != size or v.values.null_count:
                     continue
@@ -188,28 +215,30 @@ def _unit_rows(size: int):
                 if not np.isfinite(x).all() or most == 0:
                     continue
                 x = x / most
-                x = x / np.sqrt((x * x).sum()) + 0.0
-                out[k] = x.astype("<f8").tobytes()
-                # The product in single precision of neighbours is no key: only bytes that are the same are one class.
-                b = np.frombuffer(out[k], np.uint64)
-                f[k] = hashing.mix((hashing.mix(b + np.uint64(1)) * hashing.powers(hashing.WORD_BASE, len(b) + 1)[1:]).sum(dtype=np.uint64)[None]).view(np.int64)[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(f)], names=["id", "v", "f"])
+                out[k] = (x / np.sqrt((x * x).sum()) + 0.0).astype("<f8").tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "v"])
 
     return rows
 
 
-def _part_rows(pivots, size: int):
-    """The nearest pivot of each class and the distance to it."""
+def _part_rows(pivots, size: int, reach: float):
+    """The nearest pivot of each class, and the later parts that it visits."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = pivots.value
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = unit(batch.column(1).to_pylist(), size)
-            near = x @ pivots.value.T
+            near = x @ p.T
             part = near.argmax(1)
-            far = np.sqrt(np.maximum(0, 2 - 2 * near[np.arange(len(x)), part]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32)), pa.array(far)], names=["c", "v", "weight", "part", "far"])
+            # The distance from the plane between two pivots; equal pivots have no plane, and all visit.
+            margin = (near[np.arange(len(x)), part][:, None] - near) <= (reach + 1e-7) * apart[part] + 1e-9
+            margin &= np.arange(len(p)) > part[:, None]
+            row, to = np.nonzero(margin)
+            visits = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(x) + 1)).astype(np.int32)), pa.array(to.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32)), visits], names=["c", "v", "weight", "part", "visits"])
 
     return rows
 
@@ -217,57 +246,54 @@ def _part_rows(pivots, size: int):
 def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id_col, n_links, component_id, kept), one row for each row of vectors."""
     spark = vectors.sparkSession
-    own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    own = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     sizes = own.where("v is not null").groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
     size = int(sizes[0]["size"]) if sizes else 0
-    rows = saved(own.mapInArrow(_unit_rows(size), "id long, v binary, f long"), "units")
+    units = mapped(own, _unit_rows(size), f"id {own.schema['id'].dataType.simpleString()}, v binary")
+    rows = saved(units.withColumn("f", F.unhex(F.md5("v"))), "units")
     good = rows.where("v is not null")
-    classes = saved(good.groupBy("v").agg(F.count("*").alias("weight"), F.min("id").alias("least"), F.first("f").alias("c")), "classes")
+    # The table is written once, so the numbers of classes stay.
+    classes = saved(good.groupBy("v").agg(F.count("*").alias("weight"), F.min("id").alias("least"), F.first("f").alias("f")).withColumn("c", F.monotonically_increasing_id()), "classes")
     n = classes.count()
-    result = good.select("id", "f")
     alone = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     if n:
         found = _found(spark, classes, n, size, least)
         counts = found.groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("n"))
         comp = components(found.where("a <> b").select("a", "b"))
-        named = classes.select("c", "weight", "least").join(counts, "c", "left").join(comp.withColumnsRenamed({"id": "c", "component": "comp"}), "c", "left")
-        named = named.select("c", F.coalesce("comp", "c").alias("comp"), "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+        named = classes.select("c", "f", "weight", "least").join(counts, "c", "left").join(comp.withColumnsRenamed({"id": "c", "component": "comp"}), "c", "left")
+        named = named.select("f", F.coalesce("comp", "c").alias("comp"), "least", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
         firsts = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-        linked = result.join(named.join(firsts, "comp").select("c", "n_links", "component_id"), result["f"] == F.col("c")).select("id", "n_links", "component_id")
+        linked = good.select("id", "f").join(named.join(firsts, "comp").select("f", "n_links", "component_id"), "f").select("id", "n_links", "component_id")
         alone = alone.unionByName(linked)
     return alone.withColumn("kept", F.expr("id <=> component_id")).withColumnRenamed("id", id_col)
 
 
 def _found(spark: SparkSession, classes: DataFrame, n: int, size: int, least: float) -> DataFrame:
     """(a, b, n): for a = b the weight of the classes linked with a, from one task; else a link."""
-    sample = unit([r.v for r in classes.orderBy(F.xxhash64("c"), "c").limit(SAMPLE).select("v").collect()], size)
-    # Farthest-first pivots of the sample spread over it; parts of one pivot are cut further, so that any size fits a task.
+    sample = unit([r.v for r in classes.orderBy(F.xxhash64("f"), "f").limit(SAMPLE).select("v").collect()], size)
+    # Farthest-first pivots of the sample spread over it.
     k = min(len(sample), MOST_PARTS, max(1, -(-n // PART)))
     chosen, far = [0], np.sqrt(np.maximum(0, 2 - 2 * (sample @ sample[0])))
     while len(chosen) < k:
         chosen.append(int(far.argmax()))
         far = np.minimum(far, np.sqrt(np.maximum(0, 2 - 2 * (sample @ sample[chosen[-1]]))))
-    pivots = sample[chosen]
-    sent = spark.sparkContext.broadcast(pivots)
-    dealt = saved(classes.select("c", "v", "weight").mapInArrow(_part_rows(sent, size), "c long, v binary, weight long, part int, far double"), "parts")
-    parts = dealt.groupBy("part").agg(F.count("*").alias("size"), F.max("far").alias("radius")).orderBy("part").collect()
-    apart = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)))
-    reach = np.sqrt(2 - 2 * least) + SLACK
-    blocks = {r.part: -(-r["size"] // PART) for r in parts}
-    meet = [(p.part, q.part) for i, p in enumerate(parts) for q in parts[i:] if p.part == q.part or apart[p.part, q.part] <= p.radius + q.radius + reach]
-    # At most MOST_PARTS ** 2 / 2 pairs of parts; pairs of blocks are made in Spark. g names two blocks that meet.
-    table = spark.createDataFrame([(p, q, blocks[p], blocks[q]) for p, q in meet], "p int, q int, blocks_p int, blocks_q int")
-    own = dealt.join(F.broadcast(table.where("p = q").select(F.col("p").alias("part"), F.col("blocks_p").alias("blocks"))), "part")
-    own = own.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    other = F.broadcast(table.where("p <> q"))
-
-    def route(rows: DataFrame, n: str, g: list, side: str) -> DataFrame:
-        return rows.withColumn("to", F.explode(F.expr(f"sequence(0, {n} - 1)"))).select(F.xxhash64(*map(F.expr, g)).alias("g"), "c", "v", "weight", F.expr(side).alias("side"))
-
-    groups = route(own, "blocks", ["part", "least(block, to)", "part", "greatest(block, to)"], "case when block = to then 2 when block < to then 0 else 1 end")
-    groups = groups.unionByName(route(own.join(other, own["part"] == other["p"]), "blocks_q", ["p", "block", "q", "to"], "0"))
-    groups = groups.unionByName(route(own.join(other, own["part"] == other["q"]), "blocks_p", ["p", "to", "q", "block"], "1"))
-    return saved(groups.groupBy("g").applyInArrow(_compare(size, least), "a long, b long, n long"), "found")
+    sent = spark.sparkContext.broadcast(sample[chosen])
+    dealt = saved(mapped(classes.select("c", "v", "weight"), _part_rows(sent, size, float(np.sqrt(2 - 2 * least))), "c long, v binary, weight long, part int, visits array<int>"), "parts")
+    # Blocks of those at home in a part and of its visitors, at most MOST_PARTS rows.
+    home = dealt.groupBy("part").agg(F.ceil(F.count("*") / PART).cast("int").alias("home"))
+    guests = dealt.select(F.explode("visits").alias("part")).groupBy("part").agg(F.ceil(F.count("*") / PART).cast("int").alias("guests"))
+    blocks = F.broadcast(home.join(guests, "part", "left").fillna(0, ["guests"]))
+    hashed = F.xxhash64("c")
+    own = dealt.select("c", "v", "weight", "part").join(blocks, "part").withColumn("block", F.pmod(hashed, "home").cast("int"))
+    # At home: each two blocks once, and each block with each block of visitors. Vectors go along with the groups they are in.
+    at_home = own.withColumn("to", F.explode(F.expr("sequence(0, home - 1)"))).select(F.xxhash64("part", F.lit("h"), F.least("block", "to"), F.greatest("block", "to")).alias("g"), "c", "v", "weight", F.expr("case when block = to then 2 when block < to then 0 else 1 end").alias("side"))
+    hosts = own.where("guests > 0").withColumn("to", F.explode(F.expr("sequence(0, guests - 1)"))).select(F.xxhash64("part", F.lit("v"), "block", "to").alias("g"), "c", "v", "weight", F.lit(1).alias("side"))
+    visitors = dealt.select("c", "v", "weight", F.explode("visits").alias("part")).join(blocks, "part").withColumn("to", F.pmod(hashed, "guests").cast("int"))
+    visitors = visitors.withColumn("block", F.explode(F.expr("sequence(0, home - 1)"))).select(F.xxhash64("part", F.lit("v"), "block", "to").alias("g"), "c", "v", "weight", F.lit(0).alias("side"))
+    groups = at_home.unionByName(hosts).unionByName(visitors)
+    out = saved(groups.groupBy("g").applyInArrow(_compare(size, least), "a long, b long, n long"), "found")
+    discard(dealt)
+    return out
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

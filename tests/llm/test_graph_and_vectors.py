@@ -28,13 +28,51 @@ def test_dual_traversal_finds_all_pairs():
     x = centers[rng.integers(0, 60, 900)] + rng.normal(size=(900, 8)) * 0.05
     x /= np.linalg.norm(x, axis=1)[:, None]
     tree, reach = CoverTree(x), 0.2
-    assert sorted(tree.order) == list(range(900))
-    found = set()
-    for p, q in dual(tree, tree, reach):
-        d = np.sqrt(np.maximum(0, 2 - 2 * x[p] @ x[q].T))
-        found |= {(min(p[i], q[j]), max(p[i], q[j])) for i, j in zip(*np.nonzero(d <= reach), strict=True) if p[i] != q[j]}
+    pairs = [p for u, v in dual(tree, tree, reach) for p in zip(u.tolist(), v.tolist(), strict=True)]
+    found = {(min(p), max(p)) for p in pairs}
+    assert len(found) == len(pairs)
     d = np.sqrt(np.maximum(0, 2 - 2 * x @ x.T))
-    assert found == {(i, j) for i, j in zip(*np.nonzero(d <= reach), strict=True) if i < j}
+    assert {(i, j) for i, j in zip(*np.nonzero(d <= reach), strict=True) if i < j} <= found
+    assert all(d[i, j] <= reach + 1e-3 for i, j in found)
+    left, right = CoverTree(x[:300]), CoverTree(x[300:])
+    across = {(int(i), int(j) + 300) for u, v in dual(left, right, reach) for i, j in zip(u, v, strict=True)}
+    assert {(i, j) for i, j in found if i < 300 <= j} == across
+
+
+def test_levels_are_separated_covered_and_nested():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 5))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree = CoverTree(x)
+
+    def points(k):
+        return [~k] if k < 0 else [p for b in tree.below[k].tolist() for p in points(b)]
+
+    assert sorted(points(0)) == list(range(700))
+    for k in range(len(tree.center)):
+        own = points(k)
+        far = np.linalg.norm(x[own] - x[tree.center[k]], axis=1)
+        assert tree.center[k] in own and far.max() <= tree.radius[k] + 1e-6
+        below = [b for b in tree.below[k].tolist()]
+        if any(b >= 0 for b in below):
+            heads = [tree.center[b] if b >= 0 else ~b for b in below]
+            level = 2.0
+            while level**2 >= tree.radius[k] ** 2 - 2e-6:
+                level /= 2
+            d = np.linalg.norm(x[heads][:, None] - x[heads][None], axis=2) + 9 * np.eye(len(heads))
+            assert heads[0] == tree.center[k] and d.min() > level - 1e-4
+            assert all(tree.radius[b] <= level + 1e-3 for b in below if b >= 0)
+
+
+def test_tight_clusters_are_pruned():
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(200, 64))
+    x = centers[rng.integers(0, 200, 8192)] + rng.normal(size=(8192, 64)) * 0.02
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree, products = CoverTree(x), []
+    found = sum(len(u) for u, _ in dual(tree, tree, np.sqrt(0.2), products))
+    assert found == (np.triu(x @ x.T >= 0.9, 1)).sum()
+    assert sum(products) < 8192 * 8191 / 2 / 5
 
 
 def test_near_vectors(spark):
