@@ -4,17 +4,20 @@ Tokens are words [^\x20\x09-\x0D]+ of text lower-cased A-Z, then one end. Word c
 table that grows with the corpus. The most frequent words are classes of their own; all other words fall into
 classes by their ending, and within such a class a word has its share of counts, (c + 1) / (N + V + 1), of which one
 share is for words never seen. The log-bilinear model gives each class its probability after the two classes before it:
-the context's two vectors are added, multiplied with the class's vector, and a bias joins.
+each of the two has a vector that is multiplied with the class's vector, and the log of the class's frequency joins.
 
-Training: each task starts from the same parameters and takes noise-contrastive steps in numpy over all blocks of its
-documents' tokens, with noise shared in a block, so a step is two matrix products; the tasks' parameters are averaged,
-weighted by tokens, in two grouped sums, and go round ROUNDS times. The normaliser of every context is one row of a
-batched matrix product; so scores are proper log-probabilities.
+Training: how often each class follows each other class at distance 1 and at distance 2 is counted over all tokens of all
+training documents, in grouped sums of at most (classes + 1)**2 cells. On the driver numpy takes noise-contrastive steps over
+whole tables: a step is three matrix products, and the noise words stand in it by their frequency instead of being
+drawn. Counts are sums of integers, so the model does not depend on how documents are dealt out to tasks. The normaliser
+of every two classes of context is one row of a batched matrix product; so scores are proper log-probabilities.
 
 Counts of the most frequent HEAD words go to the tasks; the other words of each document meet the table of counts in a join.
 
-Cases: null or empty text is one end token; a null id is trained on and isn't held out; rows with one id are counted and
-scored each for itself; without training documents all words are unknown, and an empty table gives no rows.
+Cases: null or empty text is one end token; very long texts and words are tokens like others; a null id is trained on and isn't
+held out; rows with one id are counted and scored each for itself; of words with equal counts at the border of HEAD or
+OWN_CLASS those with lower hashes come first; without training documents all words are unknown; an empty table gives no
+rows; ids are of any type; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,56 +31,59 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boardlens.llm import hashing
-from boardlens.llm.store import saved
+from boardlens.llm.store import mapped, saved
 
-#: Words whose counts tasks hold, words with a class of their own, classes by ending, width of vectors.
+#: Words whose counts tasks hold, words with a class of their own, classes by ending, width of the vectors of a context place.
 HEAD, OWN_CLASS, ENDINGS, WIDTH = 1 << 18, 1000, 64, 24
-ROUNDS, BLOCK, NOISE, NOISE_PER_TOKEN, RATE = 2, 512, 64, 8.0, 0.1
-SLICES, SUMS = 16, 64
+#: Noise words for a data word, steps, their size, and the ridge penalty in counts.
+NOISE, STEPS, RATE, RIDGE = 10.0, 150, 0.05, 2.0
+#: Weights of the two places of context in the score.
+PLACES = (0.9, 0.7)
 
 
 class LogBilinear:
     """Classes 0 .. n - 1; n stands for the begin of a text in contexts."""
 
-    def __init__(self, unigram: np.ndarray, width: int = WIDTH, seed: int = 3):
-        n, rng = len(unigram), np.random.default_rng(seed)
-        self.n, self.width, self.log_noise = n, width, np.log(unigram)
-        self.noise_steps = np.cumsum(unigram)
-        self.first = rng.normal(0, 0.1, (n + 1, width)).astype(np.float32)
-        self.second = rng.normal(0, 0.1, (n + 1, width)).astype(np.float32)
-        self.out = rng.normal(0, 0.1, (n, width)).astype(np.float32)
-        self.bias = self.log_noise.astype(np.float32)
-
-    def parameters(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.first, self.second, self.out, self.bias)])
-
-    def load(self, flat: np.ndarray) -> None:
-        at = 0
-        for x in (self.first, self.second, self.out, self.bias):
-            x[...] = flat[at : at + x.size].reshape(x.shape)
-            at += x.size
-
-    def train(self, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, rng: np.random.Generator, squares: list[np.ndarray]) -> None:
-        """One noise-contrastive AdaGrad step on a block: classes w after w1 (the one before) and w2."""
-        noise = np.minimum(np.searchsorted(self.noise_steps, rng.random(NOISE)), self.n - 1)
-        context = self.first[w1] + self.second[w2]
-        data = (context * self.out[w]).sum(1) + self.bias[w] - (self.log_noise[w] + np.log(NOISE_PER_TOKEN))
-        fake = context @ self.out[noise].T + self.bias[noise] - (self.log_noise[noise] + np.log(NOISE_PER_TOKEN))
-        # Derivatives of -log s(data) - sum of log s(-fake), each noise word standing for NOISE_PER_TOKEN / NOISE samples.
-        d = -1 / (1 + np.exp(np.clip(data, -30, 30)))
-        f = (NOISE_PER_TOKEN / NOISE) / (1 + np.exp(-np.clip(fake, -30, 30)))
-        d, f = (d / len(w)).astype(np.float32), (f / len(w)).astype(np.float32)
-        g_context = d[:, None] * self.out[w] + f @ self.out[noise]
-        rows = [(w1, g_context), (w2, g_context), (np.concatenate([w, noise]), np.concatenate([d[:, None] * context, f.T @ context])), (np.concatenate([w, noise]), np.concatenate([d, f.sum(0)]))]
-        for x, square, (at, g) in zip((self.first, self.second, self.out, self.bias), squares, rows, strict=True):
-            own, back = np.unique(at, return_inverse=True)
-            total = np.zeros((len(own), *g.shape[1:]), np.float32)
-            np.add.at(total, back, g)
-            square[own] += total * total
-            x[own] -= RATE * total / np.sqrt(square[own] + 1e-8)
-
-    def fresh_squares(self) -> list[np.ndarray]:
-        return [np.full(x.shape, 1e-4, np.float32) for x in (self.first, self.second, self.out, self.bias)]
+    def __init__(self, unigram: np.ndarray, width: int = WIDTH):
+        n = len(unigram)
+        self.n, self.width = n, width
+        self.bias = np.log(unigram).astype(np.float32)
+        self.first = np.zeros((n + 1, 2 * width), np.float32)
+        self.second = np.zeros((n + 1, 2 * width), np.float32)
+        self.out = np.zeros((n, 2 * width), np.float32)
+
+    def train(self, counts: list[np.ndarray], steps: int = STEPS, seed: int = 3) -> None:
+        """counts: for each place of context, how often class c (column) comes with context class (row)."""
+        for place, table in enumerate(counts):
+            at = slice(place * self.width, (place + 1) * self.width)
+            u, v = self._factors(table.astype(np.float32), steps, np.random.default_rng(seed + place))
+            (self.first, self.second)[place][:, at] = PLACES[place] * u
+            self.out[:, at] = v
+
+    def _factors(self, table: np.ndarray, steps: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of contexts and classes by noise-contrastive Adam steps over the whole table.
+
+        A data word has the log-odds u.v - log NOISE against noise of the classes' frequencies. Beside the products of
+        vectors a context has a constant, so that it need not be normalised while it is trained.
+        """
+        total = max(1.0, float(table.sum()))
+        u = rng.normal(0, 0.1, (self.n + 1, self.width)).astype(np.float32)
+        v = rng.normal(0, 0.1, (self.n, self.width)).astype(np.float32)
+        v[:, 0] = 1.0
+        noise = table.sum(1, keepdims=True) * (NOISE * np.exp(self.bias))[None]
+        moments = [np.zeros_like(x) for x in (u, u, v, v)]
+        for t in range(1, steps + 1):
+            odds = u @ v.T
+            odds -= np.float32(np.log(NOISE))
+            p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+            g = (table + noise) * p - table
+            for x, grad, m, s in ((u, (g @ v + RIDGE * u) / total, *moments[:2]), (v, (g.T @ u + RIDGE * v) / total, *moments[2:])):
+                if x is v:
+                    grad[:, 0] = 0
+                m += 0.1 * (grad - m)
+                s += 0.01 * (grad * grad - s)
+                x -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
+        return u, v
 
     def log_normalisers(self, w1: int) -> np.ndarray:
         """For each class before it, the log of the sum over all classes of exp(score) after w1."""
@@ -148,52 +154,37 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(back, n, len(h)).astype(np.int64)), pa.array(e[first].astype(np.int8))], names=["h", "c", "ending"])
 
 
-def _train_rows(vocabulary, sent, round_: int):
+def _pair_rows(vocabulary):
+    """Cells of the tables of neighbours, with their counts over the texts of a task."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, squares, tokens = None, None, 0
-        rng = np.random.default_rng(round_)
-        left = [np.zeros(0, np.int64)] * 3
+        n = vocabulary.value.n
+        tables = None
         for batch in batches:
-            if model is None:
-                model = LogBilinear(vocabulary.value.unigram)
-                model.load(sent.value)
-                squares = model.fresh_squares()
+            if tables is None:
+                tables = np.zeros((2, (n + 1) * n), np.int64)
             for w in hashing.words(batch.column(0), lower=True):
-                got = sequences(vocabulary.value, w)[:3]
-                left = [np.concatenate([x, y]) for x, y in zip(left, got, strict=True)]
-                at = 0
-                while len(left[0]) - at >= BLOCK:
-                    model.train(*(x[at : at + BLOCK] for x in left), rng, squares)
-                    tokens, at = tokens + BLOCK, at + BLOCK
-                left = [x[at:] for x in left]
-        if model is not None and len(left[0]):
-            model.train(*left, rng, squares)
-            tokens += len(left[0])
-        if model is not None:
-            me = int.from_bytes(os.urandom(7), "little")
-            parts = np.array_split(model.parameters(), SLICES)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(SLICES), pa.int32()), pa.array([me % SUMS] * SLICES, pa.int32()), pa.array([float(tokens)] * SLICES), pa.array([(p.astype(np.float64) * tokens).tobytes() for p in parts], pa.binary())], names=["slice", "part", "weight", "sum"]
-            )
+                w1, w2, c = sequences(vocabulary.value, w)[:3]
+                for table, before in zip(tables, (w1, w2), strict=True):
+                    cell, count = np.unique(before * n + c, return_counts=True)
+                    table[cell] += count
+        if tables is not None:
+            for place, table in enumerate(tables):
+                cell = np.flatnonzero(table)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), place, np.int8)), pa.array(cell.astype(np.int32)), pa.array(table[cell])], names=["place", "cell", "count"])
 
     return rows
 
 
-def _add(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py()) for x in group.column("sum"))
-    return pa.table({"slice": group.column("slice")[:1], "part": pa.array([0], pa.int32()), "weight": pa.array([sum(group.column("weight").to_pylist())]), "sum": pa.array([total.tobytes()], pa.binary())})
-
-
-def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
-    sc = texts.sparkSession.sparkContext
+def train(texts: DataFrame, vocabulary: Vocabulary) -> LogBilinear:
+    """The model of all tokens of texts; at most 2 * (n + 1) * n cells come to the driver."""
     model = LogBilinear(vocabulary.unigram)
-    words, schema = sc.broadcast(vocabulary), "slice int, part int, weight double, sum binary"
-    for r in range(rounds):
-        sent = sc.broadcast(model.parameters())
-        sums = texts.mapInArrow(_train_rows(words, sent, r), schema).groupBy("slice", "part").applyInArrow(_add, schema)
-        got = sums.groupBy("slice").applyInArrow(_add, schema).orderBy("slice").collect()
-        if got and got[0].weight > 0:
-            model.load(np.concatenate([np.frombuffer(bytes(g["sum"])) / g.weight for g in got]).astype(np.float32))
+    sent = texts.sparkSession.sparkContext.broadcast(vocabulary)
+    cells = mapped(texts, _pair_rows(sent), "place byte, cell int, count long").groupBy("place", "cell").agg(F.sum("count").alias("count")).toArrow()
+    place, cell, count = (cells.column(k).to_numpy() for k in ("place", "cell", "count"))
+    tables = np.zeros((2, (model.n + 1) * model.n))
+    tables[place, cell] = count
+    model.train([t.reshape(model.n + 1, model.n) for t in tables])
     return model
 
 
@@ -209,7 +200,7 @@ def _normaliser_rows(sent):
 def normalisers(spark: SparkSession, model: LogBilinear) -> np.ndarray:
     """log of the normaliser for each two classes of context; classes are bounded, and so is this table."""
     sent = spark.sparkContext.broadcast(model)
-    got = spark.range(model.n + 1).repartition(24, "id").mapInArrow(_normaliser_rows(sent), "id long, z binary").collect()
+    got = mapped(spark.range(model.n + 1).repartition(24, "id"), _normaliser_rows(sent), "id long, z binary").collect()
     out = np.zeros((model.n + 1, model.n + 1), np.float32)
     for r in got:
         out[r.id] = np.frombuffer(bytes(r.z), np.float32)
@@ -217,6 +208,8 @@ def normalisers(spark: SparkSession, model: LogBilinear) -> np.ndarray:
 
 
 def _score_rows(vocabulary, sent):
+    """id, a key of the row that is drawn anew (the table is written once), counts and sums over its tokens, unknown words."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: Vocabulary = vocabulary.value
         model, z = sent.value
@@ -259,7 +252,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     """(id_col, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; the model learns from rows of `training`."""
     sc = docs.sparkSession.sparkContext
     texts = docs.where(training).select(F.col(text_col).alias("text"))
-    counts = texts.where("text is not null").mapInArrow(_count_rows, "h long, c long, ending byte").groupBy("h").agg(F.sum("c").alias("c"), F.first("ending").alias("ending"))
+    counts = mapped(texts.where("text is not null"), _count_rows, "h long, c long, ending byte").groupBy("h").agg(F.sum("c").alias("c"), F.first("ending").alias("ending"))
     counts = saved(counts, "counts")
     by_ending = np.zeros((ENDINGS, 2))
     for r in counts.groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
@@ -274,7 +267,7 @@ def score_texts(docs: DataFrame, training: Column, id_col: str = "doc_id", text_
     model = train(texts, vocabulary)
     z = normalisers(docs.sparkSession, model)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scored = own.mapInArrow(_score_rows(sc.broadcast(vocabulary), sc.broadcast((model, z))), f"id {dict(own.dtypes)['id']}, key long, n_tokens long, n_known long, base double, score double, tail array<long>")
+    scored = mapped(own, _score_rows(sc.broadcast(vocabulary), sc.broadcast((model, z))), f"id {dict(own.dtypes)['id']}, key long, n_tokens long, n_known long, base double, score double, tail array<long>")
     scored = saved(scored, "scored")
     tail = scored.select("key", F.explode("tail").alias("h")).groupBy("key", "h").agg(F.count("*").alias("tf"))
     tail = tail.join(counts.select("h", "c"), "h").groupBy("key").agg(F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"), F.sum("tf").alias("known"))

@@ -203,13 +203,11 @@ def test_scores(spark, monkeypatch):
 
 
 def test_model_is_normalised_and_learns():
-    rng = np.random.default_rng(0)
-    text = np.array([0, 1, 2, 3] * 3000)
-    model = lm_score.LogBilinear(np.full(6, 1 / 6))
-    squares = model.fresh_squares()
-    for k in range(2, 2000):
-        at = rng.integers(2, len(text), 128)
-        model.train(text[at - 1], text[at - 2], text[at], rng, squares)
+    model = lm_score.LogBilinear(np.full(6, 1 / 6), width=8)
+    tables = np.zeros((2, 7, 6))
+    for k in range(4):
+        tables[0, k, (k + 1) % 4] = tables[1, k, (k + 2) % 4] = 3000
+    model.train([*tables])
     z = np.stack([model.log_normalisers(k) for k in range(7)])
     every = np.array([[a, b, w] for a in range(7) for b in range(7) for w in range(6)])
     p = np.exp(model.log_probability(every[:, 0], every[:, 1], every[:, 2], z)).reshape(7, 7, 6)
