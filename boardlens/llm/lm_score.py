@@ -36,7 +36,7 @@ from boardlens.llm.store import mapped, saved
 #: Words whose counts tasks hold, words with a class of their own, classes by ending, width of the vectors of a context place.
 HEAD, OWN_CLASS, ENDINGS, WIDTH = 1 << 18, 1000, 64, 24
 #: Noise words for a data word, steps, their size, and the ridge penalty in counts.
-NOISE, STEPS, RATE, RIDGE = 10.0, 150, 0.05, 2.0
+NOISE, STEPS, RATE, RIDGE = 10.0, 150, 0.05, 5.0
 #: Weights of the two places of context in the score.
 PLACES = (0.9, 0.7)
 
