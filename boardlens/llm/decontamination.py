@@ -8,11 +8,15 @@ search may jump from a position: past all positions at which no pattern can end.
 last symbols selects a bucket of patterns and the symbols are compared one by one. All documents of a batch
 are searched in step, each from its own position.
 
-The patterns are sent to the tasks in blocks of at most MOST_PATTERNS, so what a task holds is bounded whatever
-the size of the benchmark; every block is searched in every document.
+Words are told apart by two hashes of different keys, 128 bits together, so equal symbols are equal words.
 
-Cases: null or empty text has no words and isn't contaminated; an item without words, or null, has no pattern; items with
-equal words all count; rows with one doc_id are judged each for itself; an empty benchmark hits nothing.
+The patterns are sent to the tasks in blocks of at most MOST_PATTERNS; every block is searched in every document. All
+blocks together are in the driver's and each task's memory, which therefore grows with the benchmark table.
+
+Cases: null or empty text has no words and isn't contaminated; very long texts are searched whole, in pieces; an item without words
+has no pattern; an item with a null id hits words but isn't named; items with equal words all count; rows with one doc_id are
+judged each for itself; a share of exactly 1 / SHARE counts as contaminated; an empty benchmark hits nothing, an empty table
+gives no rows; ids are of any type; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,7 +46,8 @@ class Patterns:
     def __init__(self, patterns: dict[tuple[bytes, ...], set[str]]):
         vocabulary = sorted({w for p in patterns for w in p})
         number = {w: i + 1 for i, w in enumerate(vocabulary)}
-        self.symbols = hashing.Lookup(hashing.hash_strings(vocabulary), np.arange(1, len(vocabulary) + 1))
+        self.number = hashing.Lookup(hashing.hash_strings(vocabulary), np.arange(1, len(vocabulary) + 1))
+        self.second = hashing.hash_strings(vocabulary, hashing.KEYS[1])
         self.groups = []
         by_length = defaultdict(list)
         for p, items in sorted(patterns.items()):
@@ -76,6 +81,14 @@ class Patterns:
     def block(p: np.ndarray, block: int, end: int) -> int:
         return int(p[end - 1]) if block == 1 else int(p[end - 2]) << 32 | int(p[end - 1])
 
+    def symbols(self, w: hashing.Words) -> np.ndarray:
+        """The symbol of each word, 0 for words that occur in no pattern."""
+        out = self.number(w.hashes)
+        known = np.flatnonzero(out)
+        other = hashing.word_hashes(w.low, w.starts[known], w.ends[known], hashing.KEYS[1]) != self.second[out[known] - 1]
+        out[known[other]] = 0
+        return out
+
     def search(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, list[list[str]]]]:
         """Occurrences in the pieces symbols[low:high]: (positions of the first word, m, numbers of patterns, items of the patterns)."""
         for g in self.groups:
@@ -128,7 +141,7 @@ def _search_rows(tables: list, width: int):
                 found: dict[int, set[str]] = defaultdict(set)
                 for table in tables:
                     patterns: Patterns = table.value
-                    symbols = patterns.symbols(w.hashes)
+                    symbols = patterns.symbols(w)
                     for at, m, row, names in patterns.search(symbols, *pieces(w.bounds, width - 1)):
                         np.add.at(hit, at, 1)
                         np.add.at(hit, at + m, -1)
@@ -152,10 +165,12 @@ def pattern_blocks(benchmark: DataFrame, width: int, id_col: str, text_col: str,
     block: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
     lower = bytes(hashing.LOWER)
     spaced = bytes(b if hashing.ALNUM[b] else 0x20 for b in range(256))
-    for item, text in benchmark.select(F.col(id_col).cast("string"), text_col).where(f"`{text_col}` is not null and `{id_col}` is not null").toLocalIterator():
+    for item, text in benchmark.select(F.col(id_col).cast("string"), text_col).where(f"`{text_col}` is not null").toLocalIterator():
         words = text.encode().translate(lower).translate(spaced).split()
         for i in range(max(1, len(words) - width + 1) if words else 0):
-            block[tuple(words[i : i + width])].add(item)
+            named = block[tuple(words[i : i + width])]
+            if item is not None:
+                named.add(item)
         if len(block) >= most:
             yield dict(block)
             block.clear()
@@ -187,7 +202,7 @@ s AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 h AS (SELECT s.doc_id, s.i, p.m, p.item_id FROM s, (SELECT DISTINCT m FROM p) q, p
       WHERE s.i + q.m - 1 <= len(s.w) AND p.m = q.m AND p.g = array_to_string(s.w[s.i:s.i + q.m - 1], ' ')),
 c AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM (SELECT doc_id, i, unnest(range(0, m)) AS k FROM h) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items,
 sha256(coalesce(t.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)

@@ -167,10 +167,11 @@ def starts_inside(bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
     return np.arange(counts.sum()) - first[text] + bounds[:-1][text], text
 
 
-def hash_strings(values: list[bytes]) -> np.ndarray:
-    """The hash that words() gives to each of these words."""
-    ends = np.cumsum(np.fromiter(map(len, values), np.int64, len(values)))
-    return word_hashes(np.frombuffer(b"".join(values), np.uint8), ends - np.fromiter(map(len, values), np.int64, len(values)), ends)
+def hash_strings(values: list[bytes], key: int = KEYS[0]) -> np.ndarray:
+    """The hash that words() gives to each of these words, or that by another key."""
+    size = np.fromiter(map(len, values), np.int64, len(values))
+    ends = np.cumsum(size)
+    return word_hashes(np.frombuffer(b"".join(values), np.uint8), ends - size, ends, key)
 
 
 class Lookup:

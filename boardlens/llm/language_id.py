@@ -4,12 +4,13 @@ A word's emission scores are sums of learned weights: of its byte n-grams of 2 t
 edges are its affixes, and of its own entry in a lexicon of frequent words. Learned transitions join neighbouring words.
 Forward-backward gives every word a distribution over languages; a document gets the language with the highest mean.
 
-The field is trained on the driver from at most `per_language` labelled documents of each language (the lowest hashes of
-the id) and `most_chars` characters of each: segments of documents are strung together, so that transitions see switches.
+The field is trained on the driver from the whole texts of at most `per_language` labelled documents of each language (the
+lowest hashes of the id): segments of documents are strung together, so that transitions see switches.
 All documents are then labelled whole, in batches whose documents advance in step.
 
 Cases: `und` with score 0 if the text is null or has no letter, or if nothing was labelled; a null id is labelled like others
-and counts as not held out; rows with one id are labelled each for itself.
+and counts as not held out; rows with one id are labelled each for itself; very long texts are labelled whole; of languages with
+equal means the first in order is taken; an empty table gives no rows; ids are of any type; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +26,7 @@ from pyspark.sql import functions as F
 from boardlens.llm import hashing
 from boardlens.llm.store import mapped
 
-PER_LANGUAGE = 400
-MOST_CHARS = 4000
+PER_LANGUAGE = 250
 MOST_LANGUAGES = 64
 LEXICON_PER_LANGUAGE = 300
 SEGMENT_WORDS = (6, 50)
@@ -213,13 +213,13 @@ def held_out(id_col: str, parts: int, part: int) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, most_chars: int) -> list:
-    """Rows (label, text) of the per_label rows of each label with the lowest hashes of the id; texts cut at most_chars."""
+def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int) -> list:
+    """Rows (label, text) of the per_label rows of each label with the lowest hashes of the id."""
     labelled = docs.where(f"`{label_col}` is not null and `{text_col}` is not null and `{id_col}` is not null")
     # Ranked on ids alone: each task sends at most per_label rows of a label on, and no text.
     ranked = labelled.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).withColumn("rank", F.expr("row_number() over (partition by label order by xxhash64(id), id)")).where(F.col("rank") <= per_label)
     chosen = ranked.orderBy("rank", "label").limit(per_label * MOST_LANGUAGES).select("id").distinct()
-    own = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.substring(text_col, 1, most_chars).alias("text"))
+    own = labelled.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
     return own.join(F.broadcast(chosen), "id").orderBy("id", "label", "text").limit(per_label * MOST_LANGUAGES).collect()
 
 
@@ -230,8 +230,8 @@ def identify(docs: DataFrame, model: Field | None, id_col: str = "doc_id", text_
     return mapped(own, _label_rows(sent), f"id {dict(own.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = MOST_CHARS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Field | None:
-    rows = training_sample(docs, id_col, text_col, label_col, per_language, most_chars)
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Field | None:
+    rows = training_sample(docs, id_col, text_col, label_col, per_language)
     return train([r.text for r in rows], [r.label for r in rows])
 
 

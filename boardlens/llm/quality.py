@@ -1,18 +1,22 @@
 """Document quality by hierarchical empirical Bayes.
 
-Two linear classifiers (low quality, toxic) over hashed words and shape features are fitted on the driver on at most
-`most_labels` labelled documents (the lowest hashes of the id). Every document gets their log-odds as evidence.
+Two linear classifiers (low quality, toxic) over hashed words and shape features are fitted on the driver on the whole texts of
+at most `most_labels` labelled documents (the lowest hashes of the id), whose features are made in tasks. Every document gets
+their log-odds as evidence.
 
 Evidence is pooled by site over all documents: the expected number of bad documents of a host, and of each path of it,
-is summed in grouped aggregates. A beta prior for hosts is fitted to the hosts' rates by moments; a host's posterior mean
-shrinks towards the global rate, a path's towards its host's, so sparse sites stay near their parent. A document's log-odds
-are its evidence plus the log-odds of its path over the global ones, of which at most `most_shift` counts.
-
-A document is rejected if its probability of being toxic or of low quality exceeds `threshold`.
-
-Cases: null or empty text has no word evidence, only its shape (empty) and site; null host or path are sites of their own; with
-no labels, or labels of one kind only, that classifier abstains (log-odds of its smoothed base rate); rows with one id are
-judged each for itself; documents that several label rows name take part once for each in the fit.
+is summed in grouped aggregates. Beta priors are fitted by moments at two levels: the spread of hosts' rates around the global
+rate gives the strength of the prior of hosts, the spread of paths' rates around their hosts' that of paths. A host's
+posterior mean shrinks towards the global rate, a path's towards its host's, so sparse sites stay near their parent. For each
+document its own share is taken out of its path's and host's sums first, so that no evidence counts twice. A document's
+log-odds are its evidence plus the log-odds of its path over the global ones, of which at most `most_shift` counts.
+
+A document is rejected if its probability of being toxic or of low quality exceeds `threshold`; one that equals it is kept.
+
+Cases: null or empty text has no word evidence, only its shape (empty) and site; very long texts are judged whole; null host or
+path are sites of their own; a site of one document leaves its parent's rate; with no labels, or labels of one kind only, that
+classifier abstains (log-odds of its smoothed base rate); rows with one id are judged each for itself; documents that several
+label rows name take part once for each in the fit; an empty table gives no rows; ids are of any type; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +32,6 @@ from boardlens.llm import hashing
 from boardlens.llm.store import mapped, saved
 
 MOST_LABELS = 8000
-MOST_CHARS = 50_000
 BITS = 18
 LEAST_DOCS, LEAST_Z = 4, 3.0
 THRESHOLD = 0.3
@@ -134,24 +137,34 @@ class Linear:
             self.shapes -= 0.2 * gs / np.sqrt(sq_s + 1e-2)
 
 
+def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels, buckets of distinct words and shapes of labelled texts."""
+    for batch in batches:
+        for first, own, bucket, shapes in features(batch.column(1)):
+            buckets = pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(len(shapes) + 1)).astype(np.int32)), pa.array(bucket.astype(np.int32)))
+            values = pa.ListArray.from_arrays(pa.array(np.arange(len(shapes) + 1, dtype=np.int32) * SHAPES), pa.array(shapes.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(shapes)), buckets, values], names=["row", "buckets", "shapes"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, id_col: str = "doc_id", text_col: str = "text") -> list[Linear]:
     """One classifier for each of KINDS; labels has id_col, quality (1 good, 0 low) and toxic (1 toxic)."""
     known = labels.select(F.col(id_col).alias("id"), (1 - F.col("quality")).cast("double").alias("low_quality"), F.col("toxic").cast("double").alias("toxic")).where("id is not null")
     known = known.orderBy(F.xxhash64("id"), "id", "low_quality", "toxic").limit(most_labels)
-    own = docs.select(F.col(id_col).alias("id"), F.substring(text_col, 1, MOST_CHARS).alias("text"))
-    got = own.join(F.broadcast(known), "id").orderBy("id", "text").limit(2 * most_labels).toArrow()
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    own = own.select(F.struct(F.xxhash64("id", "text").alias("at"), *KINDS).alias("row"), "text")
+    got = mapped(own, _feature_rows, f"row {own.schema['row'].dataType.simpleString()}, buckets array<int>, shapes array<double>")
+    got = got.select("row.*", "buckets", "shapes").orderBy("at", *KINDS).limit(2 * most_labels).toArrow().combine_chunks()
+    buckets = got.column("buckets").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    own_at = np.repeat(np.arange(len(buckets)), buckets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    bucket = buckets.flatten().to_numpy().astype(np.int64)
+    shapes = got.column("shapes").combine_chunks().flatten().to_numpy().reshape(-1, SHAPES) if got.num_rows else np.zeros((0, SHAPES))
     out = []
-    parts = [*features(got.column("text").combine_chunks())] if got.num_rows else []
-    own_at = np.concatenate([o + f for f, o, _, _ in parts]) if parts else np.zeros(0, np.int64)
-    bucket = np.concatenate([b for _, _, b, _ in parts]) if parts else np.zeros(0, np.int64)
-    shapes = np.concatenate([s for _, _, _, s in parts]) if parts else np.zeros((0, SHAPES))
     for kind in KINDS:
         model = Linear()
-        y = got.column(kind).to_numpy(zero_copy_only=False)
+        y = got.column(kind).to_numpy()
         use = ~np.isnan(y)
-        number = np.cumsum(use) - 1
-        keep = use[own_at] if len(own_at) else np.zeros(0, bool)
-        model.fit(number[own_at[keep]] if len(own_at) else own_at, bucket[keep], shapes[use], y[use])
+        number, keep = np.cumsum(use) - 1, use[own_at]
+        model.fit(number[own_at[keep]], bucket[keep], shapes[use], y[use])
         out.append(model)
     return out
 
@@ -172,23 +185,36 @@ def _odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _site_rates(evidence: DataFrame, kind: str) -> tuple[Column, DataFrame, DataFrame]:
-    """(global rate, rates by host, rates by host and path), shrunk level by level."""
-    p = 1 / (1 + F.exp(-F.col(kind)))
-    paths = evidence.groupBy("host", "path").agg(F.sum(p).alias("bad"), F.count("*").alias("n"))
-    hosts = paths.groupBy("host").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-    # Moments of the hosts' rates, weighted by their documents: mean m, variance v; what v has beyond sampling noise gives
-    # the strength of the beta prior, as documents: m * (1 - m) / v - 1, held between 1 and 10,000.
-    total = hosts.agg(F.sum("bad").alias("b"), F.sum("n").alias("n"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("s"), F.count("*").alias("k")).first()
-    n, k = float(total.n or 0), int(total.k or 0)
-    m = (float(total.b or 0) + 0.5) / (n + 1)
-    between = max(0.0, float(total.s or 0) / n - m * m) if n else 0.0
-    noise = m * (1 - m) * k / n if n else 0.0
-    strength = min(1e4, max(1.0, m * (1 - m) / max(between - noise, 1e-9) - 1))
-    hosts = hosts.select("host", ((F.col("bad") + strength * m) / (F.col("n") + strength)).alias("host_rate"))
-    paths = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"])
-    paths = paths.select("host", "path", ((F.col("bad") + strength * F.col("host_rate")) / (F.col("n") + strength)).alias(f"{kind}_rate"))
-    return F.lit(m), hosts, paths
+def _strength(m: float, between: float, noise: float) -> float:
+    """Documents that a beta prior counts as: what rates vary beyond sampling noise gives it, held between 1 and 10,000."""
+    return min(1e4, max(1.0, m * (1 - m) / max(between - noise, 1e-9) - 1))
+
+
+def posteriors(evidence: DataFrame, most_shift: float = MOST_SHIFT) -> DataFrame:
+    """evidence (host, path, log-odds of each of KINDS, ...) with p_<kind>: evidence and site of each row, its own share left out."""
+    p = {k: 1 / (1 + F.exp(-F.col(k))) for k in KINDS}
+    paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n_path"), *(F.sum(p[k]).alias(f"{k}_path") for k in KINDS))
+    hosts = paths.groupBy("host").agg(F.sum("n_path").alias("n_host"), F.count("*").alias("k_path"), *(F.sum(f"{k}_path").alias(f"{k}_host") for k in KINDS), *(F.sum(F.col(f"{k}_path") * F.col(f"{k}_path") / F.col("n_path")).alias(f"{k}_square") for k in KINDS))
+    of_hosts = [F.sum(f"{k}_host").alias(f"{k}_bad") for k in KINDS] + [F.sum(F.col(f"{k}_host") * F.col(f"{k}_host") / F.col("n_host")).alias(f"{k}_hosts") for k in KINDS] + [F.sum(f"{k}_square").alias(f"{k}_paths") for k in KINDS]
+    total = hosts.agg(F.sum("n_host").alias("n"), F.count("*").alias("hosts"), F.sum("k_path").alias("paths"), *of_hosts).first()
+    n = float(total.n or 0)
+    # As many rows as there are sites, which may be many: the join is left to the planner.
+    renamed = {c: f"site_{c}" for c in ("host", "path")}
+    sites = paths.join(hosts.drop(*(f"{k}_square" for k in KINDS)).withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).drop("of", "k_path").withColumnsRenamed(renamed)
+    out = evidence.join(sites, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")), "left")
+    for k in KINDS:
+        bad, by_host, by_path = (float(total[f"{k}_{x}"] or 0) for x in ("bad", "hosts", "paths"))
+        m = (bad + 0.5) / (n + 1)
+        noise = m * (1 - m) / n if n else 0.0
+        of_host = _strength(m, by_host / n - m * m, noise * total.hosts) if n else 1.0
+        of_path = _strength(m, (by_path - by_host) / n, noise * (total.paths - total.hosts)) if n else 1.0
+        host_rate = (F.col(f"{k}_host") - p[k] + of_host * m) / (F.col("n_host") - 1 + of_host)
+        path_rate = (F.col(f"{k}_path") - p[k] + of_path * host_rate) / (F.col("n_path") - 1 + of_path)
+        # Sums of floating-point numbers less one of them may fall below 0 by rounding.
+        rate = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), path_rate))
+        shift = F.greatest(F.lit(-most_shift), F.least(F.lit(most_shift), _odds(rate) - float(np.log(m / (1 - m)))))
+        out = out.withColumn(f"p_{k}", 1 / (1 + F.exp(-(F.col(k) + shift))))
+    return out.select(*evidence.columns, *(f"p_{k}" for k in KINDS))
 
 
 def judge(docs: DataFrame, models: list[Linear], host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, most_shift: float = MOST_SHIFT) -> DataFrame:
@@ -197,15 +223,7 @@ def judge(docs: DataFrame, models: list[Linear], host: Column, path: Column, id_
     own = docs.select(F.struct(F.col(id_col).alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path")).alias("row"), F.col(text_col).alias("text"))
     kind = own.schema["row"].dataType.simpleString()
     evidence = mapped(own, _evidence_rows(sent), f"row {kind}, low_quality double, toxic double").select("row.*", *KINDS)
-    evidence = saved(evidence, "evidence")
-    out = evidence
-    for k in KINDS:
-        base, _, paths = _site_rates(evidence, k)
-        # As many rows as there are sites, which may be many: the join is left to the planner.
-        site = paths.withColumnsRenamed({"host": "site_host", "path": "site_path"})
-        out = out.join(site, F.col("host").eqNullSafe(F.col("site_host")) & F.col("path").eqNullSafe(F.col("site_path")), "left").drop("site_host", "site_path")
-        shift = F.greatest(F.lit(-most_shift), F.least(F.lit(most_shift), _odds(F.col(f"{k}_rate")) - _odds(base)))
-        out = out.withColumn(f"p_{k}", 1 / (1 + F.exp(-(F.col(k) + F.coalesce(shift, F.lit(0.0))))))
+    out = posteriors(saved(evidence, "evidence"), most_shift)
     rejected = (F.col("p_low_quality") > threshold) | (F.col("p_toxic") > threshold)
     return out.select(F.col("id").alias(id_col), "host", "path", "p_low_quality", "p_toxic", rejected.alias("rejected"))
 

@@ -3,11 +3,12 @@
 The host is what follows the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; the path goes on up to `?`, `#` or the
 end. A rule (host, path prefix) fits its host and all subdomains if the path starts with the rule's; of the rules that
 fit, the one with the longest text wins. Urls without a rule are judged by their terms: an Aho-Corasick automaton finds all
-vocabulary terms of the lower-cased url, an occurrence counts if no letter or digit stands next to it, and a url is
-blocked by one strict term, or by distinct soft terms whose weights add up to `soft_limit` or more.
+vocabulary terms of the url, A-Z lower-cased, an occurrence counts if no ASCII letter or digit stands next to it, and a url is
+blocked by one strict term, or by LEAST_SOFT or more distinct soft terms whose weights add up to `soft_limit` or more.
 
-Cases: a null url, or one without `://`, has empty host and path and no rule; a null url has no terms and is allowed; repeated
-rows are judged each for itself; an empty table gives no rows.
+Cases: a null url, or one without `://`, has empty host and path and no rule; a null url has no terms and is allowed; very long
+urls are judged whole; of rules with equally long texts the later one wins; a weight of exactly the limit blocks; repeated rows
+are judged each for itself; an empty table gives no rows; ids are of any type; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,10 +23,17 @@ from boardlens.llm.store import mapped
 
 #: Fixed rules of the query: (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-STRICT = ("porn", "xxx", "hentai", "camgirl", "escorts", "warez", "torrents", "keygen", "phishing", "malware")
-#: Soft terms with weights.
-SOFT = {"adult": 1, "casino": 1, "betting": 1, "poker": 1, "lottery": 1, "dating": 1, "viagra": 1, "loan": 1, "replica": 1, "crack": 1, "sex": 1, "nude": 1, "jackpot": 1, "slots": 1}
-SOFT_LIMIT = 2
+STRICT = (
+    "porn", "porno", "pornhub", "xxx", "hentai", "milf", "camgirl", "camgirls", "escort", "escorts", "hardcore-sex", "sexcam", "sexcams", "nsfw", "warez", "torrent", "torrents", "keygen", "keygens", "crackz", "serialz", "phishing", "malware", "ransomware", "spyware", "carding", "darknet-market",
+)
+#: Soft terms with weights: 3 for words that rarely stand in harmless urls, 1 for those that often do.
+SOFT = {
+    "casino": 3, "viagra": 3, "cialis": 3, "jackpot": 3, "sexy": 3, "nude": 3, "nudes": 3, "erotic": 3, "fetish": 3, "payday": 3,
+    "adult": 2, "sex": 2, "betting": 2, "poker": 2, "slots": 2, "roulette": 2, "lottery": 2, "replica": 2, "replicas": 2, "crack": 2, "cracked": 2, "pills": 2, "hookup": 2, "singles": 2, "bitcoin-doubler": 2, "get-rich": 2,
+    "bonus": 1, "cheap": 1, "free": 1, "dating": 1, "loan": 1, "loans": 1, "credit": 1, "win": 1, "winner": 1, "prize": 1, "deal": 1, "discount": 1, "hot": 1, "girls": 1, "download": 1, "serial": 1, "pharmacy": 1, "forex": 1, "crypto": 1, "miracle": 1,
+}
+SOFT_LIMIT, LEAST_SOFT = 4, 2
+_LOWER = {k: k + 32 for k in range(0x41, 0x5B)}
 
 
 def host_of(url: Column) -> Column:
@@ -65,7 +73,7 @@ class TermMatcher:
         """(strict occurrences, distinct soft terms, their weight). Letters and digits are those of ASCII."""
         strict, soft = 0, {}
         if self.any:
-            text = f" {url.lower()} "
+            text = f" {url.translate(_LOWER)} "
             for end, (term, weight) in self.automaton.iter(text):
                 a, b = text[end - len(term)], text[end + 1]
                 if (a.isascii() and a.isalnum()) or (b.isascii() and b.isalnum()):
@@ -95,7 +103,7 @@ def url_filter(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_lim
     hits = mapped(own, _term_rows(strict, soft), f"id {kind}, url string, strict_hits int, soft_terms int, soft_weight int")
     out = hits.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     out = out.withColumn("fit", F.when(F.col("url").contains("://"), rule_of(F.col("host"), F.col("path"), rules)))
-    by_terms = F.when((F.col("strict_hits") > 0) | (F.col("soft_weight") >= soft_limit), "block").otherwise("allow")
+    by_terms = F.when((F.col("strict_hits") > 0) | ((F.col("soft_terms") >= LEAST_SOFT) & (F.col("soft_weight") >= soft_limit)), "block").otherwise("allow")
     return out.select(F.col("id").alias(id_col), "url", "host", "path", F.col("fit.rule").alias("rule"), "strict_hits", "soft_terms", "soft_weight", F.coalesce("fit.verdict", by_terms).alias("verdict"))
 
 
@@ -107,16 +115,17 @@ def _hit(term: str) -> str:
     return rf"regexp_matches(u, '(^|[^a-z0-9]){term}($|[^a-z0-9])')"
 
 
+_SOFT_COUNT = " + ".join(f"CASE WHEN {_hit(t)} THEN 1 ELSE 0 END" for t in SOFT)
 _SOFT_SUM = " + ".join(f"CASE WHEN {_hit(t)} THEN {w} ELSE 0 END" for t, w in SOFT.items())
 ORACLE = {
     "op3_url_filter": rf"""
-WITH p AS (SELECT page_id, lower(coalesce(url, '')) AS u,
+WITH p AS (SELECT page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u,
   coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{h}', '{q}')" for v, h, q in RULES)}) AS t(verdict, h, q)),
 f AS (SELECT page_id, host, path, arg_max(h || q, len(h || q)) AS rule, arg_max(verdict, len(h || q)) AS verdict
       FROM (SELECT DISTINCT page_id, host, path FROM p) d JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY ALL)
-SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN {_hit("(" + "|".join(STRICT) + ")")} OR {_SOFT_SUM} >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN {_hit("(" + "|".join(STRICT) + ")")} OR ({_SOFT_COUNT} >= {LEAST_SOFT} AND {_SOFT_SUM} >= {SOFT_LIMIT}) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN f USING (page_id, host, path)
 """
 }
