@@ -26,16 +26,18 @@ def contains_any(text: Column, words) -> Column:
 
 
 def estimate_by_characters(text: Column) -> Column:
-    """Tokens as a quarter of the characters, where those beyond printable ASCII count twice."""
-    wide = F.regexp_count(text, F.lit("[^\x20-\x7e\\s]"))
-    return F.floor((F.char_length(text) + wide) / 4).cast("long")
+    """Tokens as a quarter of the characters, where all but ASCII letters, digits, blanks, tabs and _.,;:-+= count twice."""
+    plain = F.regexp_count(text, F.lit(r"[a-zA-Z0-9_ \t.,;:\-+=]"))
+    return F.floor((2 * F.char_length(text) - plain) / 4).cast("long")
 
 
 def estimate_by_runs(text: Column) -> Column:
-    """Tokens as a quarter of: runs of ASCII letters and digits, and twice every character outside such runs."""
-    runs = F.regexp_count(text, F.lit("[a-zA-Z0-9]+"))
-    others = F.char_length(F.regexp_replace(text, "[a-zA-Z0-9]+", ""))
-    return F.floor((runs + 2 * others) / 4).cast("long")
+    """Tokens as a quarter of: one for each run of ASCII letters, digits, blanks, tabs and _.,;: and two for each Chinese character;
+    all characters but these, less the number (not the length) of runs, count twice.
+    """
+    runs = F.regexp_count(text, F.lit(r"[a-zA-Z0-9_ \t.,;:]+"))
+    chinese = F.regexp_count(text, F.lit("[\u4e00-\u9fff]"))
+    return F.floor((runs + 2 * chinese + 2 * (F.char_length(text) - chinese - runs)) / 4).cast("long")
 
 
 def cjk_share(text: Column) -> Column:

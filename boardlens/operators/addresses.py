@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from boardlens.functions import text as X
 from boardlens.functions import vocabulary as V
 
-BUCKET_BITS = 12
+BUCKET_BITS = 16
 
 
 def line_addresses(line: Column) -> Column:
@@ -61,12 +61,22 @@ def resolve_functions(addresses: DataFrame, symbols: DataFrame, at: str = "addre
 
 
 def with_nearby(instructions: DataFrame, around: int = 2) -> DataFrame:
-    """Adds the instructions up to two places before and after, in the order of addresses within an image's buckets.
+    """Adds the instructions up to two places before and after, in the order of addresses of the whole image.
 
-    Neighbours come from a window over the function an instruction belongs to, so that no window spans a whole image.
+    A window spans one bucket; its first and last rows are carried over to the buckets beside it, of which there is a row each.
     """
-    w = W.partitionBy("image", "fn").orderBy("address").rowsBetween(-around, around)
-    return instructions.withColumn("nearby", F.collect_list(F.struct("address", "mnemonic", "op_str")).over(w))
+    one = F.struct("address", "mnemonic", "op_str")
+    own = instructions.withColumn("b", F.floor(F.col("address") / F.lit(1 << BUCKET_BITS)))
+    ends = own.groupBy("image", "b").agg(F.array_sort(F.collect_list(one)).alias("all")).select("image", "b", F.slice("all", 1, around).alias("head"), F.reverse(F.slice(F.reverse("all"), 1, around)).alias("tail"))
+    beside = W.partitionBy("image").orderBy("b")
+    none = F.array().cast(ends.schema["head"].dataType)
+    before = F.concat(*(F.coalesce(F.lag("tail", k).over(beside), none) for k in range(around, 0, -1)))
+    after = F.concat(*(F.coalesce(F.lead("head", k).over(beside), none) for k in range(1, around + 1)))
+    ends = ends.select("image", "b", before.alias("before"), after.alias("after"))
+    w = W.partitionBy("image", "b").orderBy("address")
+    out = own.withColumns({"up": F.collect_list(one).over(w.rowsBetween(-around, -1)), "down": F.collect_list(one).over(w.rowsBetween(1, around))}).join(ends, ["image", "b"])
+    up = F.reverse(F.slice(F.reverse(F.concat("before", "up")), 1, around))
+    return out.select(*instructions.columns, F.concat(up, F.array(one), F.slice(F.concat("down", "after"), 1, around)).alias("nearby"))
 
 
 def resolve_instructions(addresses: DataFrame, instructions: DataFrame, at: str = "address") -> DataFrame:

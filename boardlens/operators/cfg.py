@@ -88,18 +88,23 @@ def edges(instructions: DataFrame, arch: str = "arm") -> DataFrame:
     at = F.concat(F.lit("0x"), F.lower(F.hex("target")))
     known, unknown = F.col("to").isNotNull(), F.lit(-1).cast("long")
 
-    def edge(where: Column, to: Column, kind: Column, comment: Column) -> DataFrame:
-        return last.where(where).select("fn", F.col("block").alias("from_block"), to.alias("to_block"), kind.alias("edge_type"), comment.alias("comment"))
-
     k, follows = F.col("kind"), F.col("next").isNotNull()
-    out = edge(k == "return", unknown, F.lit("return"), F.concat(F.lit("return via "), F.col("mnemonic")))
-    out = out.unionByName(edge(k == "call", F.coalesce("to", unknown), F.lit("call"), F.when(known, F.concat(F.lit("call to "), at)).otherwise(F.concat(F.lit("call via "), F.col("mnemonic"), F.lit(" (target unknown)")))))
-    out = out.unionByName(edge((k == "call") & follows, F.col("next"), F.lit("fallthrough"), F.lit("return from call (fall-through)")))
+
+    def edge(where: Column, to: Column, kind: Column, comment: Column) -> Column:
+        return F.when(where, F.struct(to.alias("to_block"), kind.alias("edge_type"), comment.alias("comment")))
+
     outside = F.when(F.col("indirect") | F.col("target").isNull(), F.concat(F.lit("indirect jump via "), F.concat_ws(" ", "mnemonic", "op_str"))).otherwise(F.concat(F.lit("jump target "), at, F.lit(" outside")))
-    out = out.unionByName(edge(k == "branch", F.coalesce("to", unknown), F.when(known, "jump").otherwise("indirect_jump"), F.when(known, F.concat(F.lit("jump to "), at)).otherwise(outside)))
-    out = out.unionByName(edge((k == "conditional") & follows, F.col("next"), F.lit("conditional_false"), F.lit("branch not taken (fall-through)")))
-    out = out.unionByName(edge((k == "conditional") & (known | F.col("indirect")), F.coalesce("to", unknown), F.when(known, "conditional_true").otherwise("indirect_jump"), F.when(known, F.concat(F.lit("branch taken to "), at)).otherwise(F.concat(F.lit("indirect branch via "), F.col("mnemonic")))))
-    return out.unionByName(edge((k == "plain") & follows, F.col("next"), F.lit("fallthrough"), F.lit("")))
+    # One row for each block; its edges are made beside it.
+    out = F.array(
+        edge(k == "return", unknown, F.lit("return"), F.concat(F.lit("return via "), F.col("mnemonic"))),
+        edge(k == "call", F.coalesce("to", unknown), F.lit("call"), F.when(known, F.concat(F.lit("call to "), at)).otherwise(F.concat(F.lit("call via "), F.col("mnemonic"), F.lit(" (target unknown)")))),
+        edge((k == "call") & follows, F.col("next"), F.lit("fallthrough"), F.lit("return from call (fall-through)")),
+        edge(k == "branch", F.coalesce("to", unknown), F.when(known, "jump").otherwise("indirect_jump"), F.when(known, F.concat(F.lit("jump to "), at)).otherwise(outside)),
+        edge((k == "conditional") & follows, F.col("next"), F.lit("conditional_false"), F.lit("branch not taken (fall-through)")),
+        edge((k == "conditional") & (known | F.col("indirect")), F.coalesce("to", unknown), F.when(known, "conditional_true").otherwise("indirect_jump"), F.when(known, F.concat(F.lit("branch taken to "), at)).otherwise(F.concat(F.lit("indirect branch via "), F.col("mnemonic")))),
+        edge((k == "plain") & follows, F.col("next"), F.lit("fallthrough"), F.lit("")),
+    )
+    return last.select("fn", F.col("block").alias("from_block"), F.inline(F.filter(out, lambda e: e.isNotNull())))
 
 
 def predecessors(edge_rows: DataFrame) -> DataFrame:

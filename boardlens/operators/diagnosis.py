@@ -81,3 +81,13 @@ def diagnose(prompts: DataFrame, model: Callable[[str], str] = by_rule, attempts
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(replies, pa.string()), pa.array(tries, pa.int32()), pa.array(good)], names=["id", "reply", "attempts", "ok"])
 
     return prompts.select("id", "prompt").mapInArrow(rows, f"id {kind}, reply string, attempts int, ok boolean")
+
+
+def diagnosed(errors: DataFrame, model: Callable[[str], str] = by_rule, prompt: Column | None = None) -> DataFrame:
+    """errors (file, ...) with root_cause, suggestion, patch and success. prompt: the first line of the error if none is given.
+
+    A failed call is answered by rule and has success false; each file has one error.
+    """
+    asked = errors.select(F.col("file").alias("id"), (F.col("first_line") if prompt is None else prompt).alias("prompt"))
+    got = diagnose(asked, model).select(F.col("id").alias("file"), parse_reply(F.col("reply")).alias("r"), F.col("ok").alias("success"))
+    return errors.join(got.select("file", "r.*", "success"), "file")

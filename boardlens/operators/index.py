@@ -15,12 +15,12 @@ from boardlens.functions import vocabulary as V
 
 
 def wanted(path: Column) -> Column:
-    """Whether a path of a code tree is indexed: a known extension, no skipped directory, no generated file."""
+    """Whether a path of a code tree is indexed: an extension of code, no skipped directory, no generated file."""
     parts = F.split(path, "/")
     name = F.element_at(parts, -1)
     skipped = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, V.SKIPPED_DIRECTORIES)))
     generated = name.rlike("|".join(n.replace(".", r"\.") for n in V.SKIPPED_NAMES))
-    return ~skipped & ~generated & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*V.LANGUAGES)
+    return ~skipped & ~generated & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*V.CODE_EXTENSIONS)
 
 
 def line_chunks(files: DataFrame, stride: int = V.WINDOW_LINES - V.WINDOW_OVERLAP, width: int = V.WINDOW_LINES) -> DataFrame:
@@ -92,7 +92,10 @@ def scores(chunk_rows: DataFrame, posting_rows: DataFrame, words: DataFrame, que
     mean = chunk_rows.agg(F.avg(X.count_words(F.col("content"))).alias("mean"))
     asked = queries.select("query_id", F.explode(X.query_words(F.col("query"))).alias("word"))
     hits = posting_rows.join(asked, "word").join(words, "word", "left").withColumn("idf", F.coalesce("idf", F.lit(0.5)))
-    named = length.where("function_name is not null").join(asked, F.lower("function_name").contains(F.col("word")))
+    # Names meet words by the first three characters of a word, at any place of a name; then the whole word decides.
+    named = length.where("function_name is not null").withColumn("name", F.lower("function_name"))
+    start = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.array(*(F.substr("name", i, F.lit(n)) for n in (1, 2, 3)))))))
+    named = named.withColumn("start", start).join(asked.withColumn("start", F.substring("word", 1, 3)), "start").where(F.col("name").contains(F.col("word"))).drop("start", "name")
     names = named.groupBy("query_id", "chunk_id").agg(F.count("*").alias("named"))
     by_name = named.where(F.array_contains(F.split(F.lower("function_name"), "_"), F.col("word"))).join(hits.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti")
     by_name = by_name.join(words, "word", "left").select("query_id", "chunk_id", "word", F.lit(0).cast("long").alias("tf"), F.coalesce("idf", F.lit(0.5)).alias("idf"))
@@ -109,9 +112,16 @@ def retrieve(chunk_rows: DataFrame, scored: DataFrame, top_k: int = 10, budget:
     equal tokens the walk sees the top_k best: if one of them isn't kept, no later one is, as what is left only shrinks.
     """
     best = scored.groupBy("query_id", "file_path").agg(F.max_by(F.struct("score", "matched"), F.struct("score", F.col("chunk_id"))).alias("s")).select("query_id", "file_path", "s.score", "s.matched")
-    inside = best.join(chunk_rows, "file_path").withColumn("hits", F.size(F.filter("matched", lambda w: F.lower("content").contains(w))))
-    first = inside.groupBy("query_id", "file_path", "score", "matched").agg(F.max_by(F.struct("chunk_id", "line_start", "line_end", "content", "function_name"), F.struct("hits", -F.col("line_start"))).alias("c"))
-    first = first.select("query_id", "file_path", "score", "matched", "c.*").withColumn("tokens", X.estimate_by_runs(F.col("content"))).where(F.col("tokens") <= budget)
+    # Texts are looked at only where a file has several chunks to choose from, and for the chunks that are chosen.
+    about = chunk_rows.select("chunk_id", "file_path", "line_start", "line_end", "function_name", X.estimate_by_runs(F.col("content")).alias("tokens"))
+    chosen_of = ["chunk_id", "line_start", "line_end", "function_name", "tokens"]
+    files = about.groupBy("file_path").agg(F.count("*").alias("n"), F.min_by(F.struct(*chosen_of), "line_start").alias("only"))
+    sized = best.join(files, "file_path")
+    single = sized.where("n = 1").select("query_id", "file_path", "score", "matched", F.col("only").alias("c"))
+    several = sized.where("n > 1").select("query_id", "file_path", "score", "matched").join(chunk_rows.withColumn("tokens", X.estimate_by_runs(F.col("content"))), "file_path")
+    several = several.withColumn("hits", F.size(F.filter("matched", lambda w: F.lower("content").contains(w))))
+    several = several.groupBy("query_id", "file_path", "score", "matched").agg(F.max_by(F.struct(*chosen_of), F.struct("hits", -F.col("line_start"))).alias("c"))
+    first = single.unionByName(several).select("query_id", "file_path", "score", "matched", "c.*").where(F.col("tokens") <= budget)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "file_path"))
     ranked = first.withColumn("rank", rank)
     alike = F.row_number().over(W.partitionBy("query_id", "tokens").orderBy("rank"))
@@ -120,7 +130,7 @@ def retrieve(chunk_rows: DataFrame, scored: DataFrame, top_k: int = 10, budget:
         f"aggregate(w, named_struct('used', 0L, 'kept', cast(array() as array<int>)), (a, x) -> if(size(a.kept) < {top_k} and a.used + x.tokens <= {budget}, named_struct('used', a.used + x.tokens, 'kept', array_append(a.kept, x.rank)), a), a -> a.kept)"
     )
     chosen = walk.select("query_id", F.explode(kept).alias("rank"))
-    out = ranked.join(chosen, ["query_id", "rank"])
+    out = ranked.join(chosen, ["query_id", "rank"]).join(chunk_rows.select("chunk_id", "content"), "chunk_id")
     label = F.when(F.col("score") > V.CORE_SCORE, "core").when(F.col("score") > V.RELATED_SCORE, "related").otherwise("peripheral")
     return out.withColumn("label", label).withColumn("score", F.round("score", 2))
 

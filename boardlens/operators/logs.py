@@ -112,10 +112,10 @@ def alert_level(error_type: Column) -> Column:
     return F.coalesce(F.element_at(table, error_type), F.lit("INFO"))
 
 
-def alerts(errors: DataFrame, at: Column) -> DataFrame:
-    """(id, device, level, summary, timestamp) for diagnosed errors; at: the time that goes into the id."""
+def alerts(diagnosed: DataFrame, at: Column) -> DataFrame:
+    """(id, device, level, summary, timestamp) for errors with a diagnosed root_cause; at: the time that goes into the id."""
     stamp = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
-    return errors.select(F.concat_ws("-", "device", stamp).alias("id"), "device", alert_level(F.col("error_type")).alias("level"), F.substring("first_line", 1, V.SUMMARY_CHARS).alias("summary"), stamp.alias("timestamp"))
+    return diagnosed.select(F.concat_ws("-", "device", stamp).alias("id"), "device", alert_level(F.col("error_type")).alias("level"), F.substring("root_cause", 1, V.SUMMARY_CHARS).alias("summary"), stamp.alias("timestamp"))
 
 
 def stored_logs(lines: DataFrame) -> DataFrame:

@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 
 # Fixed values of the formats.
 MAGIC, HEAD_BYTES, PUBLIC, WEAK = b"FLIR", 32, 1, 2
-#: Our own names for two suites; the checksum of a built-in is that of its name.
+# The built-in suites. The checksums of the first are given; those of the second are made from the names.
 SUITES = {
-    "cmsis": ("memcpy", "memset", "memmove", "strlen", "strcmp", "strcpy", "SystemInit", "SystemCoreClockUpdate", "NVIC_EnableIRQ", "NVIC_DisableIRQ", "NVIC_SetPriority", "SysTick_Config"),
-    "rtos": ("xTaskCreate", "vTaskDelay", "vTaskStartScheduler", "xQueueSend", "xQueueReceive", "xSemaphoreTake", "xSemaphoreGive", "pvPortMalloc", "vPortFree", "xTimerStart"),
-}
+    "cmsis": {
+        "__aeabi_memcpy": 0xF1A3, "__aeabi_memmove": 0xB2C4, "__aeabi_memset": 0xD3E5, "memcpy": 0x1234, "memset": 0x5678, "memcmp": 0x9ABC, "strlen": 0xDEF0, "strcpy": 0x1357, "strcmp": 0x2468, "malloc": 0x369A, "free": 0x4B7C, "__libc_init_array": 0x5C8D,
+        "_start": 0x6D9E, "Reset_Handler": 0x7EAF, "SystemInit": 0x8FC0, "NMI_Handler": 0xA0D1, "HardFault_Handler": 0xB1E2, "__assert_fail": 0xC2F3, "__gnu_thumb1_mcount": 0xD304, "_init": 0xE415, "_fini": 0xF526, "atexit": 0x0637, "exit": 0x1748,
+    },
+    "freertos": dict.fromkeys((
+        "vTaskDelay", "vTaskDelete", "vTaskSuspend", "vTaskResume", "xTaskCreate", "xTaskCreateStatic", "xTaskDelayUntil", "xQueueCreate", "xQueueSend", "xQueueReceive", "vSemaphoreCreateBinary", "xSemaphoreTake", "xSemaphoreGive", "vTaskDelayUntil", "vTaskEnterCritical",
+        "vTaskExitCritical", "portENABLE_INTERRUPTS", "portDISABLE_INTERRUPTS", "prvPortStartFirstTask", "pxPortInitialiseStack", "vPortYield", "vListInitialise", "vListInsertEnd", "vListRemove", "pvPortMalloc", "vPortFree", "xPortStartScheduler",
+    )),
+}
 
 
 def fold(crc: Column) -> Column:
@@ -80,8 +86,9 @@ def parse_binary(files: DataFrame) -> DataFrame:
 def builtin(spark: SparkSession, suite: str) -> DataFrame:
     if suite not in SUITES:
         raise ValueError(f"no such suite: {suite}")
-    names = spark.createDataFrame([*enumerate(SUITES[suite])], "seq long, name string")
-    return names.select("seq", "name", F.crc32(F.col("name").cast("binary")).bitwiseAND(0xFFFF).alias("crc16"), F.lit(PUBLIC).cast("long").alias("flags"))
+    names = spark.createDataFrame([(k, *x) for k, x in enumerate(SUITES[suite].items())], "seq long, name string, given long")
+    # The same fold as for heads of functions, so that both are numbers of one kind.
+    return names.select("seq", "name", F.coalesce("given", fold(F.crc32(F.col("name").cast("binary")))).alias("crc16"), F.lit(PUBLIC).cast("long").alias("flags"))
 
 
 def match(functions: DataFrame, signatures: DataFrame) -> DataFrame:

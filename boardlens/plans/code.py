@@ -143,7 +143,7 @@ t AS (SELECT *, coalesce(first_critical, first_long, '[' || severity || '] ' ||
 u AS (SELECT *, CASE WHEN length(line) > 120 THEN substr(line, 1, 120) || '...' ELSE line END AS summary FROM t)"""
 
 
-_SET = "SELECT file AS set_id, line_number AS n, raw AS line FROM log_line WHERE line_number <= 100"
+_SET = "SELECT file AS set_id, line_number AS n, raw AS line FROM log_line"
 _P = f"{X.LOG_LINES}, {_parse(_SET)}"
 _FOUND = f"""{_P}, a AS (SELECT set_id, n, 0 AS p, unnest(regexp_extract_all(line, '(?:PC|pc).*?0x([0-9a-fA-F]{{8}})', 1)) AS h, 'PC=0x' AS lbl FROM l
 UNION ALL SELECT set_id, n, 1, unnest(regexp_extract_all(line, '(?:LR|link).*?0x([0-9a-fA-F]{{8}})', 1)), 'LR=0x' FROM l
@@ -152,7 +152,7 @@ b AS (SELECT set_id, list(lbl || upper(h) ORDER BY p, n) AS locs, list('0x' || u
 _CRASH = f"{X.LOG_LINES}, ca AS (SELECT file, address, min(line_number) AS line_number, arg_min(raw, line_number) AS raw FROM (SELECT file, line_number, raw, CAST('0x' || regexp_extract(raw, '0x([0-9a-f]+)', 1) AS BIGINT) AS address FROM log_line WHERE regexp_matches(raw, '(at|LR =) 0x[0-9a-f]+')) GROUP BY file, address)"
 _FN = f"""{_CRASH}, {X.SYMBOLS}, rf AS (SELECT file, address, raw, CASE WHEN address < start + size THEN name ELSE '???' END AS function, CASE WHEN address < start + size THEN address - start ELSE 0 END AS "offset"
 FROM ca ASOF LEFT JOIN (SELECT * FROM symbol WHERE size > 0) y ON ca.address >= y.start)"""
-_INS = f"""{_FN}, {X.INSTRUCTIONS}, near AS (SELECT *, string_agg(mnemonic, ',') OVER (PARTITION BY fn ORDER BY address ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS nearby FROM instruction),
+_INS = f"""{_FN}, {X.INSTRUCTIONS}, near AS (SELECT *, string_agg(mnemonic, ',') OVER (ORDER BY address ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS nearby FROM instruction),
 ri AS (SELECT rf.file, rf.address, rf.function, rf.raw, CASE WHEN rf.address < i.address + i.byte_len THEN i.mnemonic || ' ' || i.op_str END AS instruction, CASE WHEN rf.address < i.address + i.byte_len THEN i.nearby END AS nearby
 FROM rf ASOF LEFT JOIN near i ON rf.address >= i.address)"""
 _CFG = f"""{X.INSTRUCTIONS},

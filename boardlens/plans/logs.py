@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boardlens.operators import diagnosis as D
 from boardlens.operators import logs as L
 from boardlens.operators import stores as S
 from boardlens.sources import fixtures as X
@@ -57,7 +58,7 @@ def error_context(spark, sf_dir):
 
 
 def alerts(spark, sf_dir):
-    return L.alerts(first_error(spark, sf_dir), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    return L.alerts(D.diagnosed(first_error(spark, sf_dir)), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def recent_logs(spark, sf_dir):
@@ -108,7 +109,7 @@ QUERIES = {f.__name__: f for f in (text_lines, log_parse, log_level_compat, log_
 
 _CLASS = r"""CASE WHEN regexp_matches(raw, '(?i)kernel\s+panic|panic\s+at|fatal\s+exception|system\s+panic') THEN 'Kernel Panic'
 WHEN regexp_matches(raw, '(?i)kernel\s+oops|oops\s+#|\bBUG\s+\w+') THEN 'Kernel Oops'
-WHEN regexp_matches(raw, '(?i)segfault|segmentation\s+fault|signal\s+11|SIGSEGV|access\s+violation') THEN 'Segmentation Fault' END"""
+WHEN regexp_matches(raw, '(?i)segfault|segmentation\s+fault|signal\s+11|SIGSEGV|access\s+violation') THEN 'Segfault' END"""
 _P = rf"""{X.LOG_LINES},
 p AS (SELECT event_id, ts AS event_ts, file, device, line_number, raw, CAST(substr(raw, 1, 19) AS TIMESTAMP) AS ts, trim(substr(raw, 20)) AS rest FROM log_line),
 q AS (SELECT *, regexp_replace(rest, '^(?:\[\w+\]\s*|<\w+>\s*|\w+\s*[:|]\s*)', '') AS message,
@@ -121,7 +122,7 @@ m AS (SELECT file, device, arg_max(voltage_mv, line_number) FILTER (WHERE voltag
 arg_max(temp_c, line_number) FILTER (WHERE temp_c IS NOT NULL) AS temp_c FROM r WHERE coalesce(voltage_mv, current_ma, temp_c) IS NOT NULL GROUP BY file, device),
 c AS (SELECT *, {_CLASS} AS error_type FROM log_line),
 f AS (SELECT file, arg_min(device, line_number) AS device, min(line_number) AS line_number, arg_min(error_type, line_number) AS error_type, arg_min(raw, line_number) AS first_line FROM c WHERE error_type IS NOT NULL GROUP BY file)"""
-_LEVEL = "CASE WHEN error_type IN ('Kernel Panic', 'Segmentation Fault') THEN 'CRITICAL' WHEN error_type IN ('Kernel Oops', 'Timeout') THEN 'WARNING' ELSE 'INFO' END"
+_LEVEL = "CASE WHEN error_type IN ('Kernel Panic', 'Segfault') THEN 'CRITICAL' WHEN error_type IN ('Kernel Oops', 'Timeout') THEN 'WARNING' ELSE 'INFO' END"
 ORACLE = {
     "text_lines": r"""SELECT file, split_part(regexp_replace(file, '\.[^.]*$', ''), '_', 1) AS device, CAST(n AS BIGINT) AS line_number, md5(l[n]) AS line_md5 FROM (
 SELECT source || '_' || CAST(doc_id AS VARCHAR) || '.txt' AS file, l, unnest(range(1, len(l) + 1)) AS n FROM (SELECT source, doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE trim(l[n]) <> ''""",
@@ -135,7 +136,7 @@ WHEN regexp_matches(upper(rest), 'ERROR|PANIC|OOPS|BUG|FAULT') THEN 'ERROR' WHEN
     "first_error": f"WITH {_P} SELECT * FROM f",
     "error_context": f"""WITH {_P} SELECT f.file, f.device, f.line_number, f.error_type, f.first_line, '' AS stack_trace, '' AS register_dump, string_agg(l.raw, chr(10) ORDER BY l.line_number) AS surrounding
 FROM f JOIN log_line l ON l.file = f.file AND l.line_number BETWEEN f.line_number - 5 AND f.line_number + 5 GROUP BY ALL""",
-    "alerts": f"WITH {_P} SELECT device || '-2024-01-01T00:00:00' AS id, device, {_LEVEL} AS level, substr(first_line, 1, 200) AS summary, '2024-01-01T00:00:00' AS timestamp FROM f",
+    "alerts": f"WITH {_P} SELECT device || '-2024-01-01T00:00:00' AS id, device, {_LEVEL} AS level, CASE WHEN lower(first_line) LIKE '%panic%' THEN 'The kernel stopped on a fatal condition' WHEN lower(first_line) LIKE '%segfault%' THEN 'A process read or wrote memory that it does not own' ELSE 'A kernel consistency check failed' END AS summary, '2024-01-01T00:00:00' AS timestamp FROM f",
     "recent_logs": f"WITH {_P} SELECT device || '-' || CAST(line_number AS VARCHAR) AS id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, device, message FROM (SELECT * FROM q ORDER BY event_ts DESC, event_id DESC LIMIT 100)",
     "recent_alerts": f"WITH {_P} SELECT event_id, device, {_LEVEL} AS level FROM (SELECT * FROM c WHERE error_type IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 100)",
     "stream_rate": f"WITH {_P} SELECT file, CAST(sum(strlen(raw) + 1) AS BIGINT) AS bytes, round(sum(strlen(raw) + 1) / 100.0, 2) AS lines_per_sec FROM log_line GROUP BY file",

@@ -29,7 +29,7 @@ def _whole(spark, sf_dir):
 
 def _queries(spark, sf_dir):
     b = X.table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("query"))
+    return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def token_estimates(spark, sf_dir):
@@ -176,7 +176,7 @@ d AS (SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS file_path, te
 w AS (SELECT file_path, unnest({_WORDS.format(t="text")}) AS word FROM d),
 po AS (SELECT file_path, word, count(*) AS tf FROM w GROUP BY ALL),
 st AS (SELECT word, count(*) AS df, CASE WHEN count(*) > 1 THEN 0.5 + 0.5 * count(*) / (count(*) - 1) ELSE 0.5 END AS idf FROM po GROUP BY word),
-q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS query FROM benchmark),
+q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 qw AS (SELECT DISTINCT query_id, word FROM (SELECT query_id, unnest({_WORDS.format(t="query")}) AS word FROM q)),
 dl AS (SELECT file_path, len(regexp_extract_all(text, '\S+')) AS dl FROM d),
 sc AS (SELECT query_id, file_path, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM dl))) + CASE WHEN word IN ('error', 'fail', 'exception', 'crash', 'bug', 'fix', 'warn') THEN 3.0 ELSE 0.0 END) AS score, count(*) AS matched
@@ -184,8 +184,9 @@ FROM po JOIN qw USING (word) JOIN st USING (word) JOIN dl USING (file_path) GROU
 _LINES = "f AS (SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS file_path, CASE WHEN text = '' THEN [] WHEN ends_with(text, chr(10)) THEN string_split(text[:-2], chr(10)) ELSE string_split(text, chr(10)) END AS l FROM documents), c AS (SELECT file_path, l, k, 10 * k + 1 AS a, least(10 * k + 20, len(l)) AS z FROM (SELECT file_path, l, unnest(range(0, (len(l) + 9) // 10)) AS k FROM f))"
 ORACLE = {
     "stream_tables": f"WITH {_FIRST} SELECT * FROM f",
-    "token_estimates": r"""SELECT doc_id, CAST((length(text) + len(regexp_extract_all(text, '[^\x20-\x7e\s]'))) // 4 AS BIGINT) AS by_characters,
-CAST((len(regexp_extract_all(text, '[a-zA-Z0-9]+')) + 2 * length(regexp_replace(text, '[a-zA-Z0-9]+', '', 'g'))) // 4 AS BIGINT) AS by_runs, len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) / greatest(length(text), 1) AS cjk FROM documents""",
+    "token_estimates": r"""SELECT doc_id, CAST((2 * length(text) - len(regexp_extract_all(text, '[a-zA-Z0-9_ \t.,;:\-+=]'))) // 4 AS BIGINT) AS by_characters,
+CAST((len(regexp_extract_all(text, '[a-zA-Z0-9_ \t.,;:]+')) + 2 * len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) + 2 * (length(text) - len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) - len(regexp_extract_all(text, '[a-zA-Z0-9_ \t.,;:]+')))) // 4 AS BIGINT) AS by_runs,
+len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) / greatest(length(text), 1) AS cjk FROM documents""",
     "chunk_lines": f"WITH {_LINES} SELECT substr(md5(file_path || ':' || CAST(a AS VARCHAR) || ':chunk_' || CAST(k AS VARCHAR)), 1, 16) AS chunk_id, file_path, CAST(a AS BIGINT) AS line_start, CAST(z AS BIGINT) AS line_end, md5(array_to_string(l[a:z], chr(10))) AS content_md5, 'txt' AS language FROM c",
     "index_statistics": f"WITH {_LINES}, b AS (SELECT count(*) AS total_chunks, CAST(sum(z - a + 1) AS BIGINT) AS total_lines, CAST(sum(strlen(array_to_string(l[a:z], chr(10)))) AS BIGINT) AS total_bytes FROM c) SELECT (SELECT count(*) FROM f) AS total_files, total_chunks, total_lines, total_bytes, round(total_bytes / 1048576, 2) AS megabytes FROM b",
     "word_statistics": f"WITH {_INDEX} SELECT word, df, round(idf, 9) AS idf FROM st",

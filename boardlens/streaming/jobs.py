@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from boardlens.operators import logs
+from boardlens.operators import diagnosis, logs
 from boardlens.sources import files
 
 TABLES = ("log_entry", "metrics", "error_context", "alert")
@@ -22,7 +22,7 @@ def tables_of(batch: DataFrame, at) -> dict[str, DataFrame]:
     lines = logs.parsed(logs.lines_of_files(batch))
     metrics = logs.last_readings(lines)
     errors = logs.error_context(lines)
-    return {"log_entry": lines, "metrics": metrics.where(logs.valid_readings(metrics)), "error_context": errors, "alert": logs.alerts(errors, at)}
+    return {"log_entry": lines, "metrics": metrics.where(logs.valid_readings(metrics)), "error_context": errors, "alert": logs.alerts(diagnosis.diagnosed(errors), at)}
 
 
 def start(spark: SparkSession, directory: str, out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -1,3 +1,5 @@
+import zlib
+
 import random
 
 import pytest
@@ -103,6 +105,24 @@ def test_signatures(spark):
     binary = b"FLIR" + bytes(12) + b"lib\0" + b"\x00\x01" + b"\x34\x12\x03\x01" + b"abc" + b"\x08\0\0\0" + b"\x00\x05"
     r = G.parse_binary(spark.createDataFrame([("p", bytearray(binary))], "path string, content binary")).collect()
     assert [(x.library, x.name, x.crc16, x.flags, x.offset) for x in r] == [("lib", "abc", 0x1234, 1, 8)]
-    assert G.builtin(spark, "rtos").count() == len(G.SUITES["rtos"])
+    own = {r.name: r.crc16 for r in G.builtin(spark, "freertos").collect()}
+    crc = zlib.crc32(b"xTaskCreate")
+    assert len(own) == 27 and own["xTaskCreate"] == (crc ^ crc >> 16) & 0xFFFF
+    assert {r.name: r.crc16 for r in G.builtin(spark, "cmsis").collect()}["atexit"] == 0x0637
     with pytest.raises(ValueError, match="suite"):
         G.builtin(spark, "none")
+
+
+def test_addresses_behind_prefixes(spark):
+    rows = [("RIP: 0010:do_fault+0x12 0xffff0010", "18 4294901776"), ("xLR=0x80 vPC:[<0x90>]", "144 128"), ("great at0x10 flat at 0x11 from  0x12", "17 18")]
+    got = spark.createDataFrame([(k, r) for k, (r, _) in enumerate(rows)], "k long, raw string")
+    found = got.select("k", A.line_addresses(F.col("raw")).alias("a")).select("k", F.transform("a", lambda s: F.conv(s["hex"], 16, 10)).alias("h")).orderBy("k").collect()
+    assert [set(r.h) >= set(want.split()[-1:]) for r, (_, want) in zip(found, rows, strict=True)] == [True] * 3
+    assert found[0].h[0] == "18" and set(found[1].h) == {"128", "144"}
+
+
+def test_neighbours_over_edges_of_functions_and_buckets(spark):
+    at = [0, 4, 65532, 65536, 65540, 200000, 400000, 400004]
+    rows = [("i", k // 3, a, f"m{k}", "", 4) for k, a in enumerate(at)]
+    got = A.with_nearby(spark.createDataFrame(rows, "image string, fn long, address long, mnemonic string, op_str string, byte_len int"))
+    assert {r.address: [n.mnemonic for n in r.nearby] for r in got.collect()} == {a: [f"m{j}" for j in range(max(0, k - 2), min(len(at), k + 3))] for k, a in enumerate(at)}

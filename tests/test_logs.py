@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from boardlens.functions import text as X
+from boardlens.operators import diagnosis as D
 from boardlens.operators import logs as L
 from boardlens.operators import stores
 
@@ -57,8 +58,8 @@ def test_error_context(spark):
     r = L.error_context(lines(spark)).first()
     assert r.error_type == "Kernel Panic" and r.line_number == 6
     assert len(r.surrounding) == 8 and r.register_dump == "r0: 0x12345678" and "fault_handler" in r.stack_trace
-    a = L.alerts(L.first_errors(lines(spark)), F.lit("2024-01-01").cast("timestamp_ntz")).first()
-    assert a.level == "CRITICAL" and a.id == "board01-2024-01-01T00:00:00"
+    a = L.alerts(D.diagnosed(L.first_errors(lines(spark))), F.lit("2024-01-01").cast("timestamp_ntz")).first()
+    assert a.level == "CRITICAL" and a.summary == "The kernel stopped on a fatal condition" and a.id == "board01-2024-01-01T00:00:00"
     text = L.error_context(lines(spark)).select(L.context_text(F.col("file")).alias("t")).first().t
     assert text.startswith("[device]\nboard01")
 
@@ -80,7 +81,7 @@ def test_stores_and_pages(spark):
 def test_text_estimates(spark):
     df = spark.createDataFrame([("abcd efgh",), ("漢字漢字",)], "t string")
     got = df.select(X.estimate_by_characters(F.col("t")).alias("a"), X.estimate_by_runs(F.col("t")).alias("b"), X.cjk_share(F.col("t")).alias("c")).collect()
-    assert got[0].a == 2 and got[0].b == 1 and got[1].a == 2 and got[1].b == 2 and got[1].c == 1.0
+    assert got[0].a == 2 and got[0].b == 4 and got[1].a == 2 and got[1].b == 2 and got[1].c == 1.0
     words = df.select(X.query_words(F.lit("say \"the pc\" now 'lr x'")).alias("w")).first().w
     assert set(words) == {"say", "the", "now", "pc", "lr", "x"}
 
