@@ -6,7 +6,8 @@ acyclic transducer with their ids as output. Tasks memory-map it and look the di
 in step; the others are merged exactly, by the ranks of the file's merges. Ids and text come out the same with any lexicon.
 
 Cases: null or empty text has no ids and decodes to the empty string; a special string inside a text is its one id; very
-long pre-tokens are merged like others; rows with one id are encoded each for itself; an empty table gives no rows.
+long pre-tokens are merged like others, and very long texts are taken alone; rows with one id are encoded each for itself; of words
+with equal counts all or none are in the lexicon; an empty table gives no rows; ids are of any type; other columns are not read.
 """
 
 from __future__ import annotations
@@ -89,19 +90,28 @@ class ByteBPE:
 
 
 def _word_counts(codec):
+    """Pre-tokens with their counts, for up to MOST_CACHED distinct pieces of a task's texts at a time."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(PATTERN).findall
-        for batch in batches:
-            count: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                count.update(codec.value.parts(text or "", find))
+        count: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
             words: Counter = Counter()
             for piece, n in count.items():
                 if piece not in codec.value.special:
                     for w in find(piece):
                         words[w] += n
             kept = [(w, n) for w, n in words.items() if len(w) <= LONGEST]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                count.update(codec.value.parts(text or "", find))
+            if len(count) >= MOST_CACHED // 2:
+                yield counted()
+                count.clear()
+        yield counted()
 
     return rows
 

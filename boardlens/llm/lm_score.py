@@ -37,6 +37,8 @@ from boardlens.llm.store import mapped, saved
 HEAD, OWN_CLASS, ENDINGS, WIDTH = 1 << 18, 1000, 64, 24
 #: Noise words for a data word, steps, their size, and the ridge penalty in counts.
 NOISE, STEPS, RATE, RIDGE = 10.0, 150, 0.05, 5.0
+#: Words that a task counts together.
+COUNTED = 1 << 21
 #: Weights of the two places of context in the score.
 PLACES = (0.9, 0.7)
 
@@ -141,17 +143,27 @@ def sequences(vocabulary: Vocabulary, w: hashing.Words) -> tuple[np.ndarray, np.
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words (hashes) with their counts and endings, for up to COUNTED different words of pieces of text at a time."""
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    ends: list[np.ndarray] = []
+
+    def counted() -> pa.RecordBatch:
+        h, first, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]), return_index=True, return_inverse=True)
+        n = np.bincount(back, np.concatenate([np.zeros(0), *counts]), len(h)).astype(np.int64)
+        e = np.concatenate([np.zeros(0, np.int64), *ends])[first].astype(np.int8)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(e)], names=["h", "c", "ending"])
+
     for batch in batches:
-        keys, ends = [], []
         for w in hashing.words(batch.column(0), lower=True):
             h, first, n = np.unique(w.hashes, return_index=True, return_counts=True)
-            keys.append((h, n))
+            keys.append(h)
+            counts.append(n)
             ends.append(endings(w)[first])
-        h = np.concatenate([k for k, _ in keys]) if keys else np.zeros(0, np.uint64)
-        n = np.concatenate([k for _, k in keys]) if keys else np.zeros(0, np.int64)
-        e = np.concatenate(ends) if ends else np.zeros(0, np.int64)
-        h, first, back = np.unique(h, return_index=True, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(back, n, len(h)).astype(np.int64)), pa.array(e[first].astype(np.int8))], names=["h", "c", "ending"])
+        if sum(map(len, keys)) >= COUNTED:
+            yield counted()
+            keys, counts, ends = [], [], []
+    yield counted()
 
 
 def _pair_rows(vocabulary):

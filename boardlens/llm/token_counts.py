@@ -6,8 +6,9 @@ vocabulary never merge, so a text falls into pre-tokens (spaces and what follows
 The distinct pre-tokens of a batch are merged together as ragged arrays; a character outside the vocabulary counts
 one token for each of its UTF-8 bytes. Each task keeps counts that it has met, up to a number, and then starts anew.
 
-Cases: null or empty text has 0 bytes and 0 tokens; very long pre-tokens only take more rounds; rows with one id are
-counted each for itself.
+Cases: null or empty text has 0 bytes and 0 tokens; very long texts are taken alone and very long pre-tokens only take more rounds;
+of equal scores the leftmost pair merges first; rows with one id are counted each for itself; a text of exactly the limit is
+not over it; an empty table gives no rows; ids are of any type; other columns are not read.
 """
 
 from __future__ import annotations
