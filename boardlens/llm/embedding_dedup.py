@@ -36,7 +36,7 @@ SAMPLE = 4096
 #: Classes that a part should hold, and the number of parts at most.
 PART, MOST_PARTS = 4096, 512
 #: Points of a node that isn't split further, and centers that are tried, and rows that are multiplied, at a time.
-LEAF, TRIED, ROWS = 16, 64, 512
+LEAF, TRIED, ROWS = 64, 64, 512
 #: Slack of squared distances for rounding in single precision; the double-precision cosine decides each pair left.
 SLACK = 1e-4
 
@@ -117,6 +117,23 @@ class CoverTree:
         return below, np.array([self.center[k] if k >= 0 else ~k for k in nodes]), np.array([self.radius[k] if k >= 0 else 0.0 for k in nodes], np.float32)
 
 
+def _against(a: CoverTree, points: np.ndarray, b: CoverTree, node: int, reach: float, products: list[int] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for points of a and a node of b."""
+    stack = [(points[k : k + ROWS], node) for k in range(0, len(points), ROWS)]
+    while stack:
+        own, k = stack.pop()
+        n, r = b.size(k)
+        below, at, radius = b.parts(k, len(own) * n <= ROWS * ROWS or r <= reach)
+        squares = 2 - 2 * (a.x[own] @ b.x[at].T)
+        if products is not None:
+            products.append(squares.size)
+        u, v = np.nonzero(squares <= (radius + np.float32(reach))[None] ** 2 + np.float32(SLACK))
+        v = below[v]
+        if (v < 0).any():
+            yield own[u[v < 0]], ~v[v < 0]
+        stack += [(own[u[v == w]], w) for w in np.unique(v[v >= 0]).tolist()]
+
+
 def dual(a: CoverTree, b: CoverTree, reach: float, products: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Points of a and of b that may be within reach of each other, pair by pair. For b is a, each two points once.
 
@@ -130,7 +147,7 @@ def dual(a: CoverTree, b: CoverTree, reach: float, products: list[int] | None =
         same = a is b and i == j
         (n, r), (m, q) = a.size(i), b.size(j)
         # Few pairs, or nodes so small that the levels below could hardly be told apart: their points are multiplied.
-        whole = n * m <= ROWS * LEAF or r + q <= reach
+        whole = n * m <= ROWS * ROWS or r + q <= reach
         own, at, r = a.parts(i, whole)
         others, other_at, q = (own, at, r) if same else b.parts(j, whole)
         for low in range(0, len(own), ROWS):
@@ -149,7 +166,14 @@ def dual(a: CoverTree, b: CoverTree, reach: float, products: list[int] | None =
             ends = (u < 0) & (v < 0)
             if ends.any():
                 yield ~u[ends], ~v[ends]
-            stack += zip(u[~ends].tolist(), v[~ends].tolist(), strict=True)
+            both = (u >= 0) & (v >= 0)
+            stack += zip(u[both].tolist(), v[both].tolist(), strict=True)
+            # Single points that meet the same node go down together.
+            for node in np.unique(v[(u < 0) & (v >= 0)]).tolist():
+                yield from _against(a, ~u[(u < 0) & (v == node)], b, node, reach, products)
+            for node in np.unique(u[(v < 0) & (u >= 0)]).tolist():
+                for points, others_ in _against(b, ~v[(v < 0) & (u == node)], a, node, reach, products):
+                    yield others_, points
 
 
 def _links_of(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
