@@ -10,8 +10,9 @@ all points within it, a node's own center stays one on the levels below, radii h
 covers its points. The dual traversal drops pairs of nodes whose centers are farther apart than their radii and the
 link distance, and ends in pairs of points. All counts are sums of the classes' sizes, so copies are never paired.
 
-Vectors without structure (all far apart) leave a cover tree nothing to prune: then all pairs of centers are multiplied, and
-vectors near many planes visit many parts.
+Vectors without structure (all far apart) leave a cover tree nothing to prune: where the first balls of a level hold hardly more
+than their centers, the points left stay single ones without a test of their separation, all pairs of them are multiplied, and
+vectors near many planes visit many parts. Links don't depend on that.
 
 Cases: null vectors, vectors with null or non-finite components, zero vectors and vectors of another length than
 the most common one (of equally common ones the shortest) link with nothing; a cosine of exactly `least` links; a null id counts
@@ -67,14 +68,10 @@ class CoverTree:
                 level = 2.0
                 while level * level >= self.radius[me] ** 2 - 2e-6:
                     level /= 2
-                below = []
-                for own, head, squares in self._cover(points, self.center[me], level):
-                    if len(own) == 1:
-                        below.append(~own[0])
-                    else:
-                        below.append(self._add(own, head, squares))
-                        stack.append((below[-1], own))
-                self.below[me] = np.array(below)
+                balls, singles = self._cover(points, self.center[me], level)
+                nodes = [self._add(own, head, squares) for own, head, squares in balls]
+                stack += zip(nodes, [own for own, _, _ in balls], strict=True)
+                self.below[me] = np.concatenate([np.array(nodes, np.int64), ~singles])
 
     def _squares(self, points: np.ndarray, others: np.ndarray) -> np.ndarray:
         return np.maximum(0, 2 - 2 * (self.x[points] @ self.x[others].T))
@@ -87,21 +84,35 @@ class CoverTree:
         self.points.append(points)
         return len(self.center) - 1
 
-    def _cover(self, points: np.ndarray, head: int, level: float) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
-        """(points, center, squared distances) of greedy balls of radius `level`; centers are farther apart, head is the first."""
+    def _cover(self, points: np.ndarray, head: int, level: float) -> tuple[list[tuple[np.ndarray, int, np.ndarray]], np.ndarray]:
+        """Greedy balls of radius `level` as (points, center, squared distances), head's first, and points that are alone in theirs.
+
+        Where the balls of a batch hold few points beside their centers, nothing is left to gather: the rest stay single points.
+        """
         rest = np.concatenate([[head], points[points != head]])
+        balls, singles = [], []
         while len(rest):
             tried = rest[:TRIED]
             squares = self._squares(rest, tried)
             near = squares <= level * level
+            near[np.arange(len(tried)), np.arange(len(tried))] = True
             free = np.ones(len(rest), bool)
-            for k in range(len(tried)):
+            n = len(balls)
+            for k in np.flatnonzero(np.count_nonzero(near, axis=0) > 1).tolist():
                 if free[k]:
                     own = near[:, k] & free
-                    own[k] = True
                     free &= ~own
-                    yield rest[own], int(tried[k]), squares[own, k]
+                    if np.count_nonzero(own) > 1:
+                        balls.append((rest[own], int(tried[k]), squares[own, k]))
+                    else:
+                        singles.append(rest[own])
+            singles.append(tried[free[: len(tried)]])
+            free[: len(tried)] = False
             rest = rest[free]
+            if sum(len(own) for own, _, _ in balls[n:]) < len(tried) // 2:
+                singles.append(rest)
+                break
+        return balls, np.concatenate(singles)
 
     def size(self, node: int) -> tuple[int, float]:
         """Number of points and radius."""
@@ -117,6 +128,18 @@ class CoverTree:
         return below, np.array([self.center[k] if k >= 0 else ~k for k in nodes]), np.array([self.radius[k] if k >= 0 else 0.0 for k in nodes], np.float32)
 
 
+def _close(x: np.ndarray, r: np.ndarray, y: np.ndarray, q: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of centers x and y whose balls of radii r and q come within reach. Pairs of single points need no matrix of bounds."""
+    found = []
+    for i in (np.flatnonzero(r == 0), np.flatnonzero(r)):
+        for j in (np.flatnonzero(q == 0), np.flatnonzero(q)):
+            if len(i) and len(j):
+                most = np.float32(reach) if not r[i[0]] and not q[j[0]] else r[i, None] + q[None, j] + np.float32(reach)
+                k = np.flatnonzero(x[i] @ y[j].T >= 1 - (most * most + np.float32(SLACK)) / 2)
+                found.append((i[k // len(j)], j[k % len(j)]))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
 def _against(a: CoverTree, points: np.ndarray, b: CoverTree, node: int, reach: float, products: list[int] | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The same for points of a and a node of b."""
     stack = [(points[k : k + ROWS], node) for k in range(0, len(points), ROWS)]
@@ -124,10 +147,9 @@ def _against(a: CoverTree, points: np.ndarray, b: CoverTree, node: int, reach: f
         own, k = stack.pop()
         n, r = b.size(k)
         below, at, radius = b.parts(k, len(own) * n <= ROWS * ROWS or r <= reach)
-        squares = 2 - 2 * (a.x[own] @ b.x[at].T)
         if products is not None:
-            products.append(squares.size)
-        u, v = np.nonzero(squares <= (radius + np.float32(reach))[None] ** 2 + np.float32(SLACK))
+            products.append(len(own) * len(at))
+        u, v = _close(a.x[own], np.zeros(len(own), np.float32), b.x[at], radius, reach)
         v = below[v]
         if (v < 0).any():
             yield own[u[v < 0]], ~v[v < 0]
@@ -153,11 +175,9 @@ def dual(a: CoverTree, b: CoverTree, reach: float, products: list[int] | None =
         for low in range(0, len(own), ROWS):
             # Of a node with itself, each two parts once, and each part that is a node with itself.
             first = low if same else 0
-            squares = 2 - 2 * (a.x[at[low : low + ROWS]] @ b.x[other_at[first:]].T)
             if products is not None:
-                products.append(squares.size)
-            most = (r[low : low + ROWS, None] + q[None, first:] + np.float32(reach)) ** 2 + np.float32(SLACK)
-            u, v = np.nonzero(squares <= most)
+                products.append(len(at[low : low + ROWS]) * len(other_at[first:]))
+            u, v = _close(a.x[at[low : low + ROWS]], r[low : low + ROWS], b.x[other_at[first:]], q[first:], reach)
             if same:
                 u, v = u[u <= v], v[u <= v]
                 loop = (u == v) & (own[low + u] < 0)

@@ -120,3 +120,15 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path, stage):
     assert ids == {0: sorted(["1", "2", "3", "4", "5", "6", "6", "None"]), 1: sorted(["1", "3", "4", "5", "6", "None"]), 2: sorted(["1", "2", "3", "4", "5", "6", "6", "None"]), 3: sorted(["1", "2", "3", "4", "6", "6", "None"]), 4: sorted(["1", "2", "3", "4", "5", "6", "6", "None"])}[stage]
     if stage == 2:
         assert {str(r.doc_id): r.text for r in got}["2"] == "" and {str(r.doc_id): r.text for r in got}["None"] == long_
+
+
+def test_single_points_beside_one_cluster():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(900, 64)), rng.normal(size=64) + rng.normal(size=(300, 64)) * 0.02])
+    x[5] = x[4] + rng.normal(size=64) * 0.05
+    x = x[rng.permutation(1200)] / 1.0
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree, reach = CoverTree(x), np.sqrt(0.2)
+    assert sorted(p for k in range(len(tree.center)) for p in (~b for b in tree.below[k].tolist() if b < 0)) == list(range(1200))
+    want = np.triu(x @ x.T >= 0.9, 1).sum()
+    assert want > 300 * 299 / 2 and sum((np.einsum("ij,ij->i", x[u], x[v]) >= 0.9).sum() for u, v in dual(tree, tree, reach)) == want
