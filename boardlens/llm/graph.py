@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boardlens.llm.store import discard, saved
@@ -11,40 +12,60 @@ from boardlens.llm.store import discard, saved
 HUB, SALTS = 1000, 64
 
 
-def _with_smallest(both: DataFrame, hubs: bool) -> DataFrame:
-    """both (u, v) with m, the smallest of u and all v of its rows. With hubs no key holds more than a share of a node's rows."""
-    if not hubs:
-        return both.join(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u")
+def _with_smallest(both: DataFrame) -> DataFrame:
+    """both (u, v) with m, the smallest of u and all v of its rows. No key holds more than a share of a node's rows."""
     dealt = both.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
     shares = dealt.groupBy("u", "s").agg(F.min("v").alias("least"))
     smallest = shares.groupBy("u").agg(F.least(F.min("least"), F.first("u")).alias("m"))
     return dealt.join(shares.select("u", "s").join(smallest, "u"), ["u", "s"]).drop("s")
 
 
+def _round(edges: DataFrame, hubs: bool) -> DataFrame:
+    """edges (u, v), v < u, with nodes hung on the smallest neighbours that they see. Without hubs a node's rows go to one task."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    # Large star: the larger neighbours of u hang on the smallest of u and its neighbours.
+    seen = _with_smallest(both) if hubs else both.withColumn("m", F.least(F.min("v").over(W.partitionBy("u")), "u"))
+    large = seen.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    # Small star: u and its smaller neighbours hang on the smallest of them.
+    if hubs:
+        large = large.distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+    else:
+        low = large.withColumn("m", F.min("v").over(W.partitionBy("u")))
+        small = low.select(F.inline(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))))
+    return small.where("u <> v").distinct()
+
+
+def _state(edges: DataFrame) -> tuple[bool, bool]:
+    """Whether edges are stars already (nodes hang on one center each, and centers on none), and whether a node has more than HUB links."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("hangs")), F.struct(F.col("v").alias("node"), F.lit(0).alias("hangs")))))
+    nodes = ends.groupBy("node").agg(F.sum("hangs").alias("up"), F.count("*").alias("n"))
+    loose, most = nodes.agg(F.count_if(F.expr("up > 1 or (up = 1 and n > 1)")), F.max("n")).first()
+    return loose == 0, (most or 0) > HUB
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links (a, b): links of comparable ids. Returns (id, component) for each id in a link; component is the smallest id reachable.
 
-    Each round hangs nodes on the smallest neighbour that they see; the number of rounds grows with the logarithm of
-    the size of a component. Minima combine before the shuffle, and the rows of nodes with more than HUB links are dealt
-    out by their other end, so that no task gathers a hub. A null end links nothing; an empty table gives no rows.
+    Each round hangs nodes on the smallest neighbour that they see, until all hang on centers; links that are stars take no
+    round. The number of rounds grows with the logarithm of the size of a component. Minima combine before the shuffle, and
+    where a node has more than HUB links, rows are dealt out by their other end, so that no task gathers a hub. A null end
+    links nothing; an empty table gives no rows.
     """
     edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen, hubs = None, True
+    stars, hubs = _state(edges)
     for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Large star: the larger neighbours of u hang on the smallest of u and its neighbours.
-        large = _with_smallest(both, hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: u and its smaller neighbours hang on the smallest of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        old, edges = edges, saved(small, "stars")
-        discard(old)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen or not state[0]:
+        if stars:
             break
-        seen = tuple(state)
-        # Nodes of a star's rim have one link; only centers, whose number of rows is that of v, can be hubs.
-        hubs = not edges.groupBy("v").count().where(F.col("count") > HUB).isEmpty()
-    else:
+        old, edges = edges, saved(_round(edges, hubs), "stars")
+        discard(old)
+        stars, hubs = _state(edges)
+    if not stars:
         raise RuntimeError(f"components have not settled in {most_rounds} rounds")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def more_links(known: DataFrame, links: DataFrame) -> DataFrame:
+    """The components of links (a, b) beside those known (id, component): known ones come in as stars, which take no rounds of their own."""
+    return components(known.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links.select("a", "b")))

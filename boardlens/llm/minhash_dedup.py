@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from boardlens.llm import hashing
 from boardlens.llm.filters import admitted, docs_filter, key_filter
-from boardlens.llm.graph import components
+from boardlens.llm.graph import components, more_links
 from boardlens.llm.store import discard, mapped, saved
 
 K = 48
@@ -451,14 +451,15 @@ def _class_components(docs: DataFrame, classes: DataFrame, width: int, percent:
     longest = F.row_number().over(W.partitionBy("c", F.col("key") % 2).orderBy(F.desc("members"), F.desc("key")))
     leave = F.expr(f"case when key & 1 = 1 and full & 2 = 2 then {LEAST_RARE - 1} when key & 1 = 0 and full & 1 = 1 then {LEAST_ALL - 1} else 0 end")
     shorter = lists.select("key", "c", "n", (longest > leave).alias("stays")).where("stays").drop("stays")
-    groups = _list_groups(shorter, components(near), classes).repartition("g").sortWithinPartitions("g")
+    heads = components(near)
+    groups = _list_groups(shorter, heads, classes).repartition("g").sortWithinPartitions("g")
     across = saved(mapped(groups, _near_in_lists(percent, verify.least), "a long, b long"), "across")
     discard(lists)
-    families = components(near.unionByName(across))
+    families = more_links(heads, across)
     links = verify.links(_star_groups(near))
     parts = components(links)
     members = families.select(F.col("id").alias("c"), F.col("component").alias("family")).join(parts.withColumnsRenamed({"id": "c", "component": "comp"}), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    return components(links.unionByName(verify.links(_family_groups(members))))
+    return more_links(parts, verify.links(_family_groups(members)))
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,3 +132,13 @@ def test_single_points_beside_one_cluster():
     assert sorted(p for k in range(len(tree.center)) for p in (~b for b in tree.below[k].tolist() if b < 0)) == list(range(1200))
     want = np.triu(x @ x.T >= 0.9, 1).sum()
     assert want > 300 * 299 / 2 and sum((np.einsum("ij,ij->i", x[u], x[v]) >= 0.9).sum() for u, v in dual(tree, tree, reach)) == want
+
+
+def test_more_links_join_known_components(spark):
+    from boardlens.llm.graph import components, more_links
+
+    known = components(spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 21), (None, 1)], "a long, b long"))
+    got = more_links(known, spark.createDataFrame([(3, 11), (30, 31), (2, 2)], "a long, b long"))
+    assert {r.id: r.component for r in got.collect()} == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 20, 21: 20, 30: 30, 31: 30}
+    same = more_links(known, spark.createDataFrame([], "a long, b long"))
+    assert {r.id: r.component for r in same.collect()} == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 20: 20, 21: 20}
