@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and, where SQL can express the query, ORACLE.
-MODULES = ("bpe_codec", "decontamination", "embedding_dedup", "language_id", "lm_score", "minhash_dedup", "quality", "substring_dedup", "token_counts", "url_filter")
+MODULES = ("ball_kmeans", "bpe_codec", "chat_format", "decontamination", "embedding_dedup", "importance", "language_id", "lm_score", "minhash_dedup", "quality", "substring_dedup", "token_counts", "url_filter")
 
 
 def queries() -> dict:
