@@ -110,7 +110,7 @@ def _means(table: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """The centroids after a round: exact floors of sums over counts; k x dimensions numbers come to the driver."""
     parts = table.where("n is not null").select("cluster", "n", F.posexplode("sums").alias("dim", "x"))
     out = centroids.copy()
-    for r in parts.groupBy("cluster", "dim").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toLocalIterator():
+    for r in parts.groupBy("cluster", "dim").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).collect():
         out[r.cluster, r.dim] = r.x // r.n
     return out
 
