@@ -21,6 +21,8 @@ target counts as T = 0; columns that aren't named in `carry` are not read, so th
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,8 +45,9 @@ def features(own: Column, most_words: int) -> Column:
         return own
 
     def runs(k: int) -> Column:
-        starts = F.when(F.size(own) >= k, F.sequence(F.lit(1), F.greatest(F.size(own) - k + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.array_join(F.slice(own, i, F.lit(k)), " "))
+        n = F.greatest(F.size(own) - k + 1, F.lit(0))
+        parts = [F.slice(own, F.lit(j + 1), n) for j in range(k)]
+        return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y)), parts)
 
     return F.concat(own, *(runs(k) for k in range(2, most_words + 1)))
 
