@@ -16,6 +16,18 @@ def lines(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def strip(text: Column) -> Column:
+    """Without ASCII white space at both ends: tabs and line ends as well as blanks."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def kept_lines(text: Column) -> Column:
+    """The lines of a text with their line ends; those of files are read as \\n."""
+    own = F.regexp_replace(text, "\r\n?", "\n")
+    parts = F.split(own, V.BEHIND_LINE_END)
+    return F.filter(parts, lambda x: x != "")
+
+
 def any_of(words) -> str:
     return "|".join(w.replace(".", r"\.") for w in words)
 
@@ -32,12 +44,10 @@ def estimate_by_characters(text: Column) -> Column:
 
 
 def estimate_by_runs(text: Column) -> Column:
-    """Tokens as a quarter of: one for each run of ASCII letters, digits, blanks, tabs and _.,;: and two for each Chinese character;
-    all characters but these, less the number (not the length) of runs, count twice.
+    """Tokens as a quarter of: one for each run of ASCII letters, digits, blanks, tabs and _.,;: and two for each Chinese character; all
+    characters but these, less the number (not the length) of runs, count twice. That is twice all characters less the runs.
     """
-    runs = F.regexp_count(text, F.lit(r"[a-zA-Z0-9_ \t.,;:]+"))
-    chinese = F.regexp_count(text, F.lit("[\u4e00-\u9fff]"))
-    return F.floor((runs + 2 * chinese + 2 * (F.char_length(text) - chinese - runs)) / 4).cast("long")
+    return F.floor((2 * F.char_length(text) - F.regexp_count(text, F.lit(r"[a-zA-Z0-9_ \t.,;:]+"))) / 4).cast("long")
 
 
 def cjk_share(text: Column) -> Column:

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 from boardlens.functions import text as X
 from boardlens.functions import vocabulary as V
+from boardlens.operators import ordered
+from boardlens.operators.images import is_epilogue
+from boardlens.sources.stages import written
+
+#: Rounds of a closure after which the tables of its rounds become one.
+KEEP = 16
 
 
 def kind_of(mnemonic: Column, op: Column, arch: str) -> Column:
@@ -58,36 +64,48 @@ def classified(instructions: DataFrame, arch: str) -> DataFrame:
     return instructions.withColumns({"kind": kind_of(F.col("mnemonic"), F.col("op_str"), arch), "indirect": indirect(F.col("mnemonic"), F.col("op_str"), arch), "target": target(F.col("op_str"))})
 
 
+def _marked(instructions: DataFrame, arch: str) -> DataFrame:
+    """Classified instructions with `leads`: the entry, what follows a transfer, and targets of transfers inside the function.
+
+    A transfer is also a row at its target's address, so one scan, one shuffle by function and one sort tell all three.
+    """
+    own = classified(instructions, arch)
+    transfers = (F.col("kind") != "plain") & F.col("target").isNotNull()
+    own = own.withColumn("marks", F.explode(F.when(transfers, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    own = own.withColumns({"address": F.when(F.col("marks"), F.col("target")).otherwise(F.col("address")), "kind": F.when(~F.col("marks"), F.col("kind")), "mark": F.when(F.col("marks"), F.col("target"))})
+    w = W.partitionBy("fn").orderBy("address", F.desc("marks")).rowsBetween(W.unboundedPreceding, -1)
+    every = own.withColumns({"before": F.last("kind", ignorenulls=True).over(w), "mark": F.last("mark", ignorenulls=True).over(w)}).where("not marks")
+    return every.withColumn("leads", F.col("before").isNull() | (F.col("before") != "plain") | F.coalesce(F.col("mark") == F.col("address"), F.lit(False))).drop("mark", "marks", "before")
+
+
 def leaders(instructions: DataFrame, arch: str) -> DataFrame:
-    """(fn, address) of block starts: the entry, what follows a transfer, and targets inside the function."""
-    own = classified(instructions, arch).withColumn("ends", F.col("kind") != "plain")
-    w = W.partitionBy("fn").orderBy("address")
-    after = own.withColumn("before", F.lag("ends").over(w)).where("before is null or before").select("fn", "address")
-    hit = own.where("ends and target is not null").select("fn", F.col("target").alias("address")).distinct()
-    return after.unionByName(hit.join(own.select("fn", "address"), ["fn", "address"], "left_semi")).distinct()
+    """(fn, address) of block starts."""
+    return _marked(instructions, arch).where("leads").select("fn", "address")
 
 
 def blocked(instructions: DataFrame, arch: str) -> DataFrame:
     """Classified instructions with their block's number within the function."""
-    own = classified(instructions, arch)
-    marks = leaders(instructions, arch).withColumn("leads", F.lit(1))
     w = W.partitionBy("fn").orderBy("address").rowsBetween(W.unboundedPreceding, 0)
-    return own.join(marks, ["fn", "address"], "left").withColumn("block", (F.sum(F.coalesce("leads", F.lit(0))).over(w) - 1).cast("long")).drop("leads")
+    return _marked(instructions, arch).withColumn("block", (F.sum(F.col("leads").cast("int")).over(w) - 1).cast("long")).drop("leads")
+
+
+def _blocks(instructions: DataFrame, arch: str) -> DataFrame:
+    """(fn, block, start_addr, end_addr, n, last instruction): grouped where the windows left the rows, without another shuffle."""
+    last = F.max_by(F.struct("mnemonic", "op_str", "kind", "indirect", "target"), "address").alias("i")
+    return blocked(instructions, arch).groupBy("fn", "block").agg(F.min("address").alias("start_addr"), F.max("address").alias("end_addr"), F.count("*").alias("n"), last)
 
 
 def blocks(instructions: DataFrame, arch: str = "arm") -> DataFrame:
-    return blocked(instructions, arch).groupBy("fn", "block").agg(F.min("address").alias("start_addr"), F.max("address").alias("end_addr"), F.count("*").alias("n"))
+    return _blocks(instructions, arch).drop("i")
 
 
-def edges(instructions: DataFrame, arch: str = "arm") -> DataFrame:
-    """(fn, from_block, to_block, edge_type, comment); to_block -1 is unknown."""
-    own = blocked(instructions, arch)
-    last = own.groupBy("fn", "block").agg(F.max_by(F.struct("mnemonic", "op_str", "kind", "indirect", "target"), "address").alias("i")).select("fn", "block", "i.*")
-    last = last.withColumn("next", F.lead("block").over(W.partitionBy("fn").orderBy("block")))
-    last = last.join(own.select("fn", F.col("address").alias("target"), F.col("block").alias("to")), ["fn", "target"], "left")
+def _with_edges(instructions: DataFrame, arch: str) -> DataFrame:
+    """A row for each block, with the array of its edges. A target inside the function begins a block, so it meets blocks, not instructions."""
+    own = _blocks(instructions, arch)
+    last = own.select("fn", "block", "start_addr", "end_addr", "n", "i.*").withColumn("next", F.lead("block").over(W.partitionBy("fn").orderBy("block")))
+    last = last.join(own.select("fn", F.col("start_addr").alias("target"), F.col("block").alias("to")), ["fn", "target"], "left")
     at = F.concat(F.lit("0x"), F.lower(F.hex("target")))
     known, unknown = F.col("to").isNotNull(), F.lit(-1).cast("long")
-
     k, follows = F.col("kind"), F.col("next").isNotNull()
 
     def edge(where: Column, to: Column, kind: Column, comment: Column) -> Column:
@@ -104,7 +122,12 @@ def edges(instructions: DataFrame, arch: str = "arm") -> DataFrame:
         edge((k == "conditional") & (known | F.col("indirect")), F.coalesce("to", unknown), F.when(known, "conditional_true").otherwise("indirect_jump"), F.when(known, F.concat(F.lit("branch taken to "), at)).otherwise(F.concat(F.lit("indirect branch via "), F.col("mnemonic")))),
         edge((k == "plain") & follows, F.col("next"), F.lit("fallthrough"), F.lit("")),
     )
-    return last.select("fn", F.col("block").alias("from_block"), F.inline(F.filter(out, lambda e: e.isNotNull())))
+    return last.select("fn", "block", "start_addr", "end_addr", "n", F.filter(out, lambda e: e.isNotNull()).alias("edges"))
+
+
+def edges(instructions: DataFrame, arch: str = "arm") -> DataFrame:
+    """(fn, from_block, to_block, edge_type, comment); to_block -1 is unknown."""
+    return _with_edges(instructions, arch).select("fn", F.col("block").alias("from_block"), F.inline("edges"))
 
 
 def predecessors(edge_rows: DataFrame) -> DataFrame:
@@ -113,10 +136,15 @@ def predecessors(edge_rows: DataFrame) -> DataFrame:
 
 
 def statistics(instructions: DataFrame, arch: str = "arm") -> DataFrame:
-    """(fn, entry_block, instructions, blocks, edges, edge_types as a map)."""
-    b = blocks(instructions, arch).groupBy("fn").agg(F.min_by("block", "start_addr").alias("entry_block"), F.sum("n").alias("instructions"), F.count("*").alias("blocks"))
-    e = edges(instructions, arch).groupBy("fn", "edge_type").agg(F.count("*").alias("n")).groupBy("fn").agg(F.sum("n").alias("edges"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("edge_type", "n")))).alias("edge_types"))
-    return b.join(e, "fn", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
+    """(fn, entry_block, instructions, blocks, edges, edge_types as a map), from one row a block."""
+    own = _with_edges(instructions, arch)
+
+    def number(kind: str) -> Column:
+        return F.sum(F.size(F.filter("edges", lambda e: e["edge_type"] == kind))).alias(kind)
+
+    out = own.groupBy("fn").agg(F.min_by("block", "start_addr").alias("entry_block"), F.sum("n").alias("instructions"), F.count("*").alias("blocks"), F.sum(F.size("edges")).alias("edges"), *map(number, V.EDGE_TYPES))
+    pairs = F.filter(F.array(*(F.struct(F.lit(t).alias("t"), F.col(t).alias("n")) for t in V.EDGE_TYPES)), lambda s: s["n"] > 0)
+    return out.select("fn", "entry_block", "instructions", "blocks", "edges", F.map_from_entries(pairs).alias("edge_types"))
 
 
 def as_json(instructions: DataFrame, arch: str = "arm") -> DataFrame:
@@ -125,24 +153,46 @@ def as_json(instructions: DataFrame, arch: str = "arm") -> DataFrame:
     def address(c: Column) -> Column:
         return F.concat(F.lit("0x"), F.lower(F.hex(c)))
 
-    b = blocks(instructions, arch).groupBy("fn").agg(F.array_sort(F.collect_list(F.struct("block", address(F.col("start_addr")).alias("start"), address(F.col("end_addr")).alias("end")))).alias("blocks"))
-    e = edges(instructions, arch).groupBy("fn").agg(F.array_sort(F.collect_list(F.struct("from_block", "to_block", "edge_type", "comment"))).alias("edges"))
-    return b.join(e, "fn", "left").select("fn", F.to_json(F.struct("blocks", "edges")).alias("json"))
+    own = _with_edges(instructions, arch).select("fn", F.struct("block", address(F.col("start_addr")).alias("start"), address(F.col("end_addr")).alias("end")).alias("b"), F.transform("edges", lambda e: F.struct(F.col("block").alias("from_block"), e["to_block"].alias("to_block"), e["edge_type"].alias("edge_type"), e["comment"].alias("comment"))).alias("e"))
+    out = own.groupBy("fn").agg(F.array_sort(F.collect_list("b")).alias("blocks"), F.array_sort(F.flatten(F.collect_list("e"))).alias("edges"))
+    return out.select("fn", F.to_json(F.struct("blocks", "edges")).alias("json"))
+
+
+def call_target(op: Column) -> Column:
+    """The address that an operand begins with 0x or has behind its last #, else null."""
+    whole = F.regexp_extract(F.trim(op), "^0[xX]([0-9a-fA-F]+)$", 1)
+    behind = F.regexp_extract(F.trim(op), "#\\s*0x([0-9a-fA-F]+)$", 1)
+    return X.hex_to_decimal(F.nullif(F.coalesce(F.nullif(whole, F.lit("")), behind), F.lit(""))).cast("long")
+
 
+def call_closure(instructions: DataFrame, entries: DataFrame, arch: str = "arm", most: int = 200) -> DataFrame:
+    """(address, depth, has_code) of functions reached from entries (address) by calls; depth counts calls from the nearest entry.
 
-def call_closure(instructions: DataFrame, entries: DataFrame, arch: str = "arm", most_rounds: int = 64) -> DataFrame:
-    """(address) of functions reached from entries (address) by direct calls, round by round; known ones drop out by an anti join.
+    A function is swept from its address over at most `most` instructions, up to the first epilogue; its direct bl, blx and bx targets are functions,
+    without their Thumb bit. Targets without an instruction at their address count, and are not swept.
 
-    instructions have fn; a function's start is its least address. Each round's frontier is cut from its lineage.
+    An instruction belongs to all functions that start at most `most` places before it with no epilogue between. So calls and starts have a place and the
+    number of epilogues before it, and meet by that number and by blocks of `most` places. Each round looks only at addresses that are new
+    (semi-naive); their tables are written, so a round's plan doesn't grow with the rounds.
     """
-    starts = instructions.groupBy("fn").agg(F.min("address").alias("start"))
-    calls = classified(instructions, arch).where("kind = 'call' and target is not null").select("fn", F.col("target").alias("callee")).distinct()
-    calls = calls.join(starts, "fn").select(F.col("start").alias("caller"), "callee").join(starts.select(F.col("start").alias("callee")), "callee", "left_semi").checkpoint()
-    known = entries.select("address").distinct().checkpoint()
-    frontier = known
-    for _ in range(most_rounds):
-        frontier = frontier.join(calls, F.col("address") == F.col("caller")).select(F.col("callee").alias("address")).distinct().join(known, "address", "left_anti").checkpoint()
-        if frontier.isEmpty():
-            return known
-        known = known.unionByName(frontier).checkpoint()
-    raise RuntimeError(f"call closure has not settled in {most_rounds} rounds")
+    own = instructions.select(F.col("address").cast("long").alias("address"), F.lower(F.trim("mnemonic")).alias("m"), is_epilogue(F.col("mnemonic"), F.col("op_str"), arch).alias("stops"), call_target(F.col("op_str")).alias("to"))
+    placed = ordered.sliced(ordered.numbered(own, ["address"]), 0)
+    # Epilogues before an instruction: those in its slice, and those of the slices before, of which there is a row each.
+    per = placed.groupBy("slice_").agg(F.count_if("stops").alias("n"))
+    per = per.select("slice_", F.coalesce(F.sum("n").over(W.orderBy("slice_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("above"))
+    inside = F.coalesce(F.sum(F.col("stops").cast("long")).over(W.partitionBy("slice_").orderBy("place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = written(placed.withColumn("inside", inside).join(per, "slice_").select("address", "place", (F.col("inside") + F.col("above")).alias("run"), F.when(F.col("m").isin(*V.FOLLOWED), F.col("to").bitwiseAND(-2)).alias("to")), "placed")
+    block = F.floor(F.col("place") / most)
+    calls = placed.where("to is not null").select("run", "to", F.col("place").alias("at"), F.explode(F.array(block, block - 1)).alias("block"))
+    calls = written(calls.repartition("run", "block"), "calls")
+    known = frontier = written(entries.select(F.col("address").cast("long").bitwiseAND(-2).alias("address"), F.lit(0).alias("depth")).distinct(), "reached")
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
+        starts = placed.join(frontier.select("address"), "address", "left_semi").select("run", "place", block.alias("block"))
+        met = starts.join(calls, ["run", "block"]).where((F.col("at") >= F.col("place")) & (F.col("at") < F.col("place") + most))
+        frontier = written(met.select(F.col("to").alias("address")).distinct().join(known.select("address"), "address", "left_anti").withColumn("depth", F.lit(depth)), "reached")
+        known = known.unionByName(frontier)
+        if depth % KEEP == 0:
+            known = written(known, "reached")
+    return known.join(placed.select("address", F.lit(True).alias("has_code")).distinct(), "address", "left").withColumn("has_code", F.coalesce("has_code", F.lit(False)))

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from boardlens.operators import signatures
+from boardlens.operators.signatures import HEAD_BYTES
+
 # Machine numbers, and the byte patterns that begin functions (as they lie in little-endian memory).
 MACHINES = {3: "x86", 40: "arm", 62: "x86_64", 183: "arm64", 243: "riscv"}
 BITS = {"arm": 32, "thumb": 32, "riscv": 32, "x86": 32, "arm64": 64, "x86_64": 64}
@@ -72,8 +77,6 @@ def read_elf(data: bytes) -> dict:
 
 def parse_images(files: DataFrame, arch: str = "auto", base: int = 0) -> DataFrame:
     """files (path, content) -> one row an image. Images that are not ELF need an arch; empty ones and unknown archs are errors."""
-    from decimal import Decimal
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -103,25 +106,118 @@ def symbols(images: DataFrame) -> DataFrame:
     return images.select(F.col("path").alias("image"), F.inline("symbols"))
 
 
+#: Steps of instructions in bytes; how far a seed may lie before its prologue; instructions that a function has at most; confidence of a match.
+STEPS = {"arm": 4, "arm64": 4, "thumb": 2, "riscv": 2}
+NEAR_BYTES, MOST_STEPS, SURE = 16, 500, 0.95
+
+
+def find_prologues(code: bytes, arch: str) -> list[tuple[int, str]]:
+    """(offset, pattern) of all prologues of an arch, at its instruction step."""
+    step, out = STEPS.get(arch, 1), []
+    for pattern in PROLOGUES.get(arch, ()):
+        raw = bytes.fromhex(pattern)
+        at = code.find(raw)
+        while at >= 0:
+            if at % step == 0:
+                out.append((at, pattern))
+            at = code.find(raw, at + 1)
+    return out
+
+
+def refined(code: bytes, offset: int, arch: str) -> int:
+    """The first prologue within NEAR_BYTES bytes from a seed on, at its instruction step; the seed itself if there is none."""
+    step, near = STEPS.get(arch, 1), code[offset : offset + NEAR_BYTES]
+    hits = [near.find(bytes.fromhex(p), k) for p in PROLOGUES.get(arch, ()) for k in range(0, len(near), step)]
+    return offset + min((h for h in hits if h >= 0 and h % step == 0), default=0)
+
+
+def epilogue_end(code: bytes, offset: int, arch: str) -> int | None:
+    """Where the first epilogue from offset on ends, within MOST_STEPS instruction steps; None if there is none."""
+    step, stop = STEPS.get(arch, 1), min(len(code), offset + MOST_STEPS * STEPS.get(arch, 4))
+    for at in range(offset, stop - step + 1, step):
+        own = code[at : at + 4]
+        if arch == "arm" and (own == b"\x1e\xff\x2f\xe1" or own[2:] == b"\xbd\xe8" and own[1] & 0x80):
+            return at + 4
+        if arch == "arm64" and own == b"\xc0\x03\x5f\xd6":
+            return at + 4
+        if arch == "thumb" and (own[:2] == b"\x70\x47" or own[1] == 0xBD) or arch == "riscv" and own[:2] == b"\x82\x80":
+            return at + 2
+        if arch in ("x86", "x86_64") and own[0] in (0xC3, 0xCB):
+            return at + 1
+    return None
+
+
+def functions_of(code: bytes, base: int, arch: str, seeds: list[int]) -> list[tuple[int, int, bool, str, int | None]]:
+    """(start, end, is_thumb, mode, checksum of the head) of an image's functions, by start.
+
+    Seeds are addresses (the lowest bit tells Thumb code, and is cleared) that are moved to a prologue nearby; prologues anywhere are
+    functions too. A function ends behind its first epilogue, but before the next function and with the code at the latest; where
+    fewer than 4 bytes are left, with the code. The checksum is that of signatures: crc32 of at most 32 bytes, its halves folded.
+    """
+    starts: dict[int, bool] = {}
+    for seed in seeds:
+        at = (seed & ~1) - base
+        if 0 <= at < len(code):
+            thumb = arch == "thumb" or arch == "arm" and bool(seed & 1)
+            starts.setdefault(refined(code, at, "thumb" if thumb else arch), thumb)
+    for at, _ in find_prologues(code, arch):
+        starts.setdefault(at, arch == "thumb")
+    order, out = sorted(starts), []
+    for k, at in enumerate(order):
+        thumb = starts[at]
+        mode = "thumb" if thumb else arch
+        following = order[k + 1] if k + 1 < len(order) else len(code)
+        end = epilogue_end(code, at, mode)
+        if len(code) - at < 4:
+            end = len(code)
+        head = code[at : at + HEAD_BYTES]
+        crc = zlib.crc32(head)
+        out.append((base + at, base + min(following, end if end is not None else following), thumb, mode, (crc ^ crc >> 16) & 0xFFFF if len(head) >= 4 else None))
+    return out
+
+
 def prologues(images: DataFrame) -> DataFrame:
     """(path, offset, pattern): where a function of the image's arch begins, at its instruction step."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for path, arch, code in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                step = {"arm": 4, "arm64": 4, "thumb": 2, "riscv": 2}.get(arch, 1)
-                for pattern in PROLOGUES.get(arch, ()):
-                    at = code.find(raw := bytes.fromhex(pattern))
-                    while at >= 0:
-                        if at % step == 0:
-                            out.append((path, at, pattern))
-                        at = code.find(raw, at + 1)
+            out = [(path, *hit) for path, arch, code in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for hit in find_prologues(code or b"", arch)]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.string())], names=["path", "offset", "pattern"])
 
     return images.select("path", "arch", "code").mapInArrow(rows, "path string, offset long, pattern string")
 
 
+def functions(images: DataFrame) -> DataFrame:
+    """(path, start, end, is_thumb, arch_mode, crc16) of images without an error, found, ended and summed in one pass over their bytes; seeds are the entry and the symbols."""
+    u64 = pa.decimal128(20, 0)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, arch, code, base, entry, symbols in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                seeds = ([int(entry)] if entry is not None else []) + [int(s["start"]) for s in symbols or []]
+                out += [(path, *f) for f in functions_of(code or b"", int(base or 0), arch, seeds)]
+            types = {"path": pa.string(), "start": u64, "end": u64, "is_thumb": pa.bool_(), "arch_mode": pa.string(), "crc16": pa.int64()}
+            columns = [pa.array([Decimal(o[k]) if t == u64 else o[k] for o in out], t) for k, t in enumerate(types.values())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*types])
+
+    own = images.where("error is null").select("path", "arch", "code", "base", "entry", "symbols")
+    return own.mapInArrow(rows, "path string, start decimal(20,0), end decimal(20,0), is_thumb boolean, arch_mode string, crc16 long")
+
+
+def analyze_functions(files: DataFrame, library: DataFrame | None = None, arch: str = "auto", base: int = 0) -> DataFrame:
+    """files (path, content) -> (path, start, end, size, name, is_library, is_thumb, arch_mode, signature, confidence): from bytes to named functions.
+
+    library: signatures (seq, name, crc16, flags). A function whose checksum has one takes the name of the best and is sure to SURE;
+    others are sub_<start in hexadecimal>.
+    """
+    found = functions(parse_images(files, arch, base))
+    named = signatures.match(found, library) if library is not None else found.withColumn("signature", F.lit(None).cast("string"))
+    address = F.lower(F.hex(F.col("start").cast("long")))
+    known = F.col("signature").isNotNull()
+    return named.select("path", "start", "end", (F.col("end") - F.col("start")).cast("long").alias("size"), F.coalesce("signature", F.concat(F.lit("sub_"), address)).alias("name"), known.alias("is_library"), "is_thumb", "arch_mode", "signature", F.when(known, SURE).otherwise(0.0).alias("confidence"))
+
+
 def detect_functions(images: DataFrame) -> DataFrame:
     """(path, offset, end, source): functions by symbols, entry and prologues; each ends before the next, the last with the code."""
     own = images.where("error is null")

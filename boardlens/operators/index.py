@@ -6,61 +6,73 @@ postings (chunk_id, word, tf) and words (word, df, idf). Write postings and word
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boardlens.functions import text as X
 from boardlens.functions import vocabulary as V
+from boardlens.sources.stages import Stages
 
 
 def wanted(path: Column) -> Column:
-    """Whether a path of a code tree is indexed: an extension of code, no skipped directory, no generated file."""
+    """Whether a path, relative to the root of its code tree, is indexed: an extension of code, no skipped directory, no generated file."""
     parts = F.split(path, "/")
     name = F.element_at(parts, -1)
     skipped = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, V.SKIPPED_DIRECTORIES)))
     generated = name.rlike("|".join(n.replace(".", r"\.") for n in V.SKIPPED_NAMES))
-    return ~skipped & ~generated & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*V.CODE_EXTENSIONS)
+    return ~skipped & ~generated & name.contains(".") & F.lower(F.element_at(F.split(name, r"\."), -1)).isin(*V.CODE_EXTENSIONS)
+
+
+def _lines_of(files: DataFrame) -> DataFrame:
+    """(file_path, l): the lines of files that are not blank, with their line ends."""
+    return files.where(X.strip(F.col("content")) != "").select("file_path", X.kept_lines(F.col("content")).alias("l"))
 
 
 def line_chunks(files: DataFrame, stride: int = V.WINDOW_LINES - V.WINDOW_OVERLAP, width: int = V.WINDOW_LINES) -> DataFrame:
-    """Windows of `width` lines, one every `stride` lines; the last ones are shorter. Cut within the row, without a shuffle."""
-    own = files.select("file_path", X.lines(F.col("content")).alias("l")).where(F.size("l") > 0)
-    own = own.select("file_path", "l", F.posexplode(F.expr(f"sequence(1, size(l), {stride})")).alias("k", "line_start"))
-    out = own.select("file_path", F.col("line_start").cast("long").alias("line_start"), F.least(F.col("line_start") + width - 1, F.size("l")).cast("long").alias("line_end"), F.array_join(F.expr(f"slice(l, line_start, {width})"), "\n").alias("content"), F.concat(F.lit("chunk_"), F.col("k").cast("string")).alias("suffix"))
+    """Windows of `width` lines, one every `stride` lines; the last ones are shorter. Cut within the row, without a shuffle. A blank file has none."""
+    own = _lines_of(files).select("file_path", "l", F.posexplode(F.expr(f"sequence(1, size(l), {stride})")).alias("k", "line_start"))
+    out = own.select("file_path", F.col("line_start").cast("long").alias("line_start"), F.least(F.col("line_start") + width - 1, F.size("l")).cast("long").alias("line_end"), F.array_join(F.expr(f"slice(l, line_start, {width})"), "").alias("content"), F.concat(F.lit("chunk_"), F.col("k").cast("string")).alias("suffix"))
     return out.select(X.chunk_id(F.col("file_path"), F.col("line_start"), F.col("suffix")).alias("chunk_id"), "file_path", "line_start", "line_end", "content", F.lit(None).cast("string").alias("function_name"), X.language_of(F.col("file_path")).alias("language"))
 
 
 def function_chunks(files: DataFrame) -> DataFrame:
     """Chunks from a function's start to the next, in files of LEAST_FILE_LINES lines or more.
 
-    One start pattern counts for a file: the first that fits the first line, else the first that fits any. Lines before
-    the first start are in no chunk; chunks of under LEAST_CHUNK_CHARS characters are left out. All within the row.
+    One start pattern counts for a file: the first that fits the first line without an indent, else the first that fits any line.
+    Lines before the first start are in no chunk; chunks of under LEAST_CHUNK_CHARS characters are left out. All within the row.
     """
-    own = files.select("file_path", X.lines(F.col("content")).alias("l")).where(F.size("l") >= V.LEAST_FILE_LINES)
-    pick = F.lit(None).cast("int")
-    for k in reversed(range(len(V.FUNCTION_STARTS))):
-        pick = F.when(F.exists("l", _fits(k)), k).otherwise(pick)
-    for k in reversed(range(len(V.FUNCTION_STARTS))):
-        pick = F.when(F.col("l")[0].rlike(V.FUNCTION_STARTS[k]), k).otherwise(pick)
-    own = own.withColumn("pick", pick).where("pick is not null")
+    own = _lines_of(files).where(F.size("l") >= V.LEAST_FILE_LINES)
+    kinds = [*enumerate(V.FUNCTION_STARTS)]
+    # One flat choice: nested ones take Spark exponential time to look for common parts.
+    fits = [(F.col("l")[0].rlike("^" + p.removeprefix(r"^\s*")), k) for k, p in kinds] + [(F.exists("l", _fits(p)), k) for k, p in kinds]
+    # A generator, so that what is chosen is a column and isn't worked out again wherever it is read.
+    own = own.select("file_path", "l", F.explode(F.array(_first(fits))).alias("pick")).where("pick is not null")
 
     def start(x: Column, i: Column) -> Column:
-        name = F.lit("")
-        for k in reversed(range(len(V.FUNCTION_STARTS))):
-            name = F.when(F.col("pick") == k, F.regexp_extract(x, V.FUNCTION_STARTS[k], 1)).otherwise(name)
+        name = _first([(F.col("pick") == k, F.regexp_extract(x, p, 1)) for k, p in kinds])
         return F.struct((i + 1).alias("line"), name.alias("name"))
 
-    own = own.withColumn("starts", F.filter(F.transform("l", start), lambda s: s["name"] != ""))
+    own = own.select("file_path", "l", F.explode(F.array(F.filter(F.transform("l", start), lambda s: s["name"] != ""))).alias("starts"))
     own = own.select("file_path", "l", "starts", F.posexplode("starts").alias("k", "s"))
     end = F.coalesce(F.expr("try_element_at(starts, k + 2).line") - 1, F.size("l"))
     out = own.select("file_path", F.col("s.line").cast("long").alias("line_start"), end.cast("long").alias("line_end"), "s.name", "l")
-    out = out.withColumn("content", F.array_join(F.expr("slice(l, cast(line_start as int), cast(line_end - line_start + 1 as int))"), "\n")).where(F.length(F.trim("content")) >= V.LEAST_CHUNK_CHARS)
+    out = out.withColumn("content", F.array_join(F.expr("slice(l, cast(line_start as int), cast(line_end - line_start + 1 as int))"), "")).where(F.length(X.strip(F.col("content"))) >= V.LEAST_CHUNK_CHARS)
     return out.select(X.chunk_id(F.col("file_path"), F.col("line_start"), F.col("name")).alias("chunk_id"), "file_path", "line_start", "line_end", "content", F.col("name").alias("function_name"), X.language_of(F.col("file_path")).alias("language"))
 
 
-def _fits(k: int):
-    return lambda x: x.rlike(V.FUNCTION_STARTS[k])
+def _fits(pattern: str):
+    return lambda x: x.rlike(pattern)
+
+
+def _first(choices: list) -> Column:
+    """The value of the first condition that holds, else null."""
+    out = F.when(choices[0][0], choices[0][1])
+    for condition, value in choices[1:]:
+        out = out.when(condition, value)
+    return out
 
 
 def chunks(files: DataFrame, stride: int = V.WINDOW_LINES - V.WINDOW_OVERLAP) -> DataFrame:
@@ -71,6 +83,11 @@ def chunks(files: DataFrame, stride: int = V.WINDOW_LINES - V.WINDOW_OVERLAP) ->
     return by_function.unionByName(line_chunks(rest, stride))
 
 
+def measured(chunk_rows: DataFrame) -> DataFrame:
+    """Chunks with dl (words between blanks) and tokens; part of the index, so that no query looks at texts for them."""
+    return chunk_rows.withColumns({"dl": X.count_words(F.col("content")), "tokens": X.estimate_by_runs(F.col("content"))})
+
+
 def postings(chunk_rows: DataFrame) -> DataFrame:
     return chunk_rows.select("chunk_id", F.explode(X.words(F.col("content"))).alias("word")).groupBy("chunk_id", "word").agg(F.count("*").alias("tf"))
 
@@ -81,24 +98,40 @@ def word_statistics(posting_rows: DataFrame) -> DataFrame:
     return df.withColumn("idf", F.when(F.col("df") > 1, 0.5 + 0.5 * F.col("df") / (F.col("df") - 1)).otherwise(0.5))
 
 
-def scores(chunk_rows: DataFrame, posting_rows: DataFrame, words: DataFrame, queries: DataFrame, language: str | None = None) -> DataFrame:
+class Index(NamedTuple):
+    """The tables of an index: measured chunks, postings, and statistics of words."""
+
+    chunks: DataFrame
+    postings: DataFrame
+    words: DataFrame
+
+
+def build(chunk_rows: DataFrame, stages: Stages | None = None) -> Index:
+    """The index of chunks, each table written once; a Stages with a folder keeps it for later sessions."""
+    stages = stages or Stages(chunk_rows.sparkSession)
+    own = stages.table("chunks", lambda: measured(chunk_rows))
+    posted = stages.table("postings", lambda: postings(own))
+    return Index(own, posted, stages.table("words", lambda: word_statistics(posted)))
+
+
+def scores(index: Index, queries: DataFrame, language: str | None = None) -> DataFrame:
     """queries (query_id, query) -> (query_id, chunk_id, file_path, score, matched).
 
     Chunks without a matching word match by their function's name: query words that are parts of it select it, and those
     that are whole parts between underscores count as matched.
     """
-    own = chunk_rows.where(F.col("language") == language) if language else chunk_rows
-    length = own.select("chunk_id", "file_path", "function_name", X.count_words(F.col("content")).alias("dl"))
-    mean = chunk_rows.agg(F.avg(X.count_words(F.col("content"))).alias("mean"))
+    every_length = index.chunks.select("chunk_id", "file_path", "function_name", "language", "dl")
+    length = every_length.where(F.col("language") == language) if language else every_length
+    mean = every_length.agg(F.avg("dl").alias("mean"))
     asked = queries.select("query_id", F.explode(X.query_words(F.col("query"))).alias("word"))
-    hits = posting_rows.join(asked, "word").join(words, "word", "left").withColumn("idf", F.coalesce("idf", F.lit(0.5)))
+    hits = index.postings.join(asked, "word").join(index.words, "word", "left").withColumn("idf", F.coalesce("idf", F.lit(0.5)))
     # Names meet words by the first three characters of a word, at any place of a name; then the whole word decides.
     named = length.where("function_name is not null").withColumn("name", F.lower("function_name"))
     start = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.array(*(F.substr("name", i, F.lit(n)) for n in (1, 2, 3)))))))
     named = named.withColumn("start", start).join(asked.withColumn("start", F.substring("word", 1, 3)), "start").where(F.col("name").contains(F.col("word"))).drop("start", "name")
     names = named.groupBy("query_id", "chunk_id").agg(F.count("*").alias("named"))
     by_name = named.where(F.array_contains(F.split(F.lower("function_name"), "_"), F.col("word"))).join(hits.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti")
-    by_name = by_name.join(words, "word", "left").select("query_id", "chunk_id", "word", F.lit(0).cast("long").alias("tf"), F.coalesce("idf", F.lit(0.5)).alias("idf"))
+    by_name = by_name.join(index.words, "word", "left").select("query_id", "chunk_id", "word", F.lit(0).cast("long").alias("tf"), F.coalesce("idf", F.lit(0.5)).alias("idf"))
     every = hits.select("query_id", "chunk_id", "word", "tf", "idf").unionByName(by_name).join(length.select("chunk_id", "file_path", "dl"), "chunk_id").crossJoin(F.broadcast(mean))
     part = F.col("idf") * F.col("tf") * (V.K1 + 1) / (F.col("tf") + V.K1 * (1 - V.B + V.B * F.col("dl") / F.col("mean")))
     out = every.groupBy("query_id", "chunk_id", "file_path").agg(F.sum(part + F.when(F.col("word").isin(*V.BOOSTED), V.WORD_BOOST).otherwise(0.0)).alias("score"), F.array_sort(F.collect_set("word")).alias("matched"))
@@ -106,44 +139,51 @@ def scores(chunk_rows: DataFrame, posting_rows: DataFrame, words: DataFrame, que
 
 
 def retrieve(chunk_rows: DataFrame, scored: DataFrame, top_k: int = 10, budget: int = 8192) -> DataFrame:
-    """The best chunk of each file by matched words, files by score, as many as fit the token budget, top_k at most.
+    """The best chunk of each file by matched words, files by score, as many as fit the token budget, top_k at most; rank counts those kept.
 
-    A chunk that doesn't fit what is left is passed over. Chunks over the whole budget are left out first. Of chunks with
-    equal tokens the walk sees the top_k best: if one of them isn't kept, no later one is, as what is left only shrinks.
+    A chunk that doesn't fit what is left is passed over. Chunks over the whole budget are left out first. Of chunks with equal tokens the walk sees
+    the top_k best: if one of them isn't kept, no later one is, as what is left only shrinks. So each task keeps at most top_k files of a query and
+    a number of tokens before anything is shuffled, and a walk is over budget x top_k files at most, however many match.
     """
-    best = scored.groupBy("query_id", "file_path").agg(F.max_by(F.struct("score", "matched"), F.struct("score", F.col("chunk_id"))).alias("s")).select("query_id", "file_path", "s.score", "s.matched")
-    # Texts are looked at only where a file has several chunks to choose from, and for the chunks that are chosen.
-    about = chunk_rows.select("chunk_id", "file_path", "line_start", "line_end", "function_name", X.estimate_by_runs(F.col("content")).alias("tokens"))
+    chunk_rows = chunk_rows if "tokens" in chunk_rows.columns else measured(chunk_rows)
+    # Sums of doubles in another order end in other bits: scores are equal to 9 digits, so ties are those of the files' names.
+    best = scored.withColumn("score", F.round("score", 9)).groupBy("query_id", "file_path").agg(F.max_by(F.struct("score", "matched"), F.struct("score", F.col("chunk_id"))).alias("s")).select("query_id", "file_path", "s.score", "s.matched")
+    # Texts are looked at only where a file has several chunks to choose from, and for the chunks that are kept.
     chosen_of = ["chunk_id", "line_start", "line_end", "function_name", "tokens"]
-    files = about.groupBy("file_path").agg(F.count("*").alias("n"), F.min_by(F.struct(*chosen_of), "line_start").alias("only"))
+    files = chunk_rows.groupBy("file_path").agg(F.count("*").alias("n"), F.min_by(F.struct(*chosen_of), "line_start").alias("only"))
     sized = best.join(files, "file_path")
     single = sized.where("n = 1").select("query_id", "file_path", "score", "matched", F.col("only").alias("c"))
-    several = sized.where("n > 1").select("query_id", "file_path", "score", "matched").join(chunk_rows.withColumn("tokens", X.estimate_by_runs(F.col("content"))), "file_path")
+    several = sized.where("n > 1").select("query_id", "file_path", "score", "matched").join(chunk_rows, "file_path")
     several = several.withColumn("hits", F.size(F.filter("matched", lambda w: F.lower("content").contains(w))))
     several = several.groupBy("query_id", "file_path", "score", "matched").agg(F.max_by(F.struct(*chosen_of), F.struct("hits", -F.col("line_start"))).alias("c"))
     first = single.unionByName(several).select("query_id", "file_path", "score", "matched", "c.*").where(F.col("tokens") <= budget)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "file_path"))
-    ranked = first.withColumn("rank", rank)
-    alike = F.row_number().over(W.partitionBy("query_id", "tokens").orderBy("rank"))
-    walk = ranked.select("query_id", "rank", "tokens", alike.alias("alike")).where(F.col("alike") <= top_k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "tokens"))).alias("w"))
+    alike = F.row_number().over(W.partitionBy("query_id", "tokens").orderBy(F.desc("score"), "file_path"))
+    few = first.withColumn("alike", alike).where(F.col("alike") <= top_k)
+    row = F.struct((-F.col("score")).alias("less"), "file_path", "tokens", "matched", "chunk_id", "line_start", "line_end", "function_name")
+    walk = few.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("w"))
     kept = F.expr(
-        f"aggregate(w, named_struct('used', 0L, 'kept', cast(array() as array<int>)), (a, x) -> if(size(a.kept) < {top_k} and a.used + x.tokens <= {budget}, named_struct('used', a.used + x.tokens, 'kept', array_append(a.kept, x.rank)), a), a -> a.kept)"
+        f"aggregate(w, named_struct('used', 0L, 'kept', slice(w, 1, 0)), (a, x) -> if(size(a.kept) < {top_k} and a.used + x.tokens <= {budget}, named_struct('used', a.used + x.tokens, 'kept', array_append(a.kept, x)), a), a -> a.kept)"
     )
-    chosen = walk.select("query_id", F.explode(kept).alias("rank"))
-    out = ranked.join(chosen, ["query_id", "rank"]).join(chunk_rows.select("chunk_id", "content"), "chunk_id")
+    chosen = walk.select("query_id", F.posexplode(kept).alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), (-F.col("x.less")).alias("score"), "x.file_path", "x.tokens", "x.matched", "x.chunk_id", "x.line_start", "x.line_end", "x.function_name")
+    out = chosen.join(chunk_rows.select("chunk_id", "content"), "chunk_id")
     label = F.when(F.col("score") > V.CORE_SCORE, "core").when(F.col("score") > V.RELATED_SCORE, "related").otherwise("peripheral")
     return out.withColumn("label", label).withColumn("score", F.round("score", 2))
 
 
-def context(results: DataFrame) -> DataFrame:
-    """(query_id, context): the retrieved chunks as one text, in the order of ranks."""
+def context(results: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, context) for each query (query_id, query): the retrieved chunks as one text, in the order of ranks, below the head of the query."""
     head = F.concat(F.lit("/* ["), F.col("label"), F.lit("] "), F.col("file_path"), F.lit(":"), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"), F.lit(" fn="), F.coalesce("function_name", F.lit("?")), F.lit(" score="), F.col("score").cast("string"), F.lit(" keywords="), F.array_join("matched", ", "), F.lit(" */\n"), F.col("content"))
-    return results.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", head.alias("t")))), lambda s: s["t"]), "\n\n").alias("context"))
+    texts = results.groupBy("query_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", head.alias("t")))), lambda s: s["t"]), "\n\n").alias("body"))
+    top = F.concat(F.lit("/* Code for: "), F.substring("query", 1, V.QUERY_ECHO), F.lit(" ("), F.col("n").cast("string"), F.lit(" chunks) */\n\n"), F.col("body"))
+    return queries.join(texts, "query_id", "left").select("query_id", F.coalesce(top, F.lit(V.NO_CODE)).alias("context"), F.coalesce("n", F.lit(0)).alias("n_chunks"))
 
 
 def statistics(files: DataFrame, chunk_rows: DataFrame) -> DataFrame:
-    """One row: files, chunks, lines and bytes of chunks, megabytes, and files with chunks by language."""
+    """One row: all files, chunks, lines of chunks, bytes and megabytes of the files that have chunks, and how many of these by language."""
     total = files.agg(F.countDistinct("file_path").alias("total_files"))
-    sums = chunk_rows.agg(F.count("*").alias("total_chunks"), F.sum(F.col("line_end") - F.col("line_start") + 1).alias("total_lines"), F.sum(F.octet_length("content")).alias("total_bytes"))
-    by = chunk_rows.select("file_path", "language").distinct().groupBy("language").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n")))).alias("languages"))
+    sums = chunk_rows.agg(F.count("*").alias("total_chunks"), F.sum(F.col("line_end") - F.col("line_start") + 1).alias("total_lines"))
+    # A file counts once however its chunks overlap.
+    sizes = files.dropDuplicates(["file_path"]).select("file_path", F.octet_length("content").alias("size"), X.language_of(F.col("file_path")).alias("language"))
+    chunked = sizes.join(chunk_rows.select("file_path").distinct(), "file_path", "left_semi").groupBy("language").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    by = chunked.agg(F.sum("size").alias("total_bytes"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n")))).alias("languages"))
     return total.crossJoin(sums).crossJoin(by).withColumn("megabytes", F.round(F.col("total_bytes") / 1048576, 2))

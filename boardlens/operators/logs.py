@@ -25,7 +25,7 @@ def is_log_file(file_name: Column, size: Column) -> Column:
 def lines_of_files(files: DataFrame) -> DataFrame:
     """files (file, content) -> (file, device, line_number, raw): lines that are not blank, numbered from 1 among all."""
     out = files.select("file", device_of(F.col("file")).alias("device"), F.posexplode(X.lines(F.col("content"))).alias("at", "raw"))
-    return out.where(F.trim("raw") != "").select("file", "device", (F.col("at") + 1).cast("long").alias("line_number"), "raw")
+    return out.where(X.strip(F.col("raw")) != "").select("file", "device", (F.col("at") + 1).cast("long").alias("line_number"), "raw")
 
 
 def level_of(text: Column, compat: bool = False) -> Column:
@@ -37,9 +37,9 @@ def level_of(text: Column, compat: bool = False) -> Column:
 
 def parsed(lines: DataFrame, compat: bool = False) -> DataFrame:
     """Adds ts, level and message. With compat, levels match parts of words and a bracket before a timestamp hides it."""
-    stripped = F.trim("raw") if compat else F.regexp_replace(F.trim("raw"), r"^\[(?=\d{4}[-/])", "")
+    stripped = X.strip(F.col("raw")) if compat else F.regexp_replace(X.strip(F.col("raw")), r"^\[(?=\d{4}[-/])", "")
     stamp = F.regexp_extract("stripped", V.TIMESTAMP, 1)
-    rest = F.trim(F.expr("substring(stripped, length(stamp) + 1)"))
+    rest = X.strip(F.expr("substring(stripped, length(stamp) + 1)"))
     out = lines.withColumn("stripped", stripped).withColumn("stamp", stamp).withColumn("rest", rest if compat else F.regexp_replace(rest, r"^\]\s*", ""))
     ts = F.expr("try_cast(replace(replace(stamp, '/', '-'), 'T', ' ') as timestamp_ntz)")
     return out.select(*lines.columns, ts.alias("ts"), level_of(F.col("rest"), compat).alias("level"), F.regexp_replace("rest", V.LEVEL_PREFIX, "").alias("message"))
@@ -77,10 +77,11 @@ def first_errors(lines: DataFrame) -> DataFrame:
     return hits.groupBy("file").agg(F.min_by(F.struct("device", "line_number", "error_type", F.col("raw").alias("first_line")), "line_number").alias("e")).select("file", "e.*")
 
 
-def error_context(lines: DataFrame, around: int = V.CONTEXT_LINES) -> DataFrame:
+def error_context(lines: DataFrame, around: int = V.CONTEXT_LINES, compat: bool = False) -> DataFrame:
     """First errors with the lines around them, and of those the stack and register lines, in order.
 
-    Neighbours are counted among the lines that are not blank. The window is over files that have an error only.
+    Neighbours are counted among the lines that are not blank. The window is over files that have an error only. With compat,
+    stack lines are those of the strict pattern; else frames like [<hex>] name count too, and register lines don't.
     """
     first = first_errors(lines)
     w = W.partitionBy("file").orderBy("line_number")
@@ -90,12 +91,11 @@ def error_context(lines: DataFrame, around: int = V.CONTEXT_LINES) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_number", "raw"))), lambda s: s["raw"])
     around_ = near.groupBy("file").agg(ordered.alias("surrounding"))
 
-    def joined(pattern: str) -> Column:
-        return F.array_join(F.transform(F.filter("surrounding", lambda x: x.rlike(pattern)), lambda x: F.trim(x)), "\n")
+    def joined(some) -> Column:
+        return F.array_join(F.transform(F.filter("surrounding", some), X.strip), "\n")
 
-    registers = joined(V.REGISTER_LINE)
-    stack = F.array_join(F.transform(F.filter("surrounding", lambda x: x.rlike(V.STACK_LINE) & ~x.rlike(V.REGISTER_LINE)), lambda x: F.trim(x)), "\n")
-    return first.join(around_, "file").select("*", stack.alias("stack_trace"), registers.alias("register_dump"))
+    stack = joined(lambda x: x.rlike(V.STACK_LINE)) if compat else joined(lambda x: (x.rlike(V.STACK_LINE) | x.rlike(V.BRACKET_FRAME)) & ~x.rlike(V.REGISTER_LINE))
+    return first.join(around_, "file").select("*", stack.alias("stack_trace"), joined(lambda x: x.rlike(V.REGISTER_LINE)).alias("register_dump"))
 
 
 def context_text(errors: DataFrame) -> Column:
@@ -120,7 +120,7 @@ def alerts(diagnosed: DataFrame, at: Column) -> DataFrame:
 
 def stored_logs(lines: DataFrame) -> DataFrame:
     """(id, timestamp, device, message) of parsed lines, for the store of recent logs."""
-    return lines.select(F.concat_ws("-", "device", "line_number").alias("id"), F.coalesce(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("timestamp"), "device", "message")
+    return lines.select(F.concat_ws("-", "device", "line_number").alias("id"), F.coalesce(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("timestamp"), "device", F.col("raw").alias("message"))
 
 
 def rate(lines_bytes: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boardlens.functions import text as X
@@ -26,7 +27,7 @@ def _found(line: Column) -> Column:
 
 def parse_sets(lines: DataFrame) -> DataFrame:
     """lines (set_id, n, line) -> one row for each set. Lines are grouped with partial sums; only addresses are collected."""
-    own = lines.select("set_id", "n", F.trim("line").alias("line")).where("line <> ''")
+    own = lines.select("set_id", "n", X.strip(F.col("line")).alias("line")).where("line <> ''")
     critical, warning = X.contains_any(F.col("line"), V.CRITICAL_WORDS), X.contains_any(F.col("line"), V.WARNING_WORDS)
     own = own.withColumns({"critical": critical, "warning": warning, "type": F.lower(F.regexp_extract("line", _TYPE, 1)), "device_": F.regexp_extract("line", _DEVICE, 1)})
     out = own.groupBy("set_id").agg(
@@ -58,13 +59,12 @@ def fallback_context(sets: DataFrame) -> Column:
     return F.concat(F.lit("/* No code index */\n/* device "), F.col("device"), F.lit(", type "), F.col("error_type"), F.lit(", at "), F.array_join(F.transform(F.slice("crash_addresses", 1, 3), lambda a: X.hex8(a)), ", "), F.lit(" */"))
 
 
-def prompt(sets: DataFrame, lines: Column, context: Column) -> Column:
-    """A diagnosis prompt with at most 30 numbered lines; in Chinese where over 15 % of the lines' characters are."""
-    numbered = F.array_join(F.transform(F.slice(lines, 1, 30), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
-    chinese = X.cjk_share(F.array_join(lines, "")) > 0.15
-    ask = F.when(chinese, F.lit("请分析下列日志，给出根因和统一 diff 格式的修复建议。")).otherwise(F.lit("Explain the root cause of these logs and propose a fix as a unified diff."))
-    where = F.array_join(F.slice("crash_locations", 1, 5), ", ")
-    return F.concat_ws("\n\n", ask, F.concat_ws(" | ", "severity", "error_type", "device", where), numbered, context)
+def first_lines(lines: DataFrame, most: int) -> DataFrame:
+    """(set_id, lines): the first `most` lines of each set that aren't blank, stripped. A task keeps no more of a set before the shuffle."""
+    own = lines.select("set_id", "n", X.strip(F.col("line")).alias("line")).where("line <> ''")
+    place = F.row_number().over(W.partitionBy("set_id").orderBy("n"))
+    few = own.withColumn("place", place).where(F.col("place") <= most)
+    return few.groupBy("set_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda s: s["line"]).alias("lines"))
 
 
 def batch_counts(sets: DataFrame, ok: Column) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from boardlens.functions import text as X
+
 # Fixed values of the formats.
 MAGIC, HEAD_BYTES, PUBLIC, WEAK = b"FLIR", 32, 1, 2
 # The built-in suites. The checksums of the first are given; those of the second are made from the names.
@@ -71,16 +73,30 @@ def read_binary(data: bytes) -> list[tuple[str, str, int, int, int]]:
 
 
 def parse_binary(files: DataFrame) -> DataFrame:
-    """files (path, content) -> (path, library, name, crc16, flags, offset)."""
+    """files (path, content) -> (path, seq, library, name, crc16, flags, offset)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [(p, *r) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in read_binary(c or b"")]
-            names = ["path", "library", "name", "crc16", "flags", "offset"]
-            types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
+            got = [(p, k, *r) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, r in enumerate(read_binary(c or b""))]
+            names = ["path", "seq", "library", "name", "crc16", "flags", "offset"]
+            types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], t) for k, t in enumerate(types)], names=names)
 
-    return files.select("path", "content").mapInArrow(rows, "path string, library string, name string, crc16 int, flags int, offset long")
+    return files.select("path", "content").mapInArrow(rows, "path string, seq long, library string, name string, crc16 int, flags int, offset long")
+
+
+def load(files: DataFrame) -> DataFrame:
+    """files (path, content) of either kind, told apart by their first bytes -> (path, library, seq, name, crc16, flags, offset).
+
+    seq counts the signatures of a file in its order; text libraries are named by their file, and have no offsets.
+    """
+    kind = F.substring("content", 1, len(MAGIC)) == F.lit(MAGIC)
+    own = files.select("path", "content").withColumn("is_binary", F.coalesce(kind, F.lit(False)))
+    binary = parse_binary(own.where("is_binary")).select("path", "library", "seq", "name", F.col("crc16").cast("long"), F.col("flags").cast("long"), "offset")
+    lines = own.where("not is_binary").select("path", F.posexplode(X.lines(F.make_valid_utf8(F.col("content").cast("string")))).alias("at", "line"))
+    text = parse_text(lines.select(F.struct("path", "at").alias("seq"), "line"))
+    text = text.select("seq.path", F.element_at(F.split("seq.path", "/"), -1).alias("library"), F.col("seq.at").cast("long").alias("seq"), "name", "crc16", "flags", F.lit(None).cast("long").alias("offset"))
+    return binary.unionByName(text)
 
 
 def builtin(spark: SparkSession, suite: str) -> DataFrame:

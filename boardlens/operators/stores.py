@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boardlens.functions import vocabulary as V
+from boardlens.operators import ordered
 
 
 def newest(rows: DataFrame, order: list[Column], most: int) -> DataFrame:
@@ -23,10 +24,15 @@ def recent_alerts(rows: DataFrame, seq: list[str], limit: int = V.RECENT_ALERTS)
     return newest(rows, [F.desc(c) for c in seq], min(limit, V.RECENT_ALERTS))
 
 
-def rolling(readings: DataFrame, key: str, order: list[str], value: str, samples: int = 60) -> DataFrame:
-    """Mean, least and most of the last `samples` values at each row."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(1 - samples, 0)
-    return readings.withColumns({"mean": F.avg(value).over(w), "least": F.min(value).over(w), "most": F.max(value).over(w)})
+def rolling(readings: DataFrame, key: str, order: list[str], value: str, samples: int = 60, slice_rows: int = ordered.SLICE) -> DataFrame:
+    """Mean, least and most of the last `samples` values of a key at each row.
+
+    Rows are numbered in the order of key and time; a window spans a slice of them and the samples - 1 rows before it, so a key with
+    any share of the rows is many tasks. Rows that tie in `order` may come in either order.
+    """
+    own = ordered.sliced(ordered.numbered(readings, [key, *order]), samples - 1, slice_rows=slice_rows)
+    w = W.partitionBy("slice_", key).orderBy("place").rowsBetween(1 - samples, 0)
+    return own.withColumns({"mean": F.avg(value).over(w), "least": F.min(value).over(w), "most": F.max(value).over(w)}).where("own_").drop("slice_", "own_", "place")
 
 
 def latest(readings: DataFrame, key: str, order: str, values: list[str]) -> DataFrame:

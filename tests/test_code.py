@@ -10,7 +10,7 @@ from boardlens.operators import cfg as C
 from boardlens.operators import images as M
 from boardlens.operators import logset as S
 from boardlens.operators import signatures as G
-from boardlens.plans import retrieval as R
+from boardlens.sources.elf import elf_image
 
 SYM = "image string, seq long, name string, start decimal(20,0), size long"
 
@@ -85,11 +85,17 @@ def test_log_sets(spark):
     assert q["a"].startswith("panic unknown 0x08001234 0x08005678 PC=0x08001234")
 
 
+def some_images(spark):
+    code = bytes.fromhex("00482de9") + bytes(8) + bytes.fromhex("0088bde8") + bytes.fromhex("00482de9") + bytes(4)
+    rows = [("a.elf", bytearray(elf_image(code, 0x08000100, [("main", 0x08000100, 16), ("helper", 0x08000110, 8)]))), ("b.elf", bytearray(b"\x7fELF\x01\x01")), ("c.bin", bytearray(b""))]
+    return M.parse_images(spark.createDataFrame(rows, "path string, content binary"))
+
+
 def test_images(spark):
-    got = M.symbols(R._images(spark)).orderBy("start").collect()
+    got = M.symbols(some_images(spark)).orderBy("start").collect()
     assert [(r.name, int(r.start), r.size) for r in got] == [("main", 0x08000100, 16), ("helper", 0x08000110, 8)]
-    assert M.prologues(R._images(spark)).count() == 2
-    ends = [(r.offset, r.end, r.source) for r in M.detect_functions(R._images(spark)).orderBy("offset").collect()]
+    assert M.prologues(some_images(spark)).count() == 2
+    ends = [(r.offset, r.end, r.source) for r in M.detect_functions(some_images(spark)).orderBy("offset").collect()]
     assert ends == [(0, 16, "symbol"), (16, 24, "symbol")]
     raw = M.parse_images(spark.createDataFrame([("r", bytearray(16))], "path string, content binary"), arch="thumb", base=64).first()
     assert raw.error is None and int(raw.base) == 64 and raw.bits == 32
