@@ -4,7 +4,7 @@ Words are [^\x20\x09-\x0D]+ of text lower-cased A-Z. A document's set holds its
 fewer words, the whole sequence as one; without words the set is empty and linked with nothing. Two documents are
 linked if their sets' Jaccard similarity is `percent` / 100 or more.
 
-1. Documents with equal sets (128-bit fingerprints) form one class; the rest works on classes.
+1. Shingles have two hashes of different keys. Documents with equal sets (a 64-bit fingerprint from each) form one class; the rest works on classes.
 2. One hash function orders all shingles; a sketch retains the k lowest of a set. An inverted list holds the classes in
    whose sketches two given values are neighbours. Where two sets have similarity 0.8, a value of their union is in both
    with probability 0.8, and the union's k lowest hold two shared neighbours except with probability 0.512**k, 1e-14
@@ -20,7 +20,7 @@ linked if their sets' Jaccard similarity is `percent` / 100 or more.
    out. In each list left, block by block, the members outside its largest family are compared with all of other families, inside
    the task: parities of the retained values in ODD_BITS slots count differences, never too many, and the estimate decides.
    A task returns one pair for two families, which then are one; pairs of a list never become rows.
-6. Full sets of pairs with heads of lists decide on links. In a family that then has several components, members outside the
+6. Full sets, in which shingles are equal if both hashes are, of pairs with heads of lists decide on links. In a family that then has several components, members outside the
    largest are compared with all of the other components, block by block: a task multiplies the incidence matrices of two
    blocks of full sets and reports one link for two components. So every pair that 2 to 5 leave is decided exactly.
 
@@ -67,22 +67,53 @@ COMMON_ONE_IN = 1000
 SLOT_BITS, COUNTED = 20, 1 << 22
 
 
-def shingle_sets(w: hashing.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct shingle hashes, bounds by text)."""
+def _shingles(hashes: np.ndarray, w: hashing.Words, width: int, keys: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes of all texts, text of each): runs of width words, and whole texts of fewer by the other key."""
     n = np.diff(w.bounds)
     starts, text = hashing.starts_inside(w.bounds, width)
-    values = hashing.window_hashes(w.hashes, width)[starts] if len(starts) else np.zeros(0, np.uint64)
+    values = hashing.window_hashes(hashes, width, keys[0])[starts] if len(starts) else np.zeros(0, np.uint64)
     for m in range(1, width):
         own = np.flatnonzero(n == m)
         if len(own):
-            short = hashing.window_hashes(w.hashes, m, hashing.KEYS[1])[w.bounds[own]]
-            values, text = np.concatenate([values, short]), np.concatenate([text, own])
+            values, text = np.concatenate([values, hashing.window_hashes(hashes, m, keys[1])[w.bounds[own]]]), np.concatenate([text, own])
+    return values, text
+
+
+def shingle_sets(w: hashing.Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct shingle hashes, bounds by text)."""
+    values, text = _shingles(w.hashes, w, width, hashing.KEYS)
     order = np.lexsort((values, text))
     values, text = values[order], text[order]
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1])
-    values, text = values[new], text[new]
-    return values, np.searchsorted(text, np.arange(len(n) + 1))
+    return values[new], np.searchsorted(text[new], np.arange(w.n_texts + 1))
+
+
+def whole_sets(w: hashing.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, second hashes by other keys, bounds by text): shingles are one only if both agree, 128 bits of two keyed hashes."""
+    values, text = _shingles(w.hashes, w, width, hashing.KEYS)
+    others, _ = _shingles(w.second(), w, width, hashing.KEYS[::-1])
+    order = np.lexsort((values, text))
+    same = (values[order][1:] == values[order][:-1]) & (text[order][1:] == text[order][:-1])
+    if (same & (others[order][1:] != others[order][:-1])).any():
+        order = np.lexsort((others, values, text))
+    values, others, text = values[order], others[order], text[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (text[1:] != text[:-1]) | (others[1:] != others[:-1])
+    return values[new], others[new], np.searchsorted(text[new], np.arange(w.n_texts + 1))
+
+
+def numbered(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """One number for each pair of hashes: the first hash where it tells all apart, which is always but for made-up words."""
+    order = np.argsort(values, kind="stable")
+    v, o = values[order], others[order]
+    if not ((v[1:] == v[:-1]) & (o[1:] != o[:-1])).any():
+        return values
+    order = np.lexsort((others, values))
+    v, o = values[order], others[order]
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], (v[1:] != v[:-1]) | (o[1:] != o[:-1])]))
+    return out
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -90,11 +121,11 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def fingerprints(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit halves of a fingerprint of each set."""
+def fingerprints(values: np.ndarray, others: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of a fingerprint of each set, from hashes by different keys."""
     n = np.diff(bounds).astype(np.uint64)
     f = hashing.mix(_sums(hashing.mix(values), bounds) + n)
-    g = hashing.mix(_sums(values * values * np.uint64(0x9FB21C651E98DF25), bounds) ^ n)
+    g = hashing.mix(_sums(hashing.mix(others * np.uint64(0x9FB21C651E98DF25)), bounds) ^ n)
     return f.view(np.int64), g.view(np.int64)
 
 
@@ -167,9 +198,9 @@ def _sketch_rows(width: int, k: int, common, exact: int | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in hashing.words(batch.column(1), lower=True):
-                values, bounds = shingle_sets(w, width)
+                values, others, bounds = whole_sets(w, width)
                 n = np.diff(bounds)
-                f, g = fingerprints(values, bounds)
+                f, g = fingerprints(values, others, bounds)
                 low, at = _lowest(values, bounds, np.full(len(n), ESTIMATE_K))
                 low = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(upper_halves(low)))
                 if exact:
@@ -201,9 +232,9 @@ def _set_rows(width: int, admit):
         for batch in batches:
             texts = batch.column(1).filter(pa.array(admitted(admit, batch.column(0))))
             for w in hashing.words(texts, lower=True):
-                values, bounds = shingle_sets(w, width)
-                f, g = fingerprints(values, bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(g), ragged(values, bounds)], names=["f", "g_", "full"])
+                values, others, bounds = whole_sets(w, width)
+                f, g = fingerprints(values, others, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(g), ragged(values, bounds), ragged(others, bounds)], names=["f", "g_", "full", "second"])
 
     return rows
 
@@ -233,7 +264,8 @@ def _compare(percent: int):
 
     def links(group: pa.Table) -> pa.Table:
         c, side, comp = (group.column(k).to_numpy() for k in ("c", "side", "comp"))
-        sets = [x.values.to_numpy() for x in group.column("full").combine_chunks()]
+        full, second = (group.column(k).combine_chunks() for k in ("full", "second"))
+        sets = np.split(numbered(full.flatten().to_numpy(), second.flatten().to_numpy()), np.cumsum(full.value_lengths().to_numpy())[:-1])
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         a = b = np.zeros(0, np.int64)
         if len(left) and len(right):
@@ -356,10 +388,10 @@ class _Verifier:
         # Only documents that are the first of their class and in a group are cut into shingles again.
         needed = saved(groups.select("c").distinct().join(self.classes.select("c", "id", "f", "g"), "c").withColumnRenamed("g", "g_"), "needed")
         # They are told apart in the same Python worker that cuts them; a second one in each task would need its own memory.
-        sets = mapped(self.docs.select(F.xxhash64("id").alias("h"), "text"), _set_rows(self.width, docs_filter(needed, "id")), "f long, g_ long, full array<long>")
+        sets = mapped(self.docs.select(F.xxhash64("id").alias("h"), "text"), _set_rows(self.width, docs_filter(needed, "id")), "f long, g_ long, full array<long>, second array<long>")
         # Rows that repeat a first document, or have its id, bring sets again or others.
-        sets = sets.join(needed.select("c", "f", "g_"), ["f", "g_"]).groupBy("c").agg(F.first("full").alias("full"))
-        full = groups.join(sets, "c").select("g", "c", "side", "comp", "full")
+        sets = sets.join(needed.select("c", "f", "g_"), ["f", "g_"]).groupBy("c").agg(F.first(F.struct("full", "second")).alias("s"))
+        full = groups.join(sets, "c").select("g", "c", "side", "comp", "s.full", "s.second")
         out = saved(full.groupBy("g").applyInArrow(_compare(self.percent), "a long, b long"), "confirmed")
         discard(groups, needed)
         return out
