@@ -1,15 +1,22 @@
-"""Connected components of a table of links, by large-star and small-star rounds with joins and grouped minima."""
+"""Connected components of a table of links: contracted inside tasks first, then by large-star and small-star rounds with joins and grouped minima."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boardlens.llm.store import discard, saved
+from boardlens.llm.store import discard, mapped, saved
 
 #: Links of a node beyond which its rows are dealt out by SALTS remainders of their other end.
 HUB, SALTS = 1000, 64
+#: Links that a task contracts at a time.
+CONTRACTED = 1 << 20
 
 
 def _with_smallest(both: DataFrame) -> DataFrame:
@@ -45,16 +52,65 @@ def _state(edges: DataFrame) -> tuple[bool, bool]:
     return loose == 0, (most or 0) > HUB
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def smallest_labels(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of n nodes reaches by the links (u, v)."""
+    label = np.arange(n)
+    while True:
+        a, b = label[u], label[v]
+        if (a == b).all():
+            return label
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) -> the links of the same components that hang each node on the smallest one, for CONTRACTED links at a time."""
+
+    def contracted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        m = t.num_rows
+        ids = pa.chunked_array([*t.column("u").chunks, *t.column("v").chunks]).combine_chunks().dictionary_encode()
+        order = pc.array_sort_indices(ids.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        ends = rank[ids.indices.to_numpy()]
+        label = smallest_labels(ends[:m], ends[m:], len(order))
+        hangs = np.flatnonzero(label != np.arange(len(order)))
+        return pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(order[x])) for x in (hangs, label[hangs])], names=["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= CONTRACTED:
+            yield contracted(held)
+            held = []
+    if held:
+        yield contracted(held)
+
+
+def _contracted(links: DataFrame, in_task: int) -> tuple[DataFrame, bool]:
+    """Links contracted by tasks of about in_task links each, and whether one task had them all, so that they are stars."""
+    edges = saved(links, "links")
+    tasks = -(-edges.count() // in_task)
+    kind = edges.schema["u"].dataType.simpleString()
+    out = saved(mapped(edges.coalesce(max(1, tasks)), _stars, f"u {kind}, v {kind}"), "stars")
+    discard(edges)
+    return out, tasks <= 1 and in_task <= CONTRACTED
+
+
+def components(links: DataFrame, most_rounds: int = 60, in_task: int = CONTRACTED) -> DataFrame:
     """links (a, b): links of comparable ids. Returns (id, component) for each id in a link; component is the smallest id reachable.
 
-    Each round hangs nodes on the smallest neighbour that they see, until all hang on centers; links that are stars take no
-    round. The number of rounds grows with the logarithm of the size of a component. Minima combine before the shuffle, and
-    where a node has more than HUB links, rows are dealt out by their other end, so that no task gathers a hub. A null end
-    links nothing; an empty table gives no rows.
+    Tasks contract about in_task links each: what hangs together inside a task hangs on its smallest id from then on, so paths are short
+    and repeated links gone before anything is shuffled, and a table of at most in_task links takes no round. Else each round hangs nodes on the
+    smallest neighbour that they see, until all hang on centers. The number of rounds grows with the logarithm of the size of a component.
+    Minima combine before the shuffle, and where a node has more than HUB links, rows are dealt out by their other end, so that no task gathers
+    a hub. A null end links nothing; an empty table gives no rows.
     """
-    edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    stars, hubs = _state(edges)
+    ends = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges, stars = _contracted(ends, in_task)
+    stars, hubs = (True, False) if stars else _state(edges)
     for _ in range(most_rounds):
         if stars:
             break
