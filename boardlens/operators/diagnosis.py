@@ -87,8 +87,8 @@ LOOK = "See the lines around the first error."
 
 
 def by_rule(prompt: str) -> str:
-    """A diagnosis without a model, by the first word of the prompt that names a failure."""
-    low = prompt.lower()
+    """A diagnosis without a model, by the first word of the prompt that names a failure; the code below a prompt's log says nothing about it."""
+    low = prompt.lower().split("\n## code\n", 1)[0]
     at = {word: low.find(word) for word in CAUSES}
     first = min((n, word) for word, n in at.items() if n >= 0)[1] if max(at.values()) >= 0 else None
     return f"{ANALYSIS}\n{CAUSES[first] if first else NO_CAUSE}. {LOOK}\n{DIFF}\nNONE"

@@ -74,14 +74,13 @@ FROM events))))"""
 
 #: Words that derived code names its functions by, by doc_id % 7.
 NAMES = ("panic_handler", "reset_board", "watchdog", "error_log", "fix_bus", "voltage", "segfault")
-#: Code around a document's text {t} for doc_id % 5, with the function's name {n} and the id {i}; the last kind is the text alone.
+#: Code around a document's text {t} for doc_id % 13, with the function's name {n} and the id {i}; the last kind is the text alone.
 CODE = (
     ("c", "static int {n}_{i}(int id)\n{\n{t}\n}\n\nvoid main_{i}(void)\n{\n    {n}_{i}(1); /* error: crash */\n}\n"),
     ("py", "def {n}_{i}(x):\n    return x\n\n{t}\n\nasync def other_{i}(y):\n    return {n}_{i}(y) + 1  # fix\n"),
     ("go", "package main\n\nfunc {n}{i}(a int) int {\n{t}\n}\n"),
     ("rs", "pub fn {n}_{i}(x: i32) -> i32 {\n    x + 1\n}\n\nunsafe fn raw_{i}() {\n{t}\n}\n"),
-    ("md", "{t}"),
-)
+) * 3 + (("md", "{t}"),)
 
 
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
