@@ -37,11 +37,12 @@ def read_elf(data: bytes) -> dict:
         wide, big = data[4] == 2, data[5] == 2
         e = ">" if big else "<"
         out |= {"bits": 64 if wide else 32, "endian": "big" if big else "little"}
-        machine = struct.unpack_from(e + "H", data, 18)[0]
+        # What a cut header still holds is kept, field by field.
+        out["arch"] = MACHINES.get(struct.unpack_from(e + "H", data, 18)[0], "unknown")
         word = "Q" if wide else "I"
-        entry, _, table = struct.unpack_from(e + 3 * word, data, 24)
+        out["entry"] = struct.unpack_from(e + word, data, 24)[0]
+        table = struct.unpack_from(e + word, data, 40 if wide else 32)[0]
         step, n, names_at = struct.unpack_from(e + "3H", data, 58 if wide else 46)
-        out |= {"arch": MACHINES.get(machine, "unknown"), "entry": entry}
         sections = []
         for k in range(n):
             at = table + k * step
