@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
 from decimal import Decimal
 
 import pyarrow as pa
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from boardlens.operators import signatures
 from boardlens.operators.signatures import HEAD_BYTES
+from boardlens.sources.batches import mapped_rows
 
 # Machine numbers, and the byte patterns that begin functions (as they lie in little-endian memory).
 MACHINES = {3: "x86", 40: "arm", 62: "x86_64", 183: "arm64", 243: "riscv"}
@@ -28,6 +28,7 @@ PROLOGUES = {
 }
 _IMAGE = "path string, arch string, bits int, endian string, entry decimal(20,0), base decimal(20,0), code binary, error string, symbols array<struct<seq: long, name: string, start: decimal(20,0), size: long>>"
 LEAST_CODE_BYTES, SYMBOL_TABLE, FUNCTION = 4, 2, 2
+_U64 = pa.decimal128(20, 0)
 
 
 def read_elf(data: bytes) -> dict:
@@ -78,24 +79,21 @@ def read_elf(data: bytes) -> dict:
 
 def parse_images(files: DataFrame, arch: str = "auto", base: int = 0) -> DataFrame:
     """files (path, content) -> one row an image. Images that are not ELF need an arch; empty ones and unknown archs are errors."""
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = data or b""
-                if data[:4] == b"\x7fELF":
-                    one = read_elf(data)
-                else:
-                    error = "empty image" if not data else "not ELF: name the arch" if arch == "auto" else None if arch in BITS else f"unknown arch {arch}"
-                    one = {"arch": arch if not error else "unknown", "bits": BITS.get(arch), "endian": "little", "entry": base, "base": base, "code": data, "error": error, "symbols": []}
-                one = one | {k: None if one[k] is None else Decimal(one[k]) for k in ("entry", "base")}
-                out.append(one | {"path": path, "symbols": [s | {"start": Decimal(s["start"])} for s in one["symbols"]]})
-            u64 = pa.decimal128(20, 0)
-            symbol = pa.list_(pa.struct([("seq", pa.int64()), ("name", pa.string()), ("start", u64), ("size", pa.int64())]))
-            types = {"path": pa.string(), "arch": pa.string(), "bits": pa.int32(), "endian": pa.string(), "entry": u64, "base": u64, "code": pa.binary(), "error": pa.string(), "symbols": symbol}
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in types.items()], names=[*types])
+    symbol = pa.list_(pa.struct([("seq", pa.int64()), ("name", pa.string()), ("start", _U64), ("size", pa.int64())]))
+    types = {"path": pa.string(), "arch": pa.string(), "bits": pa.int32(), "endian": pa.string(), "entry": _U64, "base": _U64, "code": pa.binary(), "error": pa.string(), "symbols": symbol}
+
+    def rows(path: str, data: bytes | None) -> list[tuple]:
+        data = data or b""
+        if data[:4] == b"\x7fELF":
+            one = read_elf(data)
+        else:
+            error = "empty image" if not data else "not ELF: name the arch" if arch == "auto" else None if arch in BITS else f"unknown arch {arch}"
+            one = {"arch": arch if not error else "unknown", "bits": BITS.get(arch), "endian": "little", "entry": base, "base": base, "code": data, "error": error, "symbols": []}
+        one |= {k: None if one[k] is None else Decimal(one[k]) for k in ("entry", "base")}
+        one |= {"path": path, "symbols": [s | {"start": Decimal(s["start"])} for s in one["symbols"]]}
+        return [tuple(one[k] for k in types)]
 
-    return files.select("path", "content").mapInArrow(rows, _IMAGE)
+    return mapped_rows(files.select("path", "content"), rows, types, _IMAGE, 1)
 
 
 def metadata(images: DataFrame) -> DataFrame:
@@ -180,30 +178,22 @@ def functions_of(code: bytes, base: int, arch: str, seeds: list[int]) -> list[tu
 def prologues(images: DataFrame) -> DataFrame:
     """(path, offset, pattern): where a function of the image's arch begins, at its instruction step."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(path, *hit) for path, arch, code in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True) for hit in find_prologues(code or b"", arch)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.string())], names=["path", "offset", "pattern"])
+    def rows(path: str, arch: str, code: bytes | None) -> list[tuple]:
+        return [(path, *hit) for hit in find_prologues(code or b"", arch)]
 
-    return images.select("path", "arch", "code").mapInArrow(rows, "path string, offset long, pattern string")
+    types = {"path": pa.string(), "offset": pa.int64(), "pattern": pa.string()}
+    return mapped_rows(images.select("path", "arch", "code"), rows, types, "path string, offset long, pattern string")
 
 
 def functions(images: DataFrame) -> DataFrame:
     """(path, start, end, is_thumb, arch_mode, crc16) of images without an error, found, ended and summed in one pass over their bytes; seeds are the entry and the symbols."""
-    u64 = pa.decimal128(20, 0)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for path, arch, code, base, entry, symbols in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                seeds = ([int(entry)] if entry is not None else []) + [int(s["start"]) for s in symbols or []]
-                out += [(path, *f) for f in functions_of(code or b"", int(base or 0), arch, seeds)]
-            types = {"path": pa.string(), "start": u64, "end": u64, "is_thumb": pa.bool_(), "arch_mode": pa.string(), "crc16": pa.int64()}
-            columns = [pa.array([Decimal(o[k]) if t == u64 else o[k] for o in out], t) for k, t in enumerate(types.values())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*types])
+    def rows(path: str, arch: str, code: bytes | None, base: Decimal | None, entry: Decimal | None, symbols: list | None) -> list[tuple]:
+        seeds = ([int(entry)] if entry is not None else []) + [int(s["start"]) for s in symbols or []]
+        return [(path, Decimal(start), Decimal(end), *rest) for start, end, *rest in functions_of(code or b"", int(base or 0), arch, seeds)]
 
+    types = {"path": pa.string(), "start": _U64, "end": _U64, "is_thumb": pa.bool_(), "arch_mode": pa.string(), "crc16": pa.int64()}
     own = images.where("error is null").select("path", "arch", "code", "base", "entry", "symbols")
-    return own.mapInArrow(rows, "path string, start decimal(20,0), end decimal(20,0), is_thumb boolean, arch_mode string, crc16 long")
+    return mapped_rows(own, rows, types, "path string, start decimal(20,0), end decimal(20,0), is_thumb boolean, arch_mode string, crc16 long")
 
 
 def analyze_functions(files: DataFrame, library: DataFrame | None = None, arch: str = "auto", base: int = 0) -> DataFrame:

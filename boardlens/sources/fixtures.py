@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boardlens.sources.batches import mapped_rows
+from boardlens.sources.elf import elf_image
+
 BASE = 134217728
 
 
@@ -148,25 +152,16 @@ def image_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Of five images one is raw code without a header, and one is cut off within its header.
     """
-    from boardlens.sources.elf import elf_image
-
     p = table(spark, sf_dir, "part").select((F.floor(F.col("p_partkey") / PER_IMAGE)).cast("long").alias("k"), F.col("p_partkey").alias("id"), F.concat_ws("_", "p_name", "p_partkey").alias("name"), F.col("p_size").alias("size"))
     parts = p.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("id", "name", "size"))).alias("parts"))
 
-    def rows(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            paths, images = [], []
-            for k, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                code = b"".join(code_of(r["id"]) for r in own)
-                base = BASE + SPACING * PER_IMAGE * k
-                elf = elf_image(code, base, [(r["name"], base + SPACING * j, r["size"]) for j, r in enumerate(own)])
-                paths.append(f"image_{k}." + ("bin" if k % 5 == 3 else "elf"))
-                images.append(code if k % 5 == 3 else elf[:40] if k % 5 == 4 else elf)
-            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(images, pa.binary())], names=["path", "content"])
+    def rows(k, own):
+        code = b"".join(code_of(r["id"]) for r in own)
+        base = BASE + SPACING * PER_IMAGE * k
+        elf = elf_image(code, base, [(r["name"], base + SPACING * j, r["size"]) for j, r in enumerate(own)])
+        return [(f"image_{k}." + ("bin" if k % 5 == 3 else "elf"), code if k % 5 == 3 else elf[:40] if k % 5 == 4 else elf)]
 
-    return parts.mapInArrow(rows, "path string, content binary")
+    return mapped_rows(parts, rows, {"path": pa.string(), "content": pa.binary()}, "path string, content binary", 1)
 
 
 def code_of(key: int) -> bytes:
