@@ -44,7 +44,7 @@ def analyze_sets(
     if code is None:
         found, texts = None, sets.select(F.col("set_id").alias("query_id"), logset.fallback_context(sets).alias("context"), F.lit(0).cast("long").alias("n_chunks"))
     else:
-        found = stages.table("found", lambda: index.retrieve(code.chunks, index.scores(code, asked), top_k, budget))
+        found = stages.table("found", lambda: index.search(code, asked, top_k, budget))
         texts = index.context(found, asked)
     texts = texts.withColumnRenamed("query_id", "set_id")
     asking = stages.table("prompts", lambda: _prompted(sets, texts, language))

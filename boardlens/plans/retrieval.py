@@ -58,13 +58,12 @@ def index_statistics(spark, sf_dir):
 
 
 def bm25(spark, sf_dir):
-    s = I.scores(_index(spark, sf_dir), _queries(spark, sf_dir))
-    return s.select("query_id", "chunk_id", "file_path", F.round("score", 6).alias("score"), F.size("matched").cast("long").alias("matched"))
+    s = I.scores(_index(spark, sf_dir), _queries(spark, sf_dir), words=False)
+    return s.select("query_id", "chunk_id", "file_path", F.round("score", 6).alias("score"), F.col("n_matched").alias("matched"))
 
 
 def retrieve(spark, sf_dir):
-    index = _index(spark, sf_dir)
-    return I.retrieve(index.chunks, I.scores(index, _queries(spark, sf_dir))).select("query_id", F.col("rank").cast("long").alias("rank"), "file_path", "chunk_id", "score", "label", "tokens")
+    return I.search(_index(spark, sf_dir), _queries(spark, sf_dir)).select("query_id", F.col("rank").cast("long").alias("rank"), "file_path", "chunk_id", "score", "label", "tokens")
 
 
 def log_set_analysis(spark, sf_dir):
