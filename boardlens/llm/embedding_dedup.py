@@ -1,8 +1,9 @@
 """Exact near-duplicate vectors by cosine, with cover trees and dual traversal.
 
 Unit vectors at cosine c are at distance sqrt(2 - 2c), a metric. Equal unit vectors form one class. Classes are dealt to parts
-by the nearest of a few pivots; the pivots come from a bounded sample, and any pivots give the same links. Each part is at home
-in one task or, by blocks, in several. Two linked vectors of parts p < q lie on both sides of the plane between the
+by the nearest of a few pivots; the pivots come from a bounded sample, and any pivots give the same links. Parts are as large as the
+memory of a task allows once there are enough of them for all cores, since vectors without structure visit all later parts: what is
+shuffled grows with the square of the table over the size of a part. Each part is at home in one task or, by blocks, in several. Two linked vectors of parts p < q lie on both sides of the plane between the
 pivots, so the first is no farther from it than the link distance: only vectors that near visit part q.
 
 A task builds cover trees: each level of a node's points has centers that are more than the level's radius apart and cover
@@ -10,9 +11,9 @@ all points within it, a node's own center stays one on the levels below, radii h
 covers its points. The dual traversal drops pairs of nodes whose centers are farther apart than their radii and the
 link distance, and ends in pairs of points. All counts are sums of the classes' sizes, so copies are never paired.
 
-Vectors without structure (all far apart) leave a cover tree nothing to prune: where the first balls of a level hold hardly more
-than their centers, the points left stay single ones without a test of their separation, all pairs of them are multiplied, and
-vectors near many planes visit many parts. Links don't depend on that.
+Vectors without structure (all far apart) leave a cover tree nothing to prune: where the balls of a batch hold hardly more
+than their centers, or few of what is left, the points left stay single ones without a test of their separation, all pairs of
+them are multiplied, and vectors near many planes visit many parts. Links don't depend on that.
 
 Cases: null vectors, vectors with null or non-finite components, zero vectors and vectors of another length than
 the most common one (of equally common ones the shortest) link with nothing; a cosine of exactly `least` links; a null id counts
@@ -29,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boardlens.llm.graph import components
-from boardlens.llm.store import discard, mapped, saved
+from boardlens.llm.graph import components, smallest_labels
+from boardlens.llm.store import discard, mapped, release, saved
 
 LEAST_COSINE = 0.9
 SAMPLE = 4096
-#: Classes that a part should hold, and the number of parts at most.
-PART, MOST_PARTS = 4096, 512
-#: Points of a node that isn't split further, and centers that are tried, and rows that are multiplied, at a time.
-LEAF, TRIED, ROWS = 64, 64, 512
+#: Classes that a part holds at least, if there are so many, and at most (two blocks of that size take about 200 MB in a task), and the number of parts at most.
+LEAST_PART, PART, MOST_PARTS = 4096, 32768, 512
+#: Points of a node that isn't split further, and centers that are tried, and rows and columns of a product, at a time.
+LEAF, TRIED, ROWS, COLUMNS = 64, 64, 512, 2048
+#: Pairs whose cosine is taken in double precision at a time.
+PAIRS = 1 << 15
 #: Slack of squared distances for rounding in single precision; the double-precision cosine decides each pair left.
 SLACK = 1e-4
 
@@ -46,6 +49,12 @@ def unit(vectors: list, size: int) -> np.ndarray:
     return np.array([np.frombuffer(v, "<f8") for v in vectors]).reshape(len(vectors), size)
 
 
+def _units(vectors: pa.BinaryArray, size: int) -> np.ndarray:
+    """The same of a column without nulls, whose bytes lie one after the other."""
+    low, high = np.frombuffer(vectors.buffers()[1], np.int32)[[vectors.offset, vectors.offset + len(vectors)]].tolist()
+    return np.frombuffer(vectors.buffers()[2], "<f8", (high - low) // 8, low).reshape(len(vectors), size)
+
+
 class CoverTree:
     """Nodes with a center, a covering radius and what is below: numbers of nodes, or ~point for single points."""
 
@@ -87,7 +96,7 @@ class CoverTree:
     def _cover(self, points: np.ndarray, head: int, level: float) -> tuple[list[tuple[np.ndarray, int, np.ndarray]], np.ndarray]:
         """Greedy balls of radius `level` as (points, center, squared distances), head's first, and points that are alone in theirs.
 
-        Where the balls of a batch hold few points beside their centers, nothing is left to gather: the rest stay single points.
+        Where the balls of a batch hold few points beside their centers, or few of the rest, nothing is left to gather: the rest stay single points.
         """
         rest = np.concatenate([[head], points[points != head]])
         balls, singles = [], []
@@ -109,7 +118,7 @@ class CoverTree:
             singles.append(tried[free[: len(tried)]])
             free[: len(tried)] = False
             rest = rest[free]
-            if sum(len(own) for own, _, _ in balls[n:]) < len(tried) // 2:
+            if sum(len(own) for own, _, _ in balls[n:]) < max(len(tried) // 2, len(free) // TRIED):
                 singles.append(rest)
                 break
         return balls, np.concatenate(singles)
@@ -135,8 +144,14 @@ def _close(x: np.ndarray, r: np.ndarray, y: np.ndarray, q: np.ndarray, reach: fl
         for j in (np.flatnonzero(q == 0), np.flatnonzero(q)):
             if len(i) and len(j):
                 most = np.float32(reach) if not r[i[0]] and not q[j[0]] else r[i, None] + q[None, j] + np.float32(reach)
-                k = np.flatnonzero(x[i] @ y[j].T >= 1 - (most * most + np.float32(SLACK)) / 2)
-                found.append((i[k // len(j)], j[k % len(j)]))
+                # Where all are of one kind, nothing is copied.
+                product = (x if len(i) == len(x) else x[i]) @ (y if len(j) == len(y) else y[j]).T
+                near = product >= 1 - (most * most + np.float32(SLACK)) / 2
+                if near.any():
+                    k = np.flatnonzero(near)
+                    found.append((i[k // len(j)], j[k % len(j)]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
@@ -147,13 +162,15 @@ def _against(a: CoverTree, points: np.ndarray, b: CoverTree, node: int, reach: f
         own, k = stack.pop()
         n, r = b.size(k)
         below, at, radius = b.parts(k, len(own) * n <= ROWS * ROWS or r <= reach)
-        if products is not None:
-            products.append(len(own) * len(at))
-        u, v = _close(a.x[own], np.zeros(len(own), np.float32), b.x[at], radius, reach)
-        v = below[v]
-        if (v < 0).any():
-            yield own[u[v < 0]], ~v[v < 0]
-        stack += [(own[u[v == w]], w) for w in np.unique(v[v >= 0]).tolist()]
+        x = a.x[own]
+        for left in range(0, len(at), COLUMNS):
+            if products is not None:
+                products.append(len(own) * len(at[left : left + COLUMNS]))
+            u, v = _close(x, np.zeros(len(own), np.float32), b.x[at[left : left + COLUMNS]], radius[left : left + COLUMNS], reach)
+            v = below[left + v]
+            if (v < 0).any():
+                yield own[u[v < 0]], ~v[v < 0]
+            stack += [(own[u[v == w]], w) for w in np.unique(v[v >= 0]).tolist()]
 
 
 def dual(a: CoverTree, b: CoverTree, reach: float, products: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -172,17 +189,18 @@ def dual(a: CoverTree, b: CoverTree, reach: float, products: list[int] | None =
         whole = n * m <= ROWS * ROWS or r + q <= reach
         own, at, r = a.parts(i, whole)
         others, other_at, q = (own, at, r) if same else b.parts(j, whole)
-        for low in range(0, len(own), ROWS):
-            # Of a node with itself, each two parts once, and each part that is a node with itself.
-            first = low if same else 0
+        x, y = a.x[at], b.x[other_at]
+        # Of a node with itself, each two parts once, and each part that is a node with itself. Products are of a size that caches hold.
+        for low, first in ((low, k) for low in range(0, len(own), ROWS) for k in range(low if same else 0, len(others), COLUMNS)):
             if products is not None:
-                products.append(len(at[low : low + ROWS]) * len(other_at[first:]))
-            u, v = _close(a.x[at[low : low + ROWS]], r[low : low + ROWS], b.x[other_at[first:]], q[first:], reach)
+                products.append(len(x[low : low + ROWS]) * len(y[first : first + COLUMNS]))
+            u, v = _close(x[low : low + ROWS], r[low : low + ROWS], y[first : first + COLUMNS], q[first : first + COLUMNS], reach)
+            u, v = low + u, first + v
             if same:
                 u, v = u[u <= v], v[u <= v]
-                loop = (u == v) & (own[low + u] < 0)
+                loop = (u == v) & (own[u] < 0)
                 u, v = u[~loop], v[~loop]
-            u, v = own[low + u], others[first + v]
+            u, v = own[u], others[v]
             ends = (u < 0) & (v < 0)
             if ends.any():
                 yield ~u[ends], ~v[ends]
@@ -196,15 +214,15 @@ def dual(a: CoverTree, b: CoverTree, reach: float, products: list[int] | None =
                     yield others_, points
 
 
-def _links_of(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """(linked weight of each x, of each y, pairs that join the same components as all links). y None: x with itself."""
+def _links_of(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(linked weight of each x, of each y, two ends of pairs that join the same components as all links; y counts on from x). y None: x with itself."""
     tree = CoverTree(x)
     other = tree if y is None else CoverTree(y)
     n_x, n_y = np.zeros(len(x), np.int64), np.zeros(0 if y is None else len(y), np.int64)
     label = np.arange(len(x) + (0 if y is None else len(y)))
-    pairs: list[tuple[int, int]] = []
     z, weight_z = (x, weight_x) if y is None else (y, weight_y)
-    for i, j in dual(tree, other, np.sqrt(2 - 2 * least)):
+    close = dual(tree, other, np.sqrt(2 - 2 * least))
+    for i, j in ((i[k : k + PAIRS], j[k : k + PAIRS]) for i, j in close for k in range(0, len(i), PAIRS)):
         # Components one after the other in double precision decide, whatever order the product took them in.
         sure = np.einsum("ij,ij->i", x[i], z[j]) >= least
         i, j = i[sure], j[sure]
@@ -216,33 +234,37 @@ def _links_of(x: np.ndarray, y: np.ndarray | None, weight_x: np.ndarray, weight_
         else:
             n_y += np.bincount(j, weight_x[i], len(y)).astype(np.int64)
             j = j + len(x)
-        # One link for two components that meet here.
+        # What hangs together here hangs on the smallest of it.
         apart = label[i] != label[j]
-        for k, m in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-            if label[k] != label[m]:
-                label[label == label[m]] = label[k]
-                pairs.append((k, m))
-    return n_x, n_y, pairs
+        if apart.any():
+            label = smallest_labels(label[i[apart]], label[j[apart]], len(label))[label]
+    hangs = np.flatnonzero(label != np.arange(len(label)))
+    return n_x, n_y, hangs, label[hangs]
 
 
 def _compare(size: int, least: float):
     def links(group: pa.Table) -> pa.Table:
         c, side, weight = (group.column(k).to_numpy() for k in ("c", "side", "weight"))
-        x = unit(group.column("v").to_pylist(), size)
         order = np.argsort(c, kind="stable")
-        c, side, weight, x = c[order], side[order], weight[order], x[order]
+        x = np.concatenate([_units(v, size) for v in group.column("v").chunks if len(v)])[order]
+        c, side, weight = c[order], side[order], weight[order]
         if (side == 2).all():
-            n, _, pairs = _links_of(x, None, weight, weight, least)
+            n, _, u, v = _links_of(x, None, weight, weight, least)
         else:
             p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            n_p, n_q, pairs = _links_of(x[p], x[q], weight[p], weight[q], least)
+            n_p, n_q, u, v = _links_of(x[p], x[q], weight[p], weight[q], least)
             n, c = np.concatenate([n_p, n_q]), np.concatenate([c[p], c[q]])
         some = np.flatnonzero(n)
-        a = np.concatenate([c[some], np.array([c[k] for k, _ in pairs], np.int64)])
-        b = np.concatenate([c[some], np.array([c[m] for _, m in pairs], np.int64)])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(np.concatenate([n[some], np.zeros(len(pairs), np.int64)]), pa.int64())})
+        a, b = np.concatenate([c[some], c[u]]), np.concatenate([c[some], c[v]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(np.concatenate([n[some], np.zeros(len(u), np.int64)]), pa.int64())})
 
-    return links
+    def run(group: pa.Table) -> pa.Table:
+        try:
+            return links(group)
+        finally:
+            release()
+
+    return run
 
 
 def _unit_rows(size: int):
@@ -312,11 +334,16 @@ def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, id_col: str =
     return alone.withColumn("kept", F.expr("id <=> component_id")).withColumnRenamed("id", id_col)
 
 
+def _part(n: int, cores: int) -> int:
+    """Classes of a part: of n classes without structure, parts pair up into about two tasks for each core, or more if parts would be over PART."""
+    return min(PART, max(LEAST_PART, -(-n // max(1, round(2 * cores**0.5)))))
+
+
 def _found(spark: SparkSession, classes: DataFrame, n: int, size: int, least: float) -> DataFrame:
     """(a, b, n): for a = b the weight of the classes linked with a, from one task; else a link."""
     sample = unit([r.v for r in classes.orderBy(F.xxhash64("f"), "f").limit(SAMPLE).select("v").collect()], size)
     # Farthest-first pivots of the sample spread over it.
-    k = min(len(sample), MOST_PARTS, max(1, -(-n // PART)))
+    k = min(len(sample), MOST_PARTS, -(-n // _part(n, spark.sparkContext.defaultParallelism)))
     chosen, far = [0], np.sqrt(np.maximum(0, 2 - 2 * (sample @ sample[0])))
     while len(chosen) < k:
         chosen.append(int(far.argmax()))
@@ -324,8 +351,9 @@ def _found(spark: SparkSession, classes: DataFrame, n: int, size: int, least: fl
     sent = spark.sparkContext.broadcast(sample[chosen])
     dealt = saved(mapped(classes.select("c", "v", "weight"), _part_rows(sent, size, float(np.sqrt(2 - 2 * least))), "c long, v binary, weight long, part int, visits array<int>"), "parts")
     # Blocks of those at home in a part and of its visitors, at most MOST_PARTS rows.
-    home = dealt.groupBy("part").agg(F.ceil(F.count("*") / PART).cast("int").alias("home"))
-    guests = dealt.select(F.explode("visits").alias("part")).groupBy("part").agg(F.ceil(F.count("*") / PART).cast("int").alias("guests"))
+    most = _part(n, spark.sparkContext.defaultParallelism)
+    home = dealt.groupBy("part").agg(F.ceil(F.count("*") / most).cast("int").alias("home"))
+    guests = dealt.select(F.explode("visits").alias("part")).groupBy("part").agg(F.ceil(F.count("*") / most).cast("int").alias("guests"))
     blocks = F.broadcast(home.join(guests, "part", "left").fillna(0, ["guests"]))
     hashed = F.xxhash64("c")
     own = dealt.select("c", "v", "weight", "part").join(blocks, "part").withColumn("block", F.pmod(hashed, "home").cast("int"))
