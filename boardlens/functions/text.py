@@ -23,7 +23,7 @@ def strip(text: Column) -> Column:
 
 def kept_lines(text: Column) -> Column:
     """The lines of a text with their line ends; those of files are read as \\n."""
-    own = F.regexp_replace(text, "\r\n?", "\n")
+    own = F.when(text.contains("\r"), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
     parts = F.split(own, V.BEHIND_LINE_END)
     return F.filter(parts, lambda x: x != "")
 
@@ -67,7 +67,7 @@ def query_words(text: Column) -> Column:
 
 def count_words(text: Column) -> Column:
     """Words between blanks."""
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def hex_to_decimal(digits: Column) -> Column:

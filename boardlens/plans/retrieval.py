@@ -29,8 +29,8 @@ def _queries(spark, sf_dir):
     return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _index(spark, sf_dir):
-    return I.build(I.chunks(X.code_files(spark, sf_dir)))
+def _index(spark, sf_dir, queries=None):
+    return I.build(I.chunks(X.code_files(spark, sf_dir)), queries=queries)
 
 
 def token_estimates(spark, sf_dir):
@@ -58,12 +58,14 @@ def index_statistics(spark, sf_dir):
 
 
 def bm25(spark, sf_dir):
-    s = I.scores(_index(spark, sf_dir), _queries(spark, sf_dir), words=False)
+    queries = _queries(spark, sf_dir)
+    s = I.scores(_index(spark, sf_dir, queries), queries, words=False)
     return s.select("query_id", "chunk_id", "file_path", F.round("score", 6).alias("score"), F.col("n_matched").alias("matched"))
 
 
 def retrieve(spark, sf_dir):
-    return I.search(_index(spark, sf_dir), _queries(spark, sf_dir)).select("query_id", F.col("rank").cast("long").alias("rank"), "file_path", "chunk_id", "score", "label", "tokens")
+    queries = _queries(spark, sf_dir)
+    return I.search(_index(spark, sf_dir, queries), queries).select("query_id", F.col("rank").cast("long").alias("rank"), "file_path", "chunk_id", "score", "label", "tokens")
 
 
 def log_set_analysis(spark, sf_dir):
